@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunk_bpe import encode_documents
+from .language_id import identify
 from .mixing import mix
 from .quality_rules import apply_rules
 from .text import word_count
 from .token_counts import count_tokens
+from .toxicity import rate
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,15 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, word_count(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
 
@@ -81,6 +92,8 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op6_mix_sources": op6_mix_sources,
+        "op8_language_id": op8_language_id,
+        "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
 
