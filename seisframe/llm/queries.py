@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .chunk_bpe import encode_documents
 from .language_id import identify
+from .minhash import near_duplicates
 from .mixing import mix
 from .quality_rules import apply_rules
 from .text import word_count
@@ -23,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
@@ -90,6 +95,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bo
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_near_duplicates": op3_near_duplicates,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op6_mix_sources": op6_mix_sources,
         "op8_language_id": op8_language_id,
