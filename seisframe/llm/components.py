@@ -45,6 +45,12 @@ def contract(edges: DataFrame) -> DataFrame:
     raise RuntimeError("star contraction did not settle")
 
 
+def shared_members(members: DataFrame) -> DataFrame:
+    """Members of buckets that have more than one; ``members`` is read twice, so it should be cheap."""
+    several = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") != F.col("hi"))
+    return saved(members.select("key", "id").join(several.select("key"), "key", "left_semi").distinct(), "members")
+
+
 def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
     """Exact groups of the links between members of a bucket, without all pairs of a bucket.
 
@@ -57,10 +63,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     a node and the smallest node of its group.
     """
     spark = members.sparkSession
-    members = saved(members.select("key", "id").distinct(), "members")
-    # buckets of one member link nothing
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
-    members = saved(members.join(shared, "key", "left_semi"), "shared")
+    members = shared_members(members)
     kind = members.schema["id"].dataType.simpleString()
     roots = spark.createDataFrame([], f"u {kind}, v {kind}")
     tried = None

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import contract, link_buckets
+from .components import contract, link_buckets, shared_members
 from .scratch import saved
 from .text import gram_hashes, hash_words
 
@@ -154,10 +154,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
     first = saved(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "sets")
     several = first.where(F.col("rep") != F.col("last"))
     same = usable.join(several.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
-    banded = usable.join(first, "set_key").where(F.col("doc_id") == F.col("rep")).select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    banded = saved(banded, "bands")
-    buckets = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    members = saved(banded.join(buckets, "key", "left_semi"), "candidates")
+    banded = usable.join(first, "set_key").where(F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id", "set_key"]).select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
+    members = shared_members(saved(banded, "bands"))
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sizes = usable.select("doc_id", "n_shingles").distinct()
     texts = docs.join(wanted.join(sizes, "doc_id"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_shingles")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from .chunk_bpe import encode_documents
 from .language_id import identify
+from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .quality_rules import apply_rules
+from .substring_dedup import dedup_substrings
 from .text import word_count
 from .token_counts import count_tokens
 from .toxicity import rate
@@ -28,6 +30,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
@@ -38,6 +45,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, word_count(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -96,8 +108,10 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_near_duplicates": op3_near_duplicates,
+        "op4_line_dedup": op4_line_dedup,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op6_mix_sources": op6_mix_sources,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_language_id": op8_language_id,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,

@@ -66,9 +66,7 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 clean &= ok[j : j + m]
         bucket.append(h[clean])
         of.append(word[:m][clean])
-    powers = np.ones(256, np.uint32)
-    for i in range(1, 256):
-        powers[i] = powers[i - 1] * np.uint32(31)
+    powers = np.cumprod(np.full(256, 31, np.uint32), dtype=np.uint32)
     at = np.arange(len(cp)) - bounds[np.clip(word, 0, None)]
     whole = np.add.reduceat(cp * powers[at % 256], bounds[:-1])
     bucket.append((whole ^ (whole >> np.uint32(13))) * _SPREAD)
