@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bm25 import every_hundredth, search
 from .chunk_bpe import encode_documents
 from .language_id import identify
 from .line_dedup import dedup_lines
@@ -26,6 +27,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where(every_hundredth(F.col("doc_id"))))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')) AS term FROM documents WHERE doc_id IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY doc_id, term),
+dl AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY doc_id),
+n AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL)::DOUBLE AS n_docs, (SELECT count(*) FROM w)::DOUBLE AS n_words),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.tf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * d.tf * 2.2::DOUBLE
+        / (d.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (n_words / n_docs)))), 6) AS score
+      FROM tf q JOIN tf d USING (term) JOIN df USING (term) JOIN dl ON dl.doc_id = d.doc_id, n WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10"""
+
 OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -107,6 +126,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bo
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_bm25_search": op2_bm25_search,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_line_dedup": op4_line_dedup,
         "op5_bpe_round_trip": op5_bpe_round_trip,
@@ -119,4 +139,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op2_bm25_search": OP2_SQL, "op6_mix_sources": OP6_SQL, "op10_quality_rules": OP10_SQL}
