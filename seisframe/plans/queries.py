@@ -249,7 +249,7 @@ def clicks_snapped(t: Tables) -> DataFrame:
 
 @query("SELECT r.record_id, s.event_id AS shotno FROM records r JOIN events s ON s.ts > r.t_start AND s.ts < r.t_end")
 def shots_recorded(t: Tables) -> DataFrame:
-    return intervals.shots_in_record(t.records, t.events)
+    return intervals.shots_in_record(t.records, t.events, bucket_s=300)
 
 
 CUT = """+ r AS (SELECT vec_id AS station, 1704067200 + vec_id * 30 AS t0, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT (event_id % 500 * 1000003 + event_id) AS shotno, 1704067200.0::DOUBLE + event_id * 7.25::DOUBLE AS t FROM events),
@@ -719,13 +719,13 @@ def boundaries_clamped(t: Tables) -> DataFrame:
 FILL = """+ b AS (SELECT l_suppkey AS ir, l_orderkey AS ix, min(l_extendedprice) AS z FROM lineitem GROUP BY 1, 2), c AS (SELECT *, ix % 3 = 0 AS c FROM b),
 w AS (SELECT *, last_value(CASE WHEN c THEN ix END IGNORE NULLS) OVER p AS bx, last_value(CASE WHEN c THEN z END IGNORE NULLS) OVER p AS bz, first_value(CASE WHEN c THEN ix END IGNORE NULLS) OVER f AS ax, first_value(CASE WHEN c THEN z END IGNORE NULLS) OVER f AS az FROM c
  WINDOW p AS (PARTITION BY ir ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY ir ORDER BY ix ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT ir, ix, round(CASE WHEN c THEN z ELSE coalesce(bz + (ix - bx) / nullif(ax - bx, 0) * (az - bz), bz, az, z) END, 9) AS z FROM w"""
+SELECT ir, ix, round(CASE WHEN c THEN z ELSE coalesce(bz + (ix - bx) / nullif(ax - bx, 0) * (az - bz), bz, az, z) END + 3e-7, 4) AS z FROM w"""
 
 
 @query(FILL)
 def boundaries_filled(t: Tables) -> DataFrame:
     rows = t.raw("lineitem").groupBy(F.col("l_suppkey").alias("ir"), F.col("l_orderkey").alias("ix")).agg(F.min("l_extendedprice").alias("z"))
-    return grid.fill_boundary(rows, rows.where(F.col("ix") % 3 == 0)).select("ir", "ix", F.round("z", 9).alias("z"))
+    return grid.fill_boundary(rows, rows.where(F.col("ix") % 3 == 0)).select("ir", "ix", F.round(F.col("z") + 3e-7, 4).alias("z"))
 
 
 SPMV = """SELECT l_orderkey AS i, round(sum(l_quantity * (p_size + 0.5::DOUBLE)), 4) AS x FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1"""
@@ -761,6 +761,67 @@ def model_updated(t: Tables) -> DataFrame:
     return grid.apply_update(model, change, ["node"], 0.5).select("node", F.round("v", 4).alias("v"))
 
 
+COMPOSITE = f"""+ vel AS ({V_SQL}), bd AS ({B_SQL}), zz AS (SELECT vel.*, -2.0::DOUBLE + (vel.iz - 1) * 2.0::DOUBLE AS zz, coalesce(bd.z, -2.0) AS top FROM vel LEFT JOIN bd ON bd.ir = vel.ir - 1 AND bd.ix = vel.ix),
+one AS (SELECT ix, iz, max_by(v, ir) AS v FROM zz WHERE zz >= top GROUP BY ix, iz) SELECT ray, k::BIGINT AS k, {r6('v')} AS v FROM ({_velocity_at('SELECT * FROM pts', 'x', 'z', 'one', 'v')})"""
+
+
+@query(COMPOSITE)
+def composite_velocities(t: Tables) -> DataFrame:
+    """Ray points in the single grid made of all layers."""
+    one = grid.composite_velocity(grid_velocity(t.spark), grid_boundary(t.spark), GRID)
+    at = grid.velocity_at(t.ray_points, GRID, grid.cell_table(one, GRID), "x", "z", 0.5)
+    return at.select("ray", F.col("k").cast("long").alias("k"), rounded("v", 6).alias("v"))
+
+
+COVER = """+ hits AS (SELECT DISTINCT (ray % 3 + 1)::INT AS layer, floor(x / 10)::INT + 1 AS ix, floor(z / 2)::INT + 1 AS iz FROM pts),
+nodes2 AS (SELECT layer, ix::INT AS ix, iz::INT AS iz FROM (SELECT unnest([1, 2, 3]) AS layer), (SELECT unnest(range(1, 27)) AS ix), (SELECT unnest(range(1, 32)) AS iz))
+SELECT DISTINCT n.layer, n.ix, n.iz FROM nodes2 n JOIN hits h ON h.layer = n.layer WHERE power((n.ix - h.ix) * 10 / 25.0::DOUBLE, 2) + power((n.iz - h.iz) * 2 / 3.0::DOUBLE, 2) <= 1"""
+
+
+@query(COVER)
+def nodes_covered(t: Tables) -> DataFrame:
+    at = t.ray_points.select((F.col("ray") % 3 + 1).cast("int").alias("layer"), (F.floor(F.col("x") / 10) + 1).cast("int").alias("ix"), (F.floor(F.col("z") / 2) + 1).cast("int").alias("iz")).distinct()
+    place = lambda df: df.withColumn("x", F.col("ix") * 10.0).withColumn("z", F.col("iz") * 2.0)
+    nodes = t.spark.range(1, 27).select(F.col("id").cast("int").alias("ix"), F.explode(F.sequence(F.lit(1), F.lit(31))).alias("iz")).withColumn("layer", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    return grid.coverage(place(at), place(nodes), 10.0, 25.0, 3.0)
+
+
+FLAGS = f"""{_partials_sql()}, sums AS (SELECT layer, ix, iz, sum(abs(val)) AS dws FROM part GROUP BY 1, 2, 3), cn AS (SELECT layer, ix, iz, 0.5::DOUBLE + (ix + iz) % 5 AS v FROM (SELECT unnest(range(1, 5)) AS layer), (SELECT unnest(range(1, 12)) AS ix), (SELECT unnest(range(1, 10)) AS iz))
+SELECT layer::INT AS layer, ix::INT AS ix, iz::INT AS iz, round(coalesce(dws, 0), 4) AS dws, CASE WHEN v < 1 OR coalesce(dws, 0) > 0 THEN 0.0::DOUBLE ELSE -0.5::DOUBLE END AS flag FROM cn LEFT JOIN sums USING (layer, ix, iz)"""
+
+
+@query(FLAGS)
+def node_flags(t: Tables) -> DataFrame:
+    node = ["layer", "ix", "iz"]
+    nodes = t.spark.range(1, 12).select(F.col("id").cast("int").alias("ix"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("iz")).withColumn("layer", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    nodes = nodes.withColumn("v", F.lit(0.5) + (F.col("ix") + F.col("iz")) % 5)
+    return grid.dws_table(nodes, grid.dws(_node_parts(t), node), 1.0, node).select(*node, F.round("dws", 4).alias("dws"), "flag")
+
+
+BUILT = """+ n AS (SELECT (s_suppkey)::INT AS ix, s_acctbal / 1e3 AS z FROM supplier), c AS (SELECT ix, iz, -2.0::DOUBLE + (iz - 1) * 2.0::DOUBLE - z AS d FROM n, (SELECT unnest(range(1, 33)) AS iz)),
+v AS (SELECT ix, iz, least(greatest(CASE WHEN d < 0 THEN 3.0::DOUBLE WHEN d < 1.5 THEN 3.0::DOUBLE + (5.0::DOUBLE - 3.0::DOUBLE) / 1.5::DOUBLE * d ELSE 5.0::DOUBLE + (7.1::DOUBLE - 5.0::DOUBLE) / 15.0::DOUBLE * (d - 1.5::DOUBLE) END, 3.0), 7.1) AS v FROM c)
+SELECT ir::INT AS ir, ix, iz::INT AS iz, round(CASE ir WHEN 1 THEN 0.3 WHEN 2 THEN 1.5 WHEN 3 THEN v ELSE 8.0 END, 6) AS v FROM v, (SELECT unnest(range(1, 5)) AS ir)"""
+
+
+@query(BUILT)
+def grid_built(t: Tables) -> DataFrame:
+    surface = t.raw("supplier").select(F.col("s_suppkey").cast("int").alias("ix"), (F.col("s_acctbal") / 1e3).alias("z"))
+    return grid.build_grid(t.spark, GRID, surface).select("ir", "ix", "iz", F.round("v", 6).alias("v"))
+
+
+EDGES = """+ c AS (SELECT s_suppkey::INT AS ix, s_suppkey * 2.5::DOUBLE AS x, s_acctbal / 1e3 AS elev, CASE WHEN s_suppkey % 10 < 7 OR s_suppkey < 5 THEN 20 + s_suppkey % 9 END::DOUBLE AS slab FROM supplier),
+w AS (SELECT ix, x, CASE WHEN x > 10 AND x < 64 THEN 0 ELSE elev END AS surface, slab + 8 AS moho, last_value(slab + 8 IGNORE NULLS) OVER e AS lz, min(CASE WHEN slab IS NULL THEN x END) OVER e AS tx, max(x) OVER e AS ex FROM c WINDOW e AS (ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT ir::INT AS ir, ix, round(CASE ir WHEN 1 THEN least(0, surface) WHEN 2 THEN surface ELSE coalesce(moho, lz + coalesce((15.0 - lz) / nullif(ex - tx, 0), 0) * (x - tx)) END, 6) + 0.0::DOUBLE AS z FROM w, (SELECT unnest([1, 2, 3]) AS ir)"""
+
+
+@query(EDGES)
+def boundaries_built(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    slab = F.when((k % 10 < 7) | (k < 5), (k % 9 + 20).cast("double"))
+    columns = t.raw("supplier").select(k.cast("int").alias("ix"), (k * F.lit(2.5)).alias("x"), (F.col("s_acctbal") / 1e3).alias("elev"), slab.alias("slab"))
+    return grid.build_boundaries(columns, 10.0, 64.0).select("ir", "ix", rounded("z", 6).alias("z"))
+
+
 # --- locating ----------------------------------------------------------------------------------
 
 STEP = """+ g AS (SELECT event_id, event_id % 7 + 4.0::DOUBLE AS x, event_id % 5 + 6.0::DOUBLE AS y, 0.8::DOUBLE AS t FROM (SELECT DISTINCT event_id FROM arrivals)),
