@@ -303,3 +303,101 @@ def fill_boundary(boundary: DataFrame, covered: DataFrame) -> DataFrame:
     share = F.try_divide(F.col("ix") - F.col("__b.ix"), F.col("__a.ix") - F.col("__b.ix"))
     line = F.col("__b.z") + share * (F.col("__a.z") - F.col("__b.z"))
     return rows.withColumn("z", F.when(F.col("__c"), F.col("z")).otherwise(F.coalesce(line, "__b.z", "__a.z", "z"))).select(*boundary.columns)
+
+
+def boundary_partials(points: DataFrame, ray: list[str], grid: Grid, edges: DataFrame, cells: DataFrame, nxc: int, vmin: float, zscal: float = 1.0, first: int = 1, last: int | None = None, tiny: float = 0.003) -> DataFrame:
+    """``ray, boundary, ix, val``: change of a ray's normalised time with each coarse boundary node.
+
+    ``points`` has ``k, x, z, error``; ``cells`` is keyed by ``layer``.  A point on a boundary whose
+    neighbours both lie above it is a reflection; a point nearest to a boundary that its neighbours
+    lie on both sides of is where the ray pierces it.  Boundaries are taken as independent of each
+    other: where two of them share nodes, rows of the dependent one are not made.
+    """
+    last = grid.nr if last is None else last
+    dxc = (grid.x2 - grid.x1) / (nxc - 1)
+    w = W.partitionBy(*ray).orderBy("k")
+    at = points.select(*ray, "k", "x", "z", "error", *[f(c).over(w).alias(f"{c}{n}") for f, n in ((F.lead, "b"), (F.lag, "c")) for c in ("x", "z")]).where(F.col("xb").isNotNull() & F.col("xc").isNotNull())
+    for x, name in (("x", "ra"), ("xb", "rb"), ("xc", "rc")):
+        at = boundary_depths(at, grid, edges, x).withColumnRenamed("depths", name)
+    near = F.transform(F.slice("ra", first, last - first + 1), lambda d: F.abs(d - F.col("z")) < tiny * grid.dz)
+    at = at.withColumn("hit", F.array_position(near, True).cast("int") + first - 1)
+    at = at.withColumn("layer", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    at = at.withColumns({n: F.get(n, F.col("layer") - 1) for n in ("ra", "rb", "rc")})
+    reflects = (F.col("layer") == F.col("hit")) & (F.col("hit") >= first) & (F.col("zb") < F.col("rb")) & (F.col("zc") < F.col("rc"))
+    off = {n: F.col(f"r{n}") - F.col("z" if n == "a" else f"z{n}") for n in "abc"}
+    pierces = (off["b"] * off["c"] < 0) & (F.abs(off["a"]) < F.abs(off["b"])) & (F.abs(off["a"]) < F.abs(off["c"]))
+    at = at.withColumn("reflects", reflects).withColumn("pierces", pierces).where("reflects or pierces")
+    at = velocity_at(at, grid, cells, "x", "z", vmin, ("layer",)).withColumnRenamed("v", "v1")
+    below = at.withColumn("layer", F.col("layer") + 1)
+    at = velocity_at(below, grid, cells, "x", "z", vmin, ("layer",)).withColumnRenamed("v", "v2").withColumn("layer", F.col("layer") - 1)
+    bx, bz, cx, cz = (F.col(n) - F.col(n[0]) for n in ("xb", "zb", "xc", "zc"))
+    half = F.try_divide(bx * cx + bz * cz, F.sqrt(bx * bx + bz * bz) * F.sqrt(cx * cx + cz * cz))
+    wide, deep = F.col("xb") - F.col("xc"), F.col("zb") - F.col("zc")
+    slope = F.when(F.abs(wide) > tiny * grid.dx, F.cos(F.atan(F.abs(F.col("rb") - F.col("rc")) / wide))).otherwise(1.0)
+    at = at.withColumn("half", half).withColumn("slope", slope)
+    bounce = F.col("slope") * F.sqrt((1 + F.col("half")) / 2)
+    through = F.col("slope") * F.try_divide(F.abs(deep), F.sqrt(wide * wide + deep * deep))
+    parts = F.array(
+        F.when(F.col("reflects") & (F.abs("half") < 0.9999) & (bounce > 0.1), 2 * bounce / F.col("v1")),
+        F.when(F.col("pierces") & (through > 0.1), through * (1 / F.col("v1") - 1 / F.col("v2"))),
+    )
+    at = at.withColumn("elm", F.explode(F.filter(parts, lambda p: p.isNotNull())))
+    at = at.withColumn("mx", (F.floor((F.col("x") - grid.x1) / dxc) + 1).cast("int")).withColumn("ex", (F.col("x") - (grid.x1 + (F.col("mx") - 1) * dxc)) / dxc)
+    scale = F.col("elm") * zscal / F.col("error")
+    nodes = F.array(F.struct(F.col("mx").alias("ix"), ((1 - F.col("ex")) * scale).alias("val")), F.struct((F.col("mx") + 1).alias("ix"), (F.col("ex") * scale).alias("val")))
+    rows = at.select(*ray, F.col("layer").alias("boundary"), F.explode(nodes).alias("n"))
+    return rows.groupBy(*ray, "boundary", "n.ix").agg(F.sum("n.val").alias("val"))
+
+
+def _equations(rows: DataFrame, kind: str, keys: list[str], parts: list[tuple[Column, Column]], rhs: Column, ok: Column) -> DataFrame:
+    """``kind, keys, node, val, rhs``: one row per coefficient; parts with a null value are left out."""
+    entries = F.filter(F.array(*[F.struct(node.alias("node"), val.alias("val")) for node, val in parts]), lambda p: p["val"].isNotNull())
+    made = rows.where(ok).select(F.lit(kind).alias("kind"), *keys, rhs.alias("rhs"), F.explode(entries).alias("e"))
+    return made.select("kind", *keys, "e.node", "e.val", "rhs")
+
+
+def velocity_regularization(nodes: DataFrame, zs: np.ndarray, dxc: float, reg: tuple[float, float, float], asr: float, vscal: float = 1.0) -> DataFrame:
+    """Damping, flattening and smoothing rows of ``nodes(layer, ix, iz, v, covered)``.
+
+    ``kind, layer, ix, iz`` name a row, ``node`` (ix, iz) and ``val`` are a coefficient, ``rhs`` is the row's
+    right-hand side.  ``zs`` are the depths of the coarse axis; steps grow with depth.
+    """
+    steps = np.diff(zs)
+    per = F.array(*[F.lit(float(s)) for s in [*steps, steps[-1]]])
+    dz = F.get(per, F.col("iz") - 1)
+    keys = ["layer", "ix", "iz"]
+    down, across = W.partitionBy("layer", "ix").orderBy("iz"), W.partitionBy("layer", "iz").orderBy("ix")
+    rows = nodes.withColumn("dz", dz).withColumn("vol", dxc * F.col("dz"))
+    at = lambda i, j: F.struct((F.col("ix") + i).alias("ix"), (F.col("iz") + j).alias("iz"))
+    r0, r1, r2 = reg
+    out = _equations(rows, "damp", keys, [(at(0, 0), r0 * F.col("vol"))], F.lit(0.0), F.col("covered"))
+    for name, w, (i, j), g1, g2 in (
+        ("z", down, (0, 1), r1 * F.col("vol") / F.col("dz"), r2 * F.col("vol") / (F.col("dz") * F.col("dz"))),
+        ("x", across, (1, 0), r1 * F.col("vol") * asr / dxc, r2 * F.col("vol") * asr * asr / (dxc * dxc)),
+    ):
+        seen = rows.withColumns({"nv": F.lead("v").over(w), "nc": F.coalesce(F.lead("covered").over(w), F.lit(False)), "pv": F.lag("v").over(w), "pc": F.coalesce(F.lag("covered").over(w), F.lit(False))})
+        pair = F.col("covered") & F.col("nc")
+        out = out.unionByName(_equations(seen, f"flat_{name}", keys, [(at(0, 0), g1), (at(i, j), -g1)], g1 * (F.col("nv") - F.col("v")) / vscal, pair))
+        bend = g2 * (F.col("pv") + F.col("nv") - 2 * F.col("v")) / vscal
+        out = out.unionByName(_equations(seen, f"smooth_{name}", keys, [(at(-i, -j), -g2), (at(0, 0), 2 * g2), (at(i, j), -g2)], bend, pair & F.col("pc")))
+    return out
+
+
+def boundary_regularization(nodes: DataFrame, dxc: float, reg: tuple[float, float, float], asr: float, crf: float = 1.0, zscal: float = 1.0) -> DataFrame:
+    """Rows of ``nodes(ir, ix, z, covered, fixed)``; a fixed neighbour has no coefficient, and its
+    weight moves to the right-hand side."""
+    keys = ["ir", "ix"]
+    w = W.partitionBy("ir").orderBy("ix")
+    held = lambda c, f: F.coalesce(F.col(c) | F.col(f), F.lit(False))
+    rows = nodes.withColumns({n + k: f(c).over(w) for f, k in ((F.lead, "n"), (F.lag, "p")) for c, n in (("z", "z"), ("covered", "c"), ("fixed", "f"))})
+    at = lambda i: (F.col("ix") + i).cast("int")
+    r0, r1, r2 = reg
+    g1, g2 = r1 * crf * asr, r2 * crf * asr * asr / dxc
+    on = lambda c, val: F.when(F.col(c), F.lit(val))
+    moved = lambda c, val: F.when(F.col(c), 0.0).otherwise(val)
+    out = _equations(rows, "damp", keys, [(at(0), F.lit(r0 * crf * dxc))], F.lit(0.0), F.col("covered"))
+    flat = g1 * (F.col("zn") - F.col("z")) / zscal + moved("covered", -g1) + moved("cn", g1)
+    out = out.unionByName(_equations(rows, "flat_x", keys, [(at(0), on("covered", g1)), (at(1), on("cn", -g1))], flat, (F.col("covered") | F.col("cn")) & held("covered", "fixed") & held("cn", "fn")))
+    bend = g2 * (F.col("zp") + F.col("zn") - 2 * F.col("z")) / zscal + moved("cp", g2) + moved("covered", -2 * g2) + moved("cn", g2)
+    any_ = F.col("covered") | F.col("cn") | F.col("cp")
+    return out.unionByName(_equations(rows, "smooth_x", keys, [(at(-1), on("cp", -g2)), (at(0), on("covered", 2 * g2)), (at(1), on("cn", -g2))], bend, any_ & held("covered", "fixed") & held("cn", "fn") & held("cp", "fp")))

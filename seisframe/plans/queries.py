@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -822,6 +823,39 @@ def boundaries_built(t: Tables) -> DataFrame:
     return grid.build_boundaries(columns, 10.0, 64.0).select("ir", "ix", rounded("z", 6).alias("z"))
 
 
+REG = """+ n AS (SELECT (p_size % 3)::INT AS layer, (p_partkey % 50)::INT AS ix, (p_partkey // 50 % 9 + 1)::INT AS iz, max(p_retailprice) AS v FROM part GROUP BY 1, 2, 3), c AS (SELECT *, (ix * 3 + iz) % 4 <> 0 AS covered, iz * 0.5::DOUBLE + 0.5 AS dz0 FROM n),
+d AS (SELECT *, CASE WHEN iz = 9 THEN 4.5 ELSE dz0 END AS dz FROM c),
+z AS (SELECT *, lead(v) OVER w AS nv, lead(covered) OVER w AS nc, lag(v) OVER w AS pv, lag(covered) OVER w AS pc FROM d WINDOW w AS (PARTITION BY layer, ix ORDER BY iz)),
+x AS (SELECT *, lead(v) OVER w AS nv, lead(covered) OVER w AS nc, lag(v) OVER w AS pv, lag(covered) OVER w AS pc FROM d WINDOW w AS (PARTITION BY layer, iz ORDER BY ix)),
+e AS (SELECT 'damp' AS kind, layer, ix, iz, ix AS nx, iz AS nz, 0.1 * 5 * dz AS val, 0.0 AS rhs FROM d WHERE covered
+ UNION ALL SELECT 'flat_z', layer, ix, iz, ix, iz + b, (1 - 2 * b) * 0.2 * 5, 0.2 * 5 * (nv - v) FROM z, (SELECT unnest([0, 1]) AS b) WHERE covered AND nc
+ UNION ALL SELECT 'flat_x', layer, ix, iz, ix + b, iz, (1 - 2 * b) * 0.2 * dz * 2, 0.2 * dz * 2 * (nv - v) FROM x, (SELECT unnest([0, 1]) AS b) WHERE covered AND nc
+ UNION ALL SELECT 'smooth_z', layer, ix, iz, ix, iz + b, (2 - 3 * abs(b)) * 0.3 * 5 / dz, 0.3 * 5 / dz * (pv + nv - 2 * v) FROM z, (SELECT unnest([-1, 0, 1]) AS b) WHERE covered AND nc AND pc
+ UNION ALL SELECT 'smooth_x', layer, ix, iz, ix + b, iz, (2 - 3 * abs(b)) * 0.3 * dz * 4 / 5, 0.3 * dz * 4 / 5 * (pv + nv - 2 * v) FROM x, (SELECT unnest([-1, 0, 1]) AS b) WHERE covered AND nc AND pc)
+SELECT kind, layer, ix, iz, nx::INT AS nx, nz::INT AS nz, round(val::DOUBLE, 6) AS val, round(rhs::DOUBLE, 4) + 0.0::DOUBLE AS rhs FROM e"""
+
+
+@query(REG)
+def rows_regularizing(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    nodes = t.raw("part").groupBy((F.col("p_size") % 3).cast("int").alias("layer"), (k % 50).cast("int").alias("ix"), (F.floor(k / 50) % 9 + 1).cast("int").alias("iz")).agg(F.max("p_retailprice").alias("v"))
+    nodes = nodes.withColumn("covered", (F.col("ix") * 3 + F.col("iz")) % 4 != 0)
+    zs = [0.0]
+    for i in range(1, 9):
+        zs.append(zs[-1] + 0.5 * i + 0.5)
+    made = grid.velocity_regularization(nodes, np.array(zs), 5.0, (0.1, 0.2, 0.3), 2.0)
+    return made.select("kind", "layer", "ix", "iz", F.col("node.ix").alias("nx"), F.col("node.iz").alias("nz"), F.round("val", 6).alias("val"), rounded("rhs", 4).alias("rhs"))
+
+
+@query()
+def boundary_node_partials(t: Tables) -> DataFrame:
+    edges = grid.edge_table(grid_boundary(t.spark), GRID)
+    cells = grid.cell_table(grid_velocity(t.spark).withColumnRenamed("ir", "layer"), GRID, ("layer",))
+    points = t.ray_points.withColumn("z", F.col("z") * 6).withColumn("error", F.lit(0.1))
+    made = grid.boundary_partials(points, ["ray"], GRID, edges, cells, 11, 0.5)
+    return made.select("ray", "boundary", "ix", rounded("val", 5).alias("val"))
+
+
 # --- locating ----------------------------------------------------------------------------------
 
 STEP = """+ g AS (SELECT event_id, event_id % 7 + 4.0::DOUBLE AS x, event_id % 5 + 6.0::DOUBLE AS y, 0.8::DOUBLE AS t FROM (SELECT DISTINCT event_id FROM arrivals)),

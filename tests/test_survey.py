@@ -185,3 +185,25 @@ def test_profile_bounds(spark):
     st = spark.createDataFrame([(57.6, -152.4), (57.7, -152.5)], "lat double, lon double")
     length, far, near = geometry.profile_bounds(st, (57.2, -152.1), (56.0, -151.1))
     assert length == 250.0 and near == (56.0, -151.1) and far[0] > 57.6
+
+
+def test_boundary_partials_by_hand(spark):
+    g = grid.Grid(3, 11, 0.0, 20.0, 0.0, 20.0, nr=1)
+    edges = grid.edge_table(spark.createDataFrame([(1, ix, 10.0) for ix in (1, 2, 3)], "ir int, ix int, z double"), g)
+    v = spark.createDataFrame([(layer, ix, iz, 2.0 * layer) for layer in (1, 2) for ix in (1, 2, 3) for iz in range(1, 12)], "layer int, ix int, iz int, v double")
+    cells = grid.cell_table(v, g, ("layer",))
+    pts = [(1, 1, 0.0, 5.0), (1, 2, 5.0, 10.0), (1, 3, 10.0, 5.0), (2, 1, 4.0, 0.0), (2, 2, 4.0, 9.0), (2, 3, 4.0, 20.0)]
+    df = spark.createDataFrame([(*p, 0.5) for p in pts], "ray int, k int, x double, z double, error double")
+    got = {(r.ray, r.ix): r.val for r in grid.boundary_partials(df, ["ray"], g, edges, cells, 3, 0.5).collect()}
+    # a right-angle reflection at v = 2, halfway between nodes; a vertical ray from v = 2 to v = 4
+    assert got[1, 1] == pytest.approx(0.5 * 2 * np.sqrt(0.5) / 2 / 0.5) and got[1, 2] == pytest.approx(got[1, 1])
+    assert got[2, 1] == pytest.approx(0.6 * (1 / 2 - 1 / 4) / 0.5) and got[2, 2] == pytest.approx(0.4 * 0.25 / 0.5)
+
+
+def test_boundary_rows_move_fixed_weights(spark):
+    nodes = spark.createDataFrame([(1, 1, 5.0, True, False), (1, 2, 7.0, False, True), (1, 3, 6.0, True, False)], "ir int, ix int, z double, covered boolean, fixed boolean")
+    got = grid.boundary_regularization(nodes, 2.0, (0.1, 1.0, 1.0), 1.0).collect()
+    flat = sorted((r.ix, r.node, r.val, r.rhs) for r in got if r.kind == "flat_x")
+    assert flat == [(1, 1, 1.0, 3.0), (2, 3, -1.0, -2.0)]
+    bend = sorted((r.node, r.val, r.rhs) for r in got if r.kind == "smooth_x")
+    assert [b[:2] for b in bend] == [(1, -0.5), (3, -0.5)] and bend[0][2] == pytest.approx(0.5 * (5 + 6 - 14) - 1.0)
