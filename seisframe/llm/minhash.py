@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import contract, link_buckets, shared_members
@@ -137,7 +137,30 @@ def verifier(texts: DataFrame, percent: int):
     return verify
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
+def evidence(texts: DataFrame):
+    """A function of ``id`` rows that gives ``fact``: set size ``n`` and ``s``, how many of the set's
+    shingles stand in any other of these documents.  No intersection can be larger than ``s``."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for lo in range(0, len(whole), 200):
+                rows = whole.iloc[lo : lo + 200]
+                sets = [shingles(t) for t in rows["text"]]
+                yield pd.DataFrame({"id": rows["id"].repeat([len(s) for s in sets]).to_numpy(), "g": np.concatenate(sets).view(np.int64)})
+
+    def facts(ids: DataFrame) -> DataFrame:
+        rows = texts.select(F.col("doc_id").alias("id"), "text", "n_shingles").join(ids, "id", "left_semi")
+        grams = rows.select("id", "text").mapInPandas(run, f"id {kind}, g long")
+        lone = grams.groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("last")).where(F.col("id") == F.col("last"))
+        lone = lone.groupBy("id").agg(F.count("*").alias("lone"))
+        met = rows.groupBy("id").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("least")).join(lone, "id", "left")
+        return met.select("id", F.struct(F.col("least").alias("least"), "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("s")).alias("fact"))
+
+    return facts
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2) -> DataFrame:
     """``doc_id, n_shingles, component_id`` and ``kept`` for every row of ``docs``.
 
     Shingles are 5 consecutive words with A-Z lower-cased; a text with fewer words is one shingle.
@@ -160,7 +183,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
     sizes = usable.select("doc_id", "n_shingles").distinct()
     texts = docs.join(wanted.join(sizes, "doc_id"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_shingles")
     texts = saved(texts, "texts")
-    roots = link_buckets(members, verifier(texts, percent), rounds)
+
+    def possible(a: Column, b: Column) -> Column:
+        # intersection >= percent / (100 + percent) of both sizes together
+        return (100 + percent) * F.least(a["s"], b["s"]) >= percent * (a["least"] + b["least"])
+
+    roots = link_buckets(members, verifier(texts, percent), evidence(texts), possible, rounds)
     # groups of equal sets join the groups found between their representatives
     groups = contract(same.unionByName(roots)).withColumnRenamed("v", "root")
     out = sketched.join(groups.withColumnRenamed("u", "doc_id"), "doc_id", "left")
