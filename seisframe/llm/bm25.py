@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,7 +27,7 @@ from .scratch import saved
 
 K1, B = 1.2, 0.75
 #: words a shard holds on average, documents of a block, terms between two looks at the threshold
-SHARD_WORDS, BLOCK_BITS, LOOK = 6_000_000, 7, 24
+SHARD_WORDS, BLOCK_BITS, LOOK = 4_000_000, 7, 24
 DIGITS = 6
 
 
@@ -43,7 +44,7 @@ class Shard:
         sizes = [len(t) for t, _ in bags]
         doc = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)
         term = np.concatenate([t for t, _ in bags] or [np.empty(0, np.int64)])
-        tf = np.concatenate([c for _, c in bags] or [np.empty(0)]).astype(np.float64)
+        tf = np.concatenate([c for _, c in bags] or [np.empty(0)])
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
         impact = tf * (K1 + 1) / (tf + norm[doc])
         self.forward = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -161,33 +162,39 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     weighted = bags(queries, kind).join(known, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w")))).alias("terms"))
     weighted = saved(weighted, "queries")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, found, lengths, index = None, [], [], [], None
-        for rows in batches:
-            out = []
-            for shard, is_query, id_, text, terms in zip(rows["shard"], rows["is_query"], rows["id"], rows["text"], rows["terms"], strict=True):
+        for batch in batches:
+            asked, found_ids, scores = [], [], []
+            listed = batch.column("terms")
+            ends = listed.offsets.to_numpy()
+            all_terms = listed.values.field("term").to_numpy(zero_copy_only=False)
+            all_weights = listed.values.field("w").to_numpy(zero_copy_only=False)
+            texts, own = batch.column("text"), batch.column("id")
+            for i, (shard, is_query) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("is_query").to_pylist(), strict=True)):
                 if shard != current:
                     current, ids, found, lengths, index = shard, [], [], [], None
                 if not is_query:
-                    hashes = term_hashes(text)
-                    ids.append(id_)
+                    hashes = term_hashes(texts[i].as_py())
+                    ids.append(own[i].as_py())
                     found.append(np.unique(hashes, return_counts=True))
                     lengths.append(len(hashes))
                     continue
                 if index is None:
                     index = Shard(ids, found, np.array(lengths, np.float64), mean)
                     found = []
-                t = np.fromiter((x["term"] for x in terms), np.int64, len(terms))
-                w = np.fromiter((x["w"] for x in terms), np.float64, len(terms))
-                out += [(id_, index.ids[d], s) for s, d in index.top(t, w, k)]
-            if out:
-                yield pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
+                for s, d in index.top(all_terms[ends[i] : ends[i + 1]], all_weights[ends[i] : ends[i + 1]], k):
+                    asked.append(own[i].as_py())
+                    found_ids.append(index.ids[d])
+                    scores.append(s)
+            if asked:
+                yield pa.RecordBatch.from_arrays([pa.array(asked, own.type), pa.array(found_ids, own.type), pa.array(scores, pa.float64())], ["query_id", "doc_id", "score"])
 
     entry = weighted.schema["terms"].dataType.simpleString()
     rows = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).alias("shard"), F.lit(False).alias("is_query"), "id", "text", F.lit(None).cast(entry).alias("terms"))
     asked = weighted.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("is_query"), "id", F.lit(None).cast("string").alias("text"), "terms")
     dealt = rows.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "is_query", "id")
-    best = dealt.mapInPandas(run, f"query_id {kind}, doc_id {kind}, score double")
+    best = dealt.mapInArrow(run, f"query_id {kind}, doc_id {kind}, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
     return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
