@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
@@ -877,7 +876,3 @@ def events_located(t: Tables) -> DataFrame:
     steps = locate.locate(t.arrivals.join(enough, "event_id", "left_semi"), 2.0, 3)
     return steps.select("event_id", "step", *[F.round(c, 4).alias(c) for c in ("x", "y", "t")])
 
-
-def latest(df: DataFrame) -> DataFrame:
-    """The last step of every event."""
-    return df.withColumn("n", F.row_number().over(W.partitionBy("event_id").orderBy(F.col("step").desc()))).where("n = 1").drop("n")
