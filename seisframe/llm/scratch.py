@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_temporary: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside, but for those with ``keep``, are deleted when the block ends."""
+    paths: list[str] = []
+    _temporary.append(paths)
+    try:
+        yield
+    finally:
+        _temporary.remove(paths)
+        for text in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(text)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seisframe-{uuid.uuid4().hex}/{name}"
+    if _temporary and not keep:
+        _temporary[-1].append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

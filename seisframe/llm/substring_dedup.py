@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import saved, temporary
 from .text import byte_words, gram_hashes, hash_words
 
 WINDOW, GRAM = 35, 8
@@ -136,7 +136,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     not the text are documents of their own.  Null ids are allowed; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    spans = saved(duplicate_spans(docs), "spans").withColumnRenamed("k", "__k")
+    with temporary(docs.sparkSession):
+        spans = saved(duplicate_spans(docs), "spans", keep=True).withColumnRenamed("k", "__k")
     rows = docs.withColumn("__k", F.xxhash64("doc_id", "text")).join(spans, "__k", "left").drop("__k")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
