@@ -133,13 +133,26 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, sample_docs: int =
     """
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & training).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    y = [int(r["__toxic"] > 0) for r in rows]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pd.concat(parts).sort_values(["doc_id", "text"])
+        table, bias = fit_rows(rows["text"].tolist(), (rows["__toxic"] > 0).astype(int).tolist())
+        yield pd.DataFrame({"table": [table], "bias": [bias]})
+
+    # the sample is bounded, so one executor task fits it and the model alone comes to the driver
+    made = rows.repartition(1).mapInPandas(run, "table array<double>, bias double").collect()
+    return (np.array(made[0].table), made[0].bias) if made else fit_rows([], [])
+
+
+def fit_rows(texts: list[str], y: list[int]) -> tuple[np.ndarray, float]:
     if len(set(y)) < 2:
         share = min(max(sum(y) / len(y), 1e-3), 1 - 1e-3) if y else 1e-3
         return np.zeros(BUCKETS), float(np.log(share / (1 - share)))
-    return train([r.text for r in rows], y)
+    return train(texts, y)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
