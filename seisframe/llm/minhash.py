@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import contract, link_buckets, shared_members
-from .scratch import saved
+from .scratch import saved, temporary
 from .text import gram_hashes, hash_words
 
 #: 32 bands of 4: a pair at similarity 0.75 shares a band with probability 1 - 5e-6
 BANDS, ROWS = 32, 4
 SHINGLE = 5
+#: bits of the map that rules pairs out
+BITS = 2048
 #: shingles hashed at once
 BLOCK = 1 << 15
 
@@ -137,41 +139,62 @@ def verifier(texts: DataFrame, percent: int):
     return verify
 
 
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """``BITS`` bits as longs; each shingle sets one."""
+    at = (values % np.uint64(BITS)).astype(np.int64)
+    out = np.zeros(BITS, np.uint8)
+    out[at] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
 def evidence(texts: DataFrame):
-    """A function of ``id`` rows that gives ``fact``: set size ``n`` and ``s``, how many of the set's
-    shingles stand in any other of these documents.  No intersection can be larger than ``s``."""
+    """A function of ``id`` rows that gives ``fact``, by which pairs are ruled out: set size ``n``; ``s``,
+    how many of the set's shingles stand in any other of these documents; and a bitmap.  No
+    intersection is larger than ``s``, or than ``n`` less the bits that the other bitmap lacks."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
         for whole in batches:
             for lo in range(0, len(whole), 200):
                 rows = whole.iloc[lo : lo + 200]
-                sets = [shingles(t) for t in rows["text"]]
-                yield pd.DataFrame({"id": rows["id"].repeat([len(s) for s in sets]).to_numpy(), "g": np.concatenate(sets).view(np.int64)})
+                yield rows, [shingles(t) for t in rows["text"]]
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, sets in sets_of(batches):
+            yield pd.DataFrame({"id": rows["id"].repeat([len(s) for s in sets]).to_numpy(), "g": np.concatenate(sets).view(np.int64)})
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, sets in sets_of(batches):
+            yield pd.DataFrame({"id": rows["id"], "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets]})
 
     def facts(ids: DataFrame) -> DataFrame:
-        rows = texts.select(F.col("doc_id").alias("id"), "text", "n_shingles").join(ids, "id", "left_semi")
-        grams = rows.select("id", "text").mapInPandas(run, f"id {kind}, g long")
-        lone = grams.groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("last")).where(F.col("id") == F.col("last"))
+        rows = texts.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+        lone = rows.mapInPandas(grams, f"id {kind}, g long").groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("last")).where(F.col("id") == F.col("last"))
         lone = lone.groupBy("id").agg(F.count("*").alias("lone"))
-        met = rows.groupBy("id").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("least")).join(lone, "id", "left")
-        return met.select("id", F.struct(F.col("least").alias("least"), "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("s")).alias("fact"))
+        met = rows.mapInPandas(maps, f"id {kind}, n long, bits array<long>")
+        # ids with several rows are never ruled out by what one of the rows has
+        met = met.groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least"), F.count("*").alias("rows"), F.first("bits").alias("bits")).join(lone, "id", "left")
+        one = F.col("rows") == 1
+        s = F.col("n") - F.when(one, F.coalesce("lone", F.lit(0))).otherwise(0)
+        return met.select("id", F.struct("n", "least", s.alias("s"), F.when(one, F.col("bits")).alias("bits")).alias("fact"))
 
     return facts
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` and ``kept`` for every row of ``docs``.
+def may_link(a: Column, b: Column, percent: int) -> Column:
+    """False only for facts of sets that cannot be similar enough."""
 
-    Shingles are 5 consecutive words with A-Z lower-cased; a text with fewer words is one shingle.
-    Documents are linked where ``100 * intersection >= percent * union``; ``component_id`` is the
-    smallest id that can be reached.  A text that is null or has no words is linked with nothing.
-    A row with a null id is linked with nothing, has a null ``component_id`` and is kept.  Rows
-    that share an id are one node: its links are those of all its rows.  Other columns are not
-    read.  A band value shared by very many documents is handled by centres, not by pairs.
-    """
-    docs = docs.select("doc_id", "text")
-    sketched = saved(sketch(docs), "sketches")
+    def lacks(x: Column, y: Column) -> Column:
+        gone = F.zip_with(x["bits"], y["bits"], lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.coalesce(F.aggregate(gone, F.lit(0), lambda t, c: t + c), F.lit(0))
+
+    # intersection >= percent / (100 + percent) of both sizes together
+    enough = lambda most: (100 + percent) * most >= percent * (a["least"] + b["least"])
+    return enough(F.least(a["s"], b["s"])) & enough(F.least(a["n"] - lacks(a, b), b["n"] - lacks(b, a)))
+
+
+def groups_of(docs: DataFrame, sketched: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """``u, root``: documents that are not the first of their group, with the first one."""
     usable = sketched.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     # one document stands for all with the same set
     first = saved(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "sets")
@@ -184,13 +207,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2) -> Data
     texts = docs.join(wanted.join(sizes, "doc_id"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_shingles")
     texts = saved(texts, "texts")
 
-    def possible(a: Column, b: Column) -> Column:
-        # intersection >= percent / (100 + percent) of both sizes together
-        return (100 + percent) * F.least(a["s"], b["s"]) >= percent * (a["least"] + b["least"])
-
-    roots = link_buckets(members, verifier(texts, percent), evidence(texts), possible, rounds)
+    roots = link_buckets(members, verifier(texts, percent), evidence(texts), lambda a, b: may_link(a, b, percent), rounds)
     # groups of equal sets join the groups found between their representatives
-    groups = contract(same.unionByName(roots)).withColumnRenamed("v", "root")
+    return contract(same.unionByName(roots)).withColumnRenamed("v", "root")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` and ``kept`` for every row of ``docs``.
+
+    Shingles are 5 consecutive words with A-Z lower-cased; a text with fewer words is one shingle.
+    Documents are linked where ``100 * intersection >= percent * union``; ``component_id`` is the
+    smallest id that can be reached.  A text that is null or has no words is linked with nothing.
+    A row with a null id is linked with nothing, has a null ``component_id`` and is kept.  Rows
+    that share an id are one node: its links are those of all its rows.  Other columns are not
+    read.  A band value shared by very many documents is handled by centres, not by pairs.
+    """
+    docs = docs.select("doc_id", "text")
+    sketched = saved(sketch(docs), "sketches", keep=True)
+    with temporary(docs.sparkSession):
+        groups = saved(groups_of(docs, sketched, percent, rounds), "groups", keep=True)
     out = sketched.join(groups.withColumnRenamed("u", "doc_id"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
