@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
 Per language one suffix automaton of a bounded sample of labelled text is built.  A text is
-parsed greedily against each automaton into longest matches; the language needing the fewest
+parsed greedily against each automaton into longest matches (a character that the sample lacks
+leads the next match); the language needing the fewest
 phrases, normalised by the logarithm of its sample's length and the text's length, wins.  The
 automata are dense transition tables (states x characters) that follow all texts of a batch in
 step, one column of characters at a time; parsing starts anew every ``SEGMENT`` characters, so

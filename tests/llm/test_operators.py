@@ -254,13 +254,16 @@ def test_op8_learns_languages(spark):
 def test_op8_parse_equals_greedy():
     parser = language_id.CrossParser({"x": ["abracadabra abc"], "y": ["zzyzx banana"]})
     text = "abra banana zyx cab"
+
     def phrases(sample, s):
+        """A character the sample lacks ends a phrase and leads the next one."""
         n = i = 0
         while i < len(s):
-            j = i + 1
-            while j <= len(s) and s[i:j] in sample:
+            i += s[i] not in sample
+            j = i
+            while j < len(s) and s[i : j + 1] in sample:
                 j += 1
-            i, n = max(j - 1, i + 1), n + 1
+            i, n = j, n + 1
         return n
 
     costs = parser.costs([text])[0] * len(text)
