@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 #: bound of the labelled sample the model is fitted on
 SAMPLE_DOCS = 12_000
 BUCKETS, DIM, EPOCHS, BATCH = 1 << 16, 4, 10, 128
-#: subwords of fewer than this part of the sample's texts have no embedding of their own
-MIN_PART = 0.01
+#: subwords of fewer of the sample's texts than this have no embedding of their own
+MIN_TEXTS = 2
 #: step size, decay of embeddings, and the factor that brings means of many subwords to size 1
 RATE, DECAY, SCALE = 0.02, 1e-3, 300.0
 GRAMS = (3, 4, 5)
@@ -94,7 +94,7 @@ def train(texts: list[str], labels: list[int], seed: int = 9) -> tuple[np.ndarra
         sums = np.bincount(inverse, w, len(key)).astype(np.float32) if len(key) else w.astype(np.float32)
         parts.append(((key % BUCKETS).astype(np.int32), sums * np.float32(SCALE), (key // BUCKETS).astype(np.int32), y[ids]))
         seen += np.bincount(parts[-1][0], minlength=BUCKETS)
-    known = seen >= max(2, MIN_PART * len(texts))
+    known = seen >= MIN_TEXTS
     parts = [(b[k], w[k], t[k], of) for b, w, t, of in parts for k in [known[b]]]
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)) * known[:, None]
     out, bias = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
