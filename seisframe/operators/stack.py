@@ -113,7 +113,7 @@ def stack_aligned(samples: np.ndarray, offsets: np.ndarray, centre: int, vmin: f
     return np.mean(moved, 0) if method == "mean" else np.median(moved, 0)
 
 
-def align_stack(traces: DataFrame, k: int, fs: float, vmin: float = 5000.0, vmax: float = 7000.0, method: str = "mean", align: str = "reference", centres: tuple[int, int] | None = None, split: tuple[int, float, float] | None = None, block: int = 256) -> DataFrame:
+def align_stack(traces: DataFrame, k: int, fs: float, vmin: float = 5000.0, vmax: float = 7000.0, method: str = "mean", align: str = "reference", centres: tuple[float, float] | None = None, split: tuple[int, float, float] | None = None, block: int = 256) -> DataFrame:
     """``centre, station, offset_m, samples``: the stack of the ``2k + 1`` shots around each centre.
 
     ``traces`` has ``shot, station, offset_m, samples``, one trace per shot and station.  A station's

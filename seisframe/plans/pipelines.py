@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +55,14 @@ def megashot_single(traces: DataFrame, nodes: DataFrame, shots: DataFrame, fs: f
     return align_stack(prepared(near, nodes, shots, fs, mode, **windows), k, fs, vmin, vmax, "mean", centres=(centre, centre))
 
 
-def megashot_sweep(traces: DataFrame, nodes: DataFrame, shots: DataFrame, fs: float, k: int, first: int, last: int, size_km: float = LINE_BIN_KM, mode: str = "stalta", fast_from: int = FAST_FROM, **windows) -> DataFrame:
-    """All centres of a range in one pass, with the velocity window that belongs to each."""
-    ready = prepared(traces.where(F.col("shot").between(first - k, last + k)), nodes, shots, fs, mode, **windows)
-    stacks = align_stack(ready, k, fs, *SLOW, centres=(first, last), split=(fast_from, *FAST))
+def megashot_sweep(traces: DataFrame, nodes: DataFrame, shots: DataFrame, fs: float, k: int, first: int | None = None, last: int | None = None, size_km: float = LINE_BIN_KM, mode: str = "stalta", fast_from: int = FAST_FROM, **windows) -> DataFrame:
+    """All centres from ``first`` to ``last`` (every centre where they are none) in one pass, with the
+    velocity window that belongs to each."""
+    if first is not None:
+        traces = traces.where(F.col("shot") >= first - k)
+    if last is not None:
+        traces = traces.where(F.col("shot") <= last + k)
+    ready = prepared(traces, nodes, shots, fs, mode, **windows)
+    centres = (-math.inf if first is None else first, math.inf if last is None else last)
+    stacks = align_stack(ready, k, fs, *SLOW, centres=centres, split=(fast_from, *FAST))
     return bin_stack(stacks.select("centre", bin_id(F.col("offset_m") / 1e3, size_km).alias("bin_id"), "samples"), ["centre", "bin_id"])

@@ -545,7 +545,7 @@ def shots_stacked_median(t: Tables) -> DataFrame:
 
 @query()
 def shots_swept(t: Tables) -> DataFrame:
-    binned = pipelines.megashot_sweep(t.traces, t.nodes, t.shots, FS, 2, 993, 1_000_000, fast_from=1010, **SHORT)
+    binned = pipelines.megashot_sweep(t.traces, t.nodes, t.shots, FS, 2, fast_from=1010, **SHORT)
     return as_rows(binned, ["centre", "bin_id", "count"], "sum")
 
 
