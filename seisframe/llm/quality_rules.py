@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE_PATTERN, words_of
+from .text import SPACE_PATTERN, let, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: a line is boilerplate if it stands in more documents of one host than this ...
@@ -21,11 +21,6 @@ MIN_LEFT = 0.3
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
 
