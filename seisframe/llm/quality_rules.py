@@ -2,7 +2,7 @@
 
 The base looks at each text alone.  The verdict counts, for every host (source), in how many
 distinct documents a normalised line stands; lines above the limit are taken out, and a document
-of which too little is left is rejected.  Lines travel as 64-bit hash pairs, once per document,
+of which too little is left is rejected.  Lines travel as pairs of hashes, once per document and host,
 and are counted with map-side combining; only lines above the limit meet the documents again.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import saved, temporary
 from .text import SPACE_PATTERN, let, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -67,17 +68,29 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACE_PATTERN, " ")))
 
 
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Lines of each document (``__d`` document, ``__l`` host and line, ``words``) and the ``__l``
-    that stand in more than ``max_docs`` distinct documents of one host."""
+def named(*columns: str) -> Column:
+    """64-bit name of a row of values, nulls told apart from what stands beside them."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
+def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """``__d`` (document and host) and ``n_boilerplate``: its words in lines that stand in more than
+    ``max_docs`` distinct documents of the host.
+
+    Lines are hashed once and written, one row for each document, host and line.  A row of a
+    document itself (``n`` is null) tells how often it is repeated, which its lines are too.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     grouped = F.transform(lines_with_words(text), normalised)
     hashed = F.transform(grouped, lambda x: F.struct(F.xxhash64(F.col("source"), x).alias("a"), F.hash(x, F.col("source")).alias("b"), F.size(words_of(x)).alias("n")))
-    host = F.xxhash64("doc_id", "text")
-    lines = docs.select(host.alias("__d"), F.explode(hashed).alias("x")).groupBy("__d", "x").agg(F.count("*").alias("times"))
-    lines = lines.select("__d", F.struct("x.a", "x.b").alias("__l"), (F.col("x.n") * F.col("times")).alias("words"))
-    often = lines.groupBy("__l").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("__l")
-    return lines, often
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).alias("b"), F.lit(None).cast("int").alias("n")))
+    lines = docs.select(named("doc_id", "text", "source").alias("__d"), F.explode(F.concat(hashed, whole)).alias("x"))
+    lines = saved(lines.groupBy("__d", "x.a", "x.b", "x.n").agg(F.count("*").alias("times")), "lines")
+    found = lines.where(F.col("n").isNotNull())
+    often = found.groupBy("a", "b").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("a", "b")
+    lost = found.join(often, ["a", "b"], "left_semi").groupBy("__d").agg(F.sum(F.col("n") * F.col("times")).alias("lost"))
+    repeats = lines.where(F.col("n").isNull() & (F.col("times") > 1)).select("__d", F.col("times").alias("rows"))
+    return lost.join(repeats, "__d", "left").select("__d", (F.col("lost") / F.coalesce("rows", F.lit(1))).cast("long").alias("n_boilerplate"))
 
 
 def apply_rules(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, min_words: int = 50, max_repeat: float = 50.0) -> DataFrame:
@@ -85,14 +98,16 @@ def apply_rules(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN
     ``base_failed`` and ``kept`` for every row of ``docs``.
 
     A null text has no words and fails the base.  A null source is a host of its own.  Rows that
-    repeat a document (same id and text) are one document for the line counts and each get the
-    same result; rows that share only the id are documents of their own.  Other columns are not
-    read.  An empty table gives no rows.
+    repeat a document (same id and text) are one document for the line counts of a host and each
+    get the same result; under two hosts it counts for both, and each row loses the lines of its own.
+    Rows that share only the id are documents of their own.  Other columns are not read.  An
+    empty table gives no rows.  A very long text is one row: its counts take memory in
+    proportion to its words.
     """
     docs = docs.select("doc_id", "text", "source")
-    lines, often = frequent_lines(docs, max_docs)
-    lost = lines.join(often, "__l", "left_semi").groupBy("__d").agg(F.sum("words").alias("n_boilerplate"))
-    counted = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__d"), base_counts(F.col("text")).alias("__c"))
+    with temporary(docs.sparkSession):
+        lost = saved(boilerplate(docs, max_docs), "boilerplate", keep=True)
+    counted = docs.select("doc_id", named("doc_id", "text", "source").alias("__d"), base_counts(F.col("text")).alias("__c"))
     counted = counted.select("doc_id", "__d", "__c.w.*", "__c.n_symbols", "__c.n_dup_lines")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     left = F.col("n_words") - F.col("n_boilerplate") >= min_left * F.col("n_words")

@@ -105,10 +105,10 @@ WITH d AS (SELECT DISTINCT doc_id, text, source FROM documents),
 l AS (SELECT doc_id, text, source, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
       FROM (SELECT *, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 often AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT (doc_id, text)) > 50),
-lost AS (SELECT doc_id, text, sum(len(regexp_extract_all(norm, '[^\x20\x09-\x0D]+'))) AS n_boilerplate FROM l
-         WHERE EXISTS (SELECT 1 FROM often o WHERE o.norm = l.norm AND o.source IS NOT DISTINCT FROM l.source) GROUP BY doc_id, text),
-dup AS (SELECT doc_id, text, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id, text),
-w AS (SELECT doc_id, text, {WORDS} AS w FROM d),
+lost AS (SELECT doc_id, text, source, sum(len(regexp_extract_all(norm, '[^\x20\x09-\x0D]+'))) AS n_boilerplate FROM l
+         WHERE EXISTS (SELECT 1 FROM often o WHERE o.norm = l.norm AND o.source IS NOT DISTINCT FROM l.source) GROUP BY doc_id, text, source),
+dup AS (SELECT doc_id, text, max(n) AS n_dup_lines FROM (SELECT doc_id, text, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id, text, source) GROUP BY doc_id, text),
+w AS (SELECT DISTINCT doc_id, text, {WORDS} AS w FROM d),
 g AS (SELECT doc_id, text, i, w[i:i + 2] AS gram FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w)),
 g2 AS (SELECT doc_id, text, i, count(*) OVER (PARTITION BY doc_id, text, gram) AS n FROM g),
 rep AS (SELECT doc_id, text, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, text, unnest([i, i + 1, i + 2]) AS p FROM g2 WHERE n > 1) GROUP BY doc_id, text),
@@ -116,8 +116,9 @@ b AS (SELECT docs.doc_id, len(w.w)::BIGINT AS n_words, length(array_to_string(w.
         len(regexp_extract_all(coalesce(docs.text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_boilerplate, 0)::BIGINT AS n_boilerplate
       FROM documents docs JOIN w ON docs.doc_id IS NOT DISTINCT FROM w.doc_id AND docs.text IS NOT DISTINCT FROM w.text
-      LEFT JOIN lost ON docs.doc_id = lost.doc_id AND docs.text = lost.text LEFT JOIN dup ON docs.doc_id = dup.doc_id AND docs.text = dup.text
-      LEFT JOIN rep ON docs.doc_id = rep.doc_id AND docs.text = rep.text)
+      LEFT JOIN lost ON docs.doc_id IS NOT DISTINCT FROM lost.doc_id AND docs.text = lost.text AND docs.source IS NOT DISTINCT FROM lost.source
+      LEFT JOIN dup ON docs.doc_id IS NOT DISTINCT FROM dup.doc_id AND docs.text = dup.text
+      LEFT JOIN rep ON docs.doc_id IS NOT DISTINCT FROM rep.doc_id AND docs.text = rep.text)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_boilerplate,
   n_words < 50 OR 100 * n_repeat_words > 50.0 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50.0 * n_words) AND n_words - n_boilerplate >= 0.3::DOUBLE * n_words AS kept FROM b"""

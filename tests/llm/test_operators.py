@@ -334,6 +334,32 @@ def test_op10_rejects_depleted_documents(spark):
     assert all(got[100 + i].kept for i in range(10)) and got[200].kept
 
 
+def test_op10_repeated_rows_and_two_hosts_equal_the_sql(spark):
+    """Nulls, repeated rows, rows that share an id and one text under two hosts, by the query's own SQL."""
+    import duckdb
+
+    from seisframe.llm.queries import OP10_SQL
+
+    rng = random.Random(9)
+    from .helpers import passage
+
+    common, other = " ".join(passage(rng, 40)), " ".join(passage(rng, 12))
+    rows = [(i, common + "\n" + " ".join(passage(rng, 60)), None, "s", None) for i in range(55)]
+    rows += [rows[0]] * 3 + [(1, rows[1][1], None, "t", None), (None, rows[2][1], None, "s", None), (None, rows[2][1], None, None, None)]
+    rows += [(100 + i, other + "\n" + " ".join(passage(rng, 60)), None, None, None) for i in range(52)]
+    rows += [(3, "another text of id 3\n" + common, None, "s", None), (7, None, None, "s", None), (8, "", None, "s", None), (None, None, None, None, None)]
+    df = docs(spark, rows)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(OP10_SQL)
+    names = [x[0] for x in want.description]
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = quality_rules.apply_rules(df).select(*names).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want.fetchall(), key=key)
+    by_id = [r for r in got if r.doc_id == 0]
+    assert len(by_id) == 4 and all(r.n_boilerplate == 40 and r.kept for r in by_id)
+
+
 def test_op10_odd_rows(odd, empty):
     assert quality_rules.apply_rules(odd).count() == odd.count()
     assert quality_rules.apply_rules(empty).count() == 0
