@@ -5,10 +5,13 @@ and streams the queries past it, so its memory is one shard and one batch of que
 frequencies, the number of documents and their mean length are those of the whole table, so
 scores of different shards are comparable and merging the shards' top k is exact.
 
-For a query, terms are taken in falling order of their upper bound.  Once the bounds of the
-terms left sum to less than the k-th best score so far, only documents whose partial score plus
-bound reaches it can still enter; the bound is then refined by the maxima of the document blocks
-that the terms left reach, and only the surviving documents are completed.
+Documents of a shard are ordered so that like ones are neighbours, and every term's list keeps the
+largest impact of each block of documents.  A query's cursors move over its lists together, block by
+block: the pivot is the next block in which the summed block maxima of the query's terms reach
+its threshold, the k-th best score so far; all blocks before it are skipped without a look at a
+document.  Documents of a pivot block are scored by all terms, and the threshold rises.  It starts
+at what the block of the largest bound gives.  Queries go through the blocks in batches: lists that
+most blocks have are kept as rows of a matrix, so the bounds and scores of a batch are products.
 """
 
 from __future__ import annotations
@@ -26,8 +29,12 @@ from pyspark.sql import functions as F
 from .scratch import saved
 
 K1, B = 1.2, 0.75
-#: words a shard holds on average, documents of a block, terms between two looks at the threshold
-SHARD_WORDS, BLOCK_BITS, LOOK = 4_000_000, 7, 24
+#: words a shard holds on average, documents of a block, queries of a batch
+SHARD_WORDS, BLOCK, BATCH = 10_000_000, 128, 256
+#: terms kept as rows of a matrix: how many at most, and the least part of a shard's documents
+ROWS, FREQUENT = 768, 1 / 32
+#: groups of like documents that a shard is ordered by
+GROUPS = 8
 DIGITS = 6
 
 
@@ -36,32 +43,56 @@ def term_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges, and the range that each is of."""
+    sizes = ends - starts
+    of = np.repeat(np.arange(len(starts)), sizes)
+    return np.arange(len(of)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes), of
+
+
+def ordered(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """An order in which like documents are neighbours: by the nearest of a few far-apart ones, then length."""
+    unit = rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-9)
+    centres, near = [0], unit @ unit[0] if len(unit) else np.empty(0)
+    while len(centres) < min(GROUPS, len(unit)):
+        centres.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[centres[-1]])
+    return np.lexsort((lengths, (unit @ unit[centres].T).argmax(1))) if len(unit) else np.empty(0, np.int64)
+
+
 class Shard:
-    """Inverted index: postings by term with impacts, and block maxima of every term's list."""
+    """Inverted index: lists by term with impacts, and block maxima of every term's list."""
 
     def __init__(self, ids: list, bags: list[tuple[np.ndarray, np.ndarray]], lengths: np.ndarray, mean_length: float):
-        self.ids = ids
-        sizes = [len(t) for t, _ in bags]
-        doc = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)
+        n = len(ids)
+        sizes = np.array([len(t) for t, _ in bags], np.int64)
+        doc = np.repeat(np.arange(n), sizes)
         term = np.concatenate([t for t, _ in bags] or [np.empty(0, np.int64)])
         tf = np.concatenate([c for _, c in bags] or [np.empty(0)])
-        norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        impact = tf * (K1 + 1) / (tf + norm[doc])
+        impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / max(mean_length, 1e-9)))[doc])
+        self.ids, self.n = ids, n
         self.forward = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.doc_terms, self.doc_impacts = term, impact
         order = np.argsort(term, kind="stable")
-        self.docs, self.impacts = doc[order], impact[order]
-        self.terms, self.starts = np.unique(term[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(order))
-        self.best = np.maximum.reduceat(self.impacts, self.starts) if len(order) else np.empty(0)
-        block = self.docs >> BLOCK_BITS
-        new = np.ones(len(order), bool)
-        new[1:] = (block[1:] != block[:-1])
-        new[self.starts] = True
-        first = np.flatnonzero(new)
-        self.blocks = block[first]
-        self.block_best = np.maximum.reduceat(self.impacts, first) if len(first) else np.empty(0)
-        self.block_starts, self.block_ends = np.searchsorted(first, self.starts), np.searchsorted(first, self.ends)
+        self.terms, starts = np.unique(term[order], return_index=True)
+        ends = np.append(starts[1:], len(order)).astype(np.int64)
+        many = np.argsort(starts - ends, kind="stable")[:ROWS]
+        many = np.sort(many[(ends - starts)[many] >= max(1, FREQUENT * n)])
+        #: row of the matrix by term, -1 for terms with a list
+        self.row = np.full(len(self.terms), -1, np.int64)
+        self.row[many] = np.arange(len(many))
+        at, of = ranges(starts[many], ends[many])
+        matrix = np.zeros((n, len(many)), np.float32)
+        matrix[doc[order[at]], of] = impact[order[at]]
+        self.order = ordered(matrix, lengths)
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+        self.blocks = -(-n // BLOCK)
+        self.matrix = np.zeros((self.blocks * BLOCK, len(many)), np.float32)
+        self.matrix[:n] = matrix[self.order]
+        self.row_best = self.matrix.reshape(self.blocks, BLOCK, len(many)).max(1) if n else np.zeros((0, len(many)), np.float32)
+        self.starts, self.ends = starts, ends
+        self.docs, self.impacts = self.place[doc[order]], impact[order].astype(np.float32)
 
     def exact(self, d: int, terms: np.ndarray, weights: np.ndarray) -> float:
         """Score summed in the order of term hashes, the same in every shard."""
@@ -71,45 +102,49 @@ class Shard:
         hit = own[at] == terms
         return round(float((weights[hit] * self.doc_impacts[self.forward[d] : self.forward[d + 1]][at[hit]]).sum()), DIGITS)
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """``(score, document)`` of the best ``k``; ``terms`` sorted, weights above 0."""
-        n = len(self.ids)
-        if not n or not len(self.terms) or not len(terms):
-            return []
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        here = self.terms[at] == terms
-        t, w = at[here], weights[here]
-        bound = w * self.best[t]
-        order = np.argsort(-bound, kind="stable")
-        t, w = t[order], w[order]
-        left = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0.0]])
-        score, need, i = np.zeros(n), 0.0, 0
-        docs, impacts, starts, ends = self.docs, self.impacts, self.starts, self.ends
-        alive = None
-        while i < len(t):
-            a, z = starts[t[i]], ends[t[i]]
-            score[docs[a:z]] += w[i] * impacts[a:z]
-            i += 1
-            if i % LOOK == 0 and n > k:
-                need = float(np.partition(score, n - k)[n - k])
-                if left[i] < need:
-                    alive = np.flatnonzero(score + left[i] >= need - 1e-9)
-                    if len(alive) * 8 <= n:
-                        break
-                    alive = None
-        if alive is not None and i < len(t):
-            reach = np.zeros((n >> BLOCK_BITS) + 1)
-            for x, y in zip(t[i:], w[i:], strict=True):
-                a, z = self.block_starts[x], self.block_ends[x]
-                reach[self.blocks[a:z]] += y * self.block_best[a:z]
-            alive = alive[score[alive] + reach[alive >> BLOCK_BITS] >= need - 1e-9]
-        elif alive is None:
-            need = float(np.partition(score, n - k)[n - k]) if n > k else 0.0
-            alive = np.flatnonzero((score >= need - 1e-4) & (score > 0))
-        found = [(self.exact(int(d), terms, weights), int(d)) for d in alive]
-        found.sort(key=lambda x: (-x[0], self.ids[x[1]]))
-        return [x for x in found[:k] if x[0] > 0]
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """``(score, document)`` of the best ``k`` of each query (sorted terms, weights above 0)."""
+        if not self.n or not len(self.terms):
+            return [[] for _ in queries]
+        size = self.blocks * BLOCK
+        rows = np.zeros((len(queries), self.matrix.shape[1]), np.float32)
+        score = np.zeros((len(queries), size), np.float32)
+        for q, (terms, weights) in enumerate(queries):
+            at = np.searchsorted(self.terms, terms)
+            at[at == len(self.terms)] = 0
+            here = self.terms[at] == terms
+            at, w = at[here], weights[here]
+            dense = self.row[at] >= 0
+            rows[q, self.row[at[dense]]] = w[dense]
+            place, of = ranges(self.starts[at[~dense]], self.ends[at[~dense]])
+            score[q] = np.bincount(self.docs[place], w[~dense][of] * self.impacts[place], size)
+        bound = rows @ self.row_best.T + score.reshape(len(queries), self.blocks, BLOCK).max(2)
+        # sums in 32 bits are off by less than this part of them; one step of rounding decides ties
+        slack = 4e-6 * bound.max(1) + 10.0**-DIGITS
+        best = np.zeros((len(queries), k), np.float32)
+        done = np.zeros((len(queries), self.blocks), bool)
+
+        def look(b: int, live: np.ndarray) -> None:
+            span = slice(b * BLOCK, (b + 1) * BLOCK)
+            score[live, span] += rows[live] @ self.matrix[span].T
+            best[live] = np.partition(np.concatenate([best[live], score[live, span]], 1), BLOCK, 1)[:, BLOCK:]
+            done[live, b] = True
+
+        first = bound.argmax(1)
+        for b in np.unique(first):
+            look(int(b), np.flatnonzero(first == b))
+        for b in range(self.blocks):
+            live = np.flatnonzero((bound[:, b] >= best.min(1) - slack) & (bound[:, b] > 0) & ~done[:, b])
+            if len(live):
+                look(b, live)
+        out = []
+        for q, (terms, weights) in enumerate(queries):
+            enough = max(best[q].min() - 2 * slack[q], 1e-30)
+            places = np.flatnonzero((score[q] >= enough) & np.repeat(done[q], BLOCK))
+            found = [(self.exact(d, terms, weights), d) for d in self.order[places[places < self.n]].tolist()]
+            found.sort(key=lambda x: (-x[0], self.ids[x[1]]))
+            out.append([x for x in found[:k] if x[0] > 0])
+        return out
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -147,7 +182,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     smaller id.  Documents that share no term with a query are not listed, so a null or empty
     text finds nothing and is never found, and an empty table gives no rows.  Documents with a
     null id are left out; rows that repeat an id are found each by itself.  Queries should have
-    distinct ids; null ids are left out.  Other columns are not read.
+    distinct ids; null ids are left out.  Other columns are not read.  A very long text is one
+    document of its shard and takes memory in proportion to its words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -164,36 +200,52 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, found, lengths, index = None, [], [], [], None
+        names, asked = [], []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(asked), BATCH):
+                each = index.top(asked[lo : lo + BATCH], k)
+                rows = [(name, index.ids[d], s) for name, best in zip(names[lo : lo + BATCH], each, strict=True) for s, d in best]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "doc_id", "score"])
+            names.clear()
+            asked.clear()
+
         for batch in batches:
-            asked, found_ids, scores = [], [], []
             listed = batch.column("terms")
             ends = listed.offsets.to_numpy()
             all_terms = listed.values.field("term").to_numpy(zero_copy_only=False)
             all_weights = listed.values.field("w").to_numpy(zero_copy_only=False)
             texts, own = batch.column("text"), batch.column("id")
+            id_type = own.type
             for i, (shard, is_query) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("is_query").to_pylist(), strict=True)):
                 if shard != current:
+                    if asked:
+                        yield from answers()
                     current, ids, found, lengths, index = shard, [], [], [], None
                 if not is_query:
                     hashes = term_hashes(texts[i].as_py())
                     ids.append(own[i].as_py())
-                    found.append(np.unique(hashes, return_counts=True))
+                    terms, counts = np.unique(hashes, return_counts=True)
+                    found.append((terms, counts.astype(np.int32)))
                     lengths.append(len(hashes))
                     continue
                 if index is None:
                     index = Shard(ids, found, np.array(lengths, np.float64), mean)
                     found = []
-                for s, d in index.top(all_terms[ends[i] : ends[i + 1]], all_weights[ends[i] : ends[i + 1]], k):
-                    asked.append(own[i].as_py())
-                    found_ids.append(index.ids[d])
-                    scores.append(s)
-            if asked:
-                yield pa.RecordBatch.from_arrays([pa.array(asked, own.type), pa.array(found_ids, own.type), pa.array(scores, pa.float64())], ["query_id", "doc_id", "score"])
+                names.append(own[i].as_py())
+                asked.append((all_terms[ends[i] : ends[i + 1]].copy(), all_weights[ends[i] : ends[i + 1]].copy()))
+                if len(asked) == BATCH:
+                    yield from answers()
+        if asked:
+            yield from answers()
 
     entry = weighted.schema["terms"].dataType.simpleString()
-    rows = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).alias("shard"), F.lit(False).alias("is_query"), "id", "text", F.lit(None).cast(entry).alias("terms"))
-    asked = weighted.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("is_query"), "id", F.lit(None).cast("string").alias("text"), "terms")
-    dealt = rows.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "is_query", "id")
+    shard = F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")
+    rows = docs.select(shard.alias("shard"), F.lit(False).alias("is_query"), "id", "text", F.lit(None).cast(entry).alias("terms"))
+    asked = weighted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "id", F.lit(None).cast("string").alias("text"), "terms")
+    # each shard is a partition of its own
+    dealt = rows.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "is_query")
     best = dealt.mapInArrow(run, f"query_id {kind}, doc_id {kind}, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
     return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

@@ -106,10 +106,27 @@ def test_op2_pruning_changes_nothing():
         terms = np.unique((rng.pareto(0.7, 40) * 3).astype(np.int64) % 5000)
         bags.append((terms, rng.integers(1, 4, len(terms))))
     shard = bm25.Shard(list(range(3000)), bags, np.array([c.sum() for _, c in bags], float), 60.0)
-    for q in range(20):
-        terms, weights = bags[q][0], rng.random(len(bags[q][0])) * 5 + 0.01
+    queries = [(bags[q][0], rng.random(len(bags[q][0])) * 5 + 0.01) for q in range(20)] + [(np.array([-5]), np.array([1.0])), (np.empty(0, np.int64), np.empty(0))]
+    for (terms, weights), got in zip(queries, shard.top(queries, 10), strict=True):
         full = sorted(((shard.exact(d, terms, weights), d) for d in range(3000)), key=lambda x: (-x[0], x[1]))[:10]
-        assert shard.top(terms, weights, 10) == full
+        assert got == [x for x in full if x[0] > 0]
+
+
+def test_op2_skips_blocks_and_keeps_ties_at_the_rounded_score():
+    """Documents whose raw scores differ by less than a step of rounding are ordered by id."""
+    rng = np.random.default_rng(3)
+    for trial in range(20):
+        bags = [(np.unique(rng.integers(10, 400, 20)), None) for _ in range(1500)]
+        bags = [(np.concatenate([[t % 2], b[0]]), np.ones(len(b[0]) + 1)) for t, b in enumerate(bags)]
+        near = rng.choice(1500, 30, replace=False)
+        lengths = np.full(1500, 60.0)
+        for d in near:
+            bags[d] = (np.array([1, 2, 3]), np.array([9.0, 9.0, 9.0]))
+            lengths[d] = 60 + rng.random() * 4e-6
+        shard = bm25.Shard([int(i) for i in range(1500)], bags, lengths, 60.0)
+        query = (np.array([1, 2, 3]), np.array([2.0, 3.0, 1.0]))
+        full = sorted(((shard.exact(d, *query), d) for d in range(1500)), key=lambda x: (-x[0], x[1]))[:10]
+        assert shard.top([query], 10) == [full]
 
 
 def test_op2_edges(odd, empty):
