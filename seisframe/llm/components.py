@@ -14,13 +14,6 @@ from .scratch import saved
 
 #: rounds of star contraction after which something is wrong: it needs O(log^2) of the longest path
 MAX_ROUNDS = 60
-#: rows of keys or links (not texts) that one task may take by itself; with more, steps are shuffled
-ONE_TASK = 200_000
-
-
-def packed(df: DataFrame, small: bool) -> DataFrame:
-    """A table known to be small in one partition, so that what follows needs no shuffle."""
-    return df.coalesce(1) if small else df
 
 
 def _checksum(edges: DataFrame) -> tuple[int, int]:
@@ -33,14 +26,12 @@ def contract(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes.  A node with very many
     links is a long run of join rows that adaptive execution may split, not one group in memory.
-    A graph of at most ``ONE_TASK`` links stays in one partition, where no step needs a shuffle.
     """
-    few = edges.count() <= ONE_TASK
-    edges = packed(edges, few).where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = saved(edges.distinct(), "edges")
     before = _checksum(edges)
     for _ in range(MAX_ROUNDS):
-        both = packed(edges, few).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every link now goes from a node to a smaller one
@@ -65,6 +56,7 @@ def link_buckets(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     facts: Callable[[DataFrame], DataFrame],
+    steps: Callable[[Column], tuple[Column, Column]],
     possible: Callable[[Column, Column], Column],
     rounds: int = 2,
 ) -> DataFrame:
@@ -75,24 +67,24 @@ def link_buckets(
     that is not yet in the centre's group is tried against one centre, the one it shares most
     buckets with.  Buckets whose members are all in one group are done.
 
-    After the rounds, the members of a bucket outside its largest group are held against all
-    members of other groups, so no link between two members of a bucket is lost.  ``facts`` gives
-    for a table of ``id`` a struct ``fact`` by which ``possible(fact, fact)`` rules pairs out inside
-    the join; it must never rule out a link.  Returns ``u, v``: a node and the smallest node of its group.
+    What is left of a bucket is split: ``facts`` gives for a table of ``id`` a struct ``fact`` with which linked
+    members are alike.  ``steps(fact)`` are the first and last of some integers; linked members have
+    equal or neighbouring ones, so the members outside the largest group meet those of other
+    groups in the same or a neighbouring step only.  Of these pairs, ``possible(fact, fact)``, which must never rule
+    out a link, keeps those that are worth verifying.  So no link between two members of a bucket
+    is lost.  Returns ``u, v``: a node and the smallest node of its group.
     """
     spark = members.sparkSession
     kind = members.schema["id"].dataType.simpleString()
     roots = spark.createDataFrame([], f"u {kind}, v {kind}")
-    few = members.count() <= ONE_TASK
-    members = packed(members, few)
     tried = links = None
     for step in range(rounds + 1):
         if tried is None:
             labelled = members.select("key", "id", F.col("id").alias("root"), F.lit(0).cast("long").alias("links"))
         else:
             # a good centre is one that has been linked often
-            degree = packed(links, few).select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-            labelled = members.join(packed(roots, few).select(F.col("u").alias("id"), "v"), "id", "left").join(degree, "id", "left")
+            degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+            labelled = members.join(roots.select(F.col("u").alias("id"), "v"), "id", "left").join(degree, "id", "left")
             labelled = labelled.select("key", "id", F.coalesce("v", "id").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
         if step < rounds:
             rank = F.struct(-F.col("links"), F.col("id") if step == 0 else F.xxhash64("id", F.lit(step)))
@@ -102,17 +94,8 @@ def link_buckets(
             trial = trial.groupBy("id").agg(F.max_by("centre", F.struct("n", F.col("centre"))).alias("centre"))
             pairs = trial.select(F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v"))
         else:
-            sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
-            top = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where(F.col("roots") > 1)
-            open_ = saved(labelled.join(top, "key").select("key", "id", "root", "top"), "open")
-            known = saved(facts(open_.select("id").distinct()), "facts")
-            open_ = packed(open_, few).join(packed(known, few), "id")
-            left = open_.where(F.col("root") != F.col("top")).select("key", F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("fact").alias("a_fact"))
-            right = open_.select("key", F.col("id").alias("b"), F.col("root").alias("b_root"), "top", F.col("fact").alias("b_fact"))
-            once = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("top")) | (F.col("a") > F.col("b")))
-            on = (left["key"] == right["key"]) & once & possible(F.col("a_fact"), F.col("b_fact"))
-            pairs = left.join(right, on).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        pairs = pairs.distinct() if tried is None else pairs.distinct().join(packed(tried, few), ["u", "v"], "left_anti")
+            pairs = rest_of_buckets(labelled, facts, steps, possible)
+        pairs = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["u", "v"], "left_anti")
         pairs = saved(pairs, "pairs")
         if pairs.isEmpty():
             continue
@@ -121,3 +104,18 @@ def link_buckets(
         links = linked if links is None else links.unionByName(linked)
         roots = contract(roots.unionByName(linked))
     return roots
+
+
+def rest_of_buckets(labelled: DataFrame, facts: Callable[[DataFrame], DataFrame], steps: Callable[[Column], tuple[Column, Column]], possible: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs ``u, v`` that the centres of ``labelled`` (``key, id, root``) have left, see ``link_buckets``."""
+    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where(F.col("roots") > 1)
+    left = saved(labelled.join(top, "key").select("key", "id", "root", "top"), "open")
+    left = left.join(saved(facts(left.select("id").distinct()), "facts"), "id")
+    first, last = steps(F.col("fact"))
+    one = left.where(F.col("root") != F.col("top")).select("key", F.explode(F.sequence(first - 1, last + 1)).alias("at"), F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("fact").alias("a_fact"))
+    other = left.select("key", F.explode(F.sequence(first, last)).alias("at"), F.col("id").alias("b"), F.col("root").alias("b_root"), "top", F.col("fact").alias("b_fact"))
+    pairs = one.join(other, ["key", "at"])
+    once = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("top")) | (F.col("a") > F.col("b")))
+    pairs = pairs.where(once & possible(F.col("a_fact"), F.col("b_fact")))
+    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))

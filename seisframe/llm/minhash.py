@@ -207,7 +207,12 @@ def groups_of(docs: DataFrame, sketched: DataFrame, percent: int, rounds: int) -
     texts = docs.join(wanted.join(sizes, "doc_id"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_shingles")
     texts = saved(texts, "texts")
 
-    roots = link_buckets(members, verifier(texts, percent), evidence(texts), lambda a, b: may_link(a, b, percent), rounds)
+    def sizes_of(fact: Column) -> tuple[Column, Column]:
+        # sizes of linked sets differ by a factor of 100 / percent at most
+        step = lambda n: F.floor(F.log(n) / F.log(F.lit(100 / percent + 1e-6))).cast("int")
+        return step(fact["least"]), step(fact["n"])
+
+    roots = link_buckets(members, verifier(texts, percent), evidence(texts), sizes_of, lambda a, b: may_link(a, b, percent), rounds)
     # groups of equal sets join the groups found between their representatives
     return contract(same.unionByName(roots)).withColumnRenamed("v", "root")
 
