@@ -1,33 +1,55 @@
 """Language identification by cross-parsing entropy.
 
-Per language one suffix automaton of a bounded sample of labelled text is built.  A text is
+Per language one suffix automaton of a bounded sample of labelled rows is built.  A text is
 parsed greedily against each automaton into longest matches (a character that the sample lacks
 leads the next match); the language needing the fewest
 phrases, normalised by the logarithm of its sample's length and the text's length, wins.  The
 automata are dense transition tables (states x characters) that follow all texts of a batch in
 step, one column of characters at a time; parsing starts anew every ``SEGMENT`` characters, so
 the work is spread evenly over long and short texts, and covers whole texts.
+
+Each language has an alphabet of its own.  Letters of its sample beyond the ``ALPHABET`` most frequent
+count as one; a letter that its sample lacks matches nothing.  Automata are built by Spark tasks, one
+language in each, and travel as lists of transitions.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: bounds of the labelled sample: documents and characters per language, and languages
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGS = 80, 40_000, 64
-#: characters told apart: the most frequent of the sample, others count as one
-ALPHABET, SEGMENT, CHUNK = 62, 512, 4_000_000
-OTHER, GAP = 0, 1
+#: bounds of the labelled sample: rows of a language, characters of a language and of all languages
+#: together, and languages; with them the model has at most 2 * ALL_CHARS states
+SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS, MAX_LANGS = 80, 40_000, 640_000, 64
+#: letters of a language that are told apart
+ALPHABET, SEGMENT, CHUNK = 61, 512, 2_000_000
+RARE, GAP, UNSEEN, WIDTH = 0, 1, 2, 64
+END = np.uint32(0xFFFFFFFF)
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
 
+def code_points(text: str) -> np.ndarray:
+    """Letters of the lower-cased text, with a space for each run of anything else."""
+    a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    gap = ~letters()[a]
+    a = np.where(gap, np.uint32(32), a)
+    return a[~(gap & np.concatenate([[False], gap[:-1]]))] if len(a) else a
 
-def suffix_automaton(symbols: list[int]) -> np.ndarray:
-    """Transitions of the smallest automaton of all substrings; -1 where there is none."""
+
+def suffix_automaton(symbols: list[int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest automaton of all substrings: number of states, and from, symbol and to of each
+    transition."""
     go: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -54,70 +76,79 @@ def suffix_automaton(symbols: list[int]) -> np.ndarray:
                     go[p][c] = copy
                     p = link[p]
         last = cur
-    table = np.full((len(go), ALPHABET + 2), -1, np.int32)
-    for s, edges in enumerate(go):
-        for c, t in edges.items():
-            table[s, c] = t
-    return table
+    edges = [(s, c, t) for s, e in enumerate(go) for c, t in e.items()]
+    at, by, to = np.array(edges, np.int32).reshape(-1, 3).T
+    return len(go), at, by, to
+
+
+class Language:
+    """What is learnt of one language: its letters with their classes, and its automaton."""
+
+    def __init__(self, texts: list[str]):
+        sample = code_points("\n".join(texts))
+        counts = Counter(sample.tolist())
+        counts.pop(32, None)
+        by_count = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        self.letters = np.array(by_count, np.uint32)
+        self.states, self.at, self.by, self.to = suffix_automaton(self.classes()[sample].tolist())
+        self.bits = float(np.log2(max(2, len(sample))))
+
+    def classes(self) -> np.ndarray:
+        out = np.full(0x110000, UNSEEN, np.uint8)
+        out[32] = GAP
+        out[self.letters] = RARE
+        out[self.letters[:ALPHABET]] = np.arange(len(self.letters[:ALPHABET])) + 3
+        return out
 
 
 class CrossParser:
-    """``langs``, one stacked transition table, and the character classes; fits in a broadcast:
-    at most ``MAX_LANGS * 2 * SAMPLE_CHARS`` rows, whatever the size of the corpus."""
-
-    def __init__(self, samples: dict[str, list[str]], sample_chars: int = SAMPLE_CHARS):
-        self.langs = sorted(samples)
-        texts = {lang: "\n".join(samples[lang])[:sample_chars].lower() for lang in self.langs}
-        counts = Counter(c for t in texts.values() for c in t if c.isalpha())
-        chars = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:ALPHABET]
-        self.classes = np.zeros(0x110000, np.uint8)
-        for c in range(0x250):
-            self.classes[c] = OTHER if chr(c).isalpha() else GAP
-        for i, c in enumerate(chars):
-            self.classes[ord(c)] = i + 2
-        tables, start = [], 0
-        self.roots, self.bits = [], []
-        for lang in self.langs:
-            symbols = self.symbols(texts[lang])
-            t = suffix_automaton(symbols.tolist())
-            tables.append(np.where(t >= 0, t + start, -1).astype(np.int32))
-            self.roots.append(start)
-            self.bits.append(np.log2(max(2, len(symbols))))
-            start += len(t)
-        self.table = np.concatenate(tables) if tables else np.zeros((0, ALPHABET + 2), np.int32)
-
-    def symbols(self, text: str) -> np.ndarray:
-        """Character classes of the lower-cased text with runs of non-letters as one gap."""
-        a = self.classes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        gap = a == GAP
-        return a[~(gap & np.concatenate([[False], gap[:-1]]))] if len(a) else a
+    """The languages' names, classes and one stacked transition table, made once in each process."""
+
+    def __init__(self, languages: dict[str, Language]):
+        self.langs = sorted(languages)
+        self.languages = [languages[x] for x in self.langs]
+        self.table = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None, "classes": None}
+
+    def build(self) -> None:
+        self.roots = np.concatenate([[0], np.cumsum([x.states for x in self.languages])]).astype(np.int64)[:-1]
+        self.classes = [x.classes() for x in self.languages]
+        self.table = np.full((sum(x.states for x in self.languages), WIDTH), -1, np.int32)
+        for root, x in zip(self.roots.tolist(), self.languages, strict=True):
+            self.table[x.at + root, x.by] = x.to + root
 
     def costs(self, texts: list[str]) -> np.ndarray:
         """Bits per character of each text under each language (texts x languages)."""
-        parts = [self.symbols(t) for t in texts]
-        n_langs, width = len(self.langs), ALPHABET + 2
+        if self.table is None:
+            self.build()
+        parts = [code_points(t) for t in texts]
+        n_langs = len(self.langs)
         counts = np.array([-(-len(p) // SEGMENT) for p in parts])
-        grid = np.full((int(counts.sum()), SEGMENT), 255, np.uint8)
+        grid = np.full((int(counts.sum()), SEGMENT), END, np.uint32)
         row = 0
         for p, n in zip(parts, counts.tolist(), strict=True):
             grid[row : row + n].reshape(-1)[: len(p)] = p
             row += n
-        order = np.argsort(-(grid != 255).sum(1), kind="stable")
+        order = np.argsort(-(grid != END).sum(1), kind="stable")
         columns = np.ascontiguousarray(grid[order].T)
-        live = (columns != 255).sum(1)
+        live = (columns != END).sum(1)
+        columns[columns == END] = 32
+        columns = np.stack([x[columns] for x in self.classes], 1)  # characters x languages x segments
         flat = self.table.reshape(-1)
-        roots = np.array(self.roots, np.int64)[:, None]
-        again = self.table[roots[:, 0]].astype(np.int64)  # where a phrase that starts with c leads
+        roots = self.roots[:, None]
+        again = self.table[self.roots].astype(np.int64)  # where a phrase that starts with c leads
         again = np.where(again >= 0, again, roots)
-        again_flat, base = again.reshape(-1), (np.arange(n_langs) * width)[:, None]
+        again_flat, base = again.reshape(-1), (np.arange(n_langs) * WIDTH)[:, None]
         state = np.repeat(roots, len(grid), 1)
         phrases = np.ones((n_langs, len(grid)), np.int32)
         for j in range(SEGMENT):
             n = int(live[j])
             if not n:
                 break
-            c = columns[j, :n].astype(np.int64)[None, :]
-            to = flat.take(state[:, :n] * width + c)
+            c = columns[j, :, :n].astype(np.int64)
+            to = flat.take(state[:, :n] * WIDTH + c)
             stop = to < 0
             phrases[:, :n] += stop
             state[:, :n] = np.where(stop, again_flat.take(base + c), to)
@@ -125,7 +156,7 @@ class CrossParser:
         by_row[:, order] = phrases
         total = np.zeros((len(texts), n_langs))
         np.add.at(total, np.repeat(np.arange(len(texts)), counts), by_row.T)
-        return total * np.array(self.bits)[None, :] / np.maximum(1, [len(p) for p in parts])[:, None]
+        return total * np.array([x.bits for x in self.languages])[None, :] / np.maximum(1, [len(p) for p in parts])[:, None]
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -133,25 +164,39 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> CrossParser:
-    """Fit on at most ``sample_docs`` documents and ``sample_chars`` characters per value of
-    ``lang``; the documents come first in the order of a hash of their id.  Ids are chosen before
-    any text is read."""
-    ids = docs.where(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    langs = sorted(r.lang for r in ids.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
+    """Fit on a sample of whole rows of each value of ``lang``: at most ``sample_docs`` of them, in the
+    order of a hash of their id, as long as they have ``sample_chars`` characters together (fewer for
+    each of more than 16 languages, so that all have ``ALL_CHARS`` at most).  Rows of over an eighth of that
+    come last, the shorter first, and if one is taken that is longer than all, its language's sample is
+    that row's first ``sample_chars`` characters.  More than ``MAX_LANGS`` languages raise ``ValueError``, as the
+    model, which every worker holds, would have no bound.
+    """
+    known = docs.where(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    langs = known.select("lang").distinct().limit(MAX_LANGS + 1).count()
+    if langs > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    chosen = None
-    for lang in langs:
-        some = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    if chosen is None:
-        return CrossParser({})
-    short = F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text")
-    rows = docs.select("doc_id", "lang", short).join(F.broadcast(chosen), ["doc_id", "lang"]).distinct().collect()
-    samples: dict[str, list[str]] = {lang: [] for lang in langs}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
-        samples[r.lang].append(r.text)
-    return CrossParser(samples, sample_chars)
+    most = min(sample_chars, ALL_CHARS // max(1, langs))
+    rows = known.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("chars", F.char_length("text"))
+    rows = rows.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    long = F.when(F.col("chars") > most // 8, F.col("chars")).otherwise(0)
+    order = W.partitionBy("lang").orderBy(long, F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select("lang", "n", "text", "chars")
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n")
+        enough = rows["chars"].cumsum() <= most
+        texts = rows["text"][enough].tolist() or [rows["text"].iloc[0][:most]]
+        x = Language(texts)
+        values = [rows["lang"].iloc[0], x.letters.astype(np.int64), x.states, x.at, x.by, x.to, x.bits]
+        return pd.DataFrame({k: [v] for k, v in zip(("lang", "letters", "states", "at", "by", "to", "bits"), values, strict=True)})
+
+    made = chosen.groupBy("lang").applyInPandas(learn, "lang string, letters array<long>, states long, at array<int>, by array<int>, to array<int>, bits double")
+    languages = {}
+    for r in made.collect():
+        x = languages[r.lang] = Language.__new__(Language)
+        x.letters, x.states, x.bits = np.array(r.letters, np.uint32), r.states, r.bits
+        x.at, x.by, x.to = (np.array(a, np.int32) for a in (r.at, r.by, r.to))
+    return CrossParser(languages)
 
 
 def predict(docs: DataFrame, model: CrossParser, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -160,7 +205,9 @@ def predict(docs: DataFrame, model: CrossParser, keep: tuple[str, ...] = ("doc_i
     ``lang_pred`` is ``und`` with score 0 if the text is null, empty or has no letter, or if no
     labelled text was there to learn from.  The score is the share of the winner in the weights
     ``2 ** (-4 * bits per character)``.  Ties go to the first language by code point.  Repeated
-    rows and null ids give one output row per input row; other columns are not read.
+    rows and null ids give one output row per input row; other columns are not read.  ``keep`` may have
+    columns named like the results: they are replaced.  A text longer than ``CHUNK`` characters is a
+    batch of its own, with memory in proportion to its length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -187,12 +234,14 @@ def predict(docs: DataFrame, model: CrossParser, keep: tuple[str, ...] = ("doc_i
             rows["lang_pred"], rows["score"] = pred, score
             yield rows
 
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     rows = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + ["lang_pred string", "score double"])
     return rows.mapInPandas(run, schema)
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), folds: int = 5) -> DataFrame:
-    """Fit on the rows of ``docs`` whose id is not held out and predict all of them."""
+    """Fit on the rows of ``docs`` whose id is not held out and predict all of them; see ``fit`` for the
+    sample and its bounds, more than ``MAX_LANGS`` languages included, and ``predict`` for the results."""
     model = fit(docs, ~held_out(F.col("doc_id"), folds))
     return predict(docs, model, keep).withColumn("held_out", held_out(F.col("doc_id"), folds))

@@ -261,8 +261,8 @@ def test_op8_learns_languages(spark):
 
 
 def test_op8_parse_equals_greedy():
-    parser = language_id.CrossParser({"x": ["abracadabra abc"], "y": ["zzyzx banana"]})
-    text = "abra banana zyx cab"
+    samples = {"x": "abracadabra abc", "y": "zzyzx banana"}
+    parser = language_id.CrossParser({k: language_id.Language([v]) for k, v in samples.items()})
 
     def phrases(sample, s):
         """A character the sample lacks ends a phrase and leads the next one."""
@@ -275,14 +275,39 @@ def test_op8_parse_equals_greedy():
             i, n = j, n + 1
         return n
 
-    costs = parser.costs([text])[0] * len(text)
-    assert costs[0] / np.log2(len("abracadabra abc")) == phrases("abracadabra abc", text)
-    assert costs[1] / np.log2(len("zzyzx banana")) == phrases("zzyzx banana", text)
+    rng = random.Random(4)
+    long = "".join(rng.choice(["abra", "banana", "zzy", "cad", " ", "q"]) for _ in range(700))
+    long = " ".join(long.split())
+    for text in ("abra banana zyx cab", long):
+        costs = parser.costs([text])[0] * len(text)
+        for cost, sample in zip(costs, samples.values(), strict=True):
+            # parsing starts anew every SEGMENT characters; one that starts with a lacking one has a phrase before it
+            want = 0
+            for i in range(0, len(text), language_id.SEGMENT):
+                part = text[i : i + language_id.SEGMENT]
+                want += phrases(sample, part) + (part[0] not in sample)
+            assert cost / np.log2(len(sample)) == pytest.approx(want)
+
+
+def test_op8_tells_scripts_without_shared_letters_apart(spark):
+    """Two large alphabets, without one letter in common, and few of them in each sample."""
+    rng = random.Random(7)
+    say = lambda first: "".join(chr(first + int(rng.random() ** 2 * 3000)) for _ in range(80))
+    rows = [(i, say([0x4E00, 0xAC00][i % 2]), ["zh", "ko"][i % 2], None, None) for i in range(200)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs(spark, rows)).collect()}
+    assert all(got[i] == lang for i, _, lang, *_ in rows)
+
+
+def test_op8_quotes_and_dashes_are_no_letters():
+    parser = language_id.CrossParser({"x": language_id.Language(["the cat sat on the mat and the dog"])})
+    plain, curly = parser.costs(['the cat "sat" - on', "the cat “sat” — on"])
+    assert plain == pytest.approx(curly)
 
 
 def test_op8_odd_rows(odd, empty):
     out = language_id.identify(odd)
     assert out.count() == odd.count()
+    assert out.where("lang_pred = 'und'").count() >= 3
     assert language_id.identify(empty).count() == 0
 
 
