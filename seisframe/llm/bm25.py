@@ -30,7 +30,7 @@ from .scratch import saved
 
 K1, B = 1.2, 0.75
 #: words a shard holds on average, documents of a block, queries of a batch
-SHARD_WORDS, BLOCK, BATCH = 10_000_000, 128, 256
+SHARD_WORDS, BLOCK, BATCH = 5_000_000, 128, 256
 #: terms kept as rows of a matrix: how many at most, and the least part of a shard's documents
 ROWS, FREQUENT = 768, 1 / 32
 #: groups of like documents that a shard is ordered by
