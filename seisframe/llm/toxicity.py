@@ -78,6 +78,21 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (bucket % BUCKETS).astype(np.int64), 1.0 / (per_word[of] * per_text[text]), text
 
 
+def gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, batch: tuple) -> list[np.ndarray]:
+    """Of the mean cross entropy of a batch, with decay of embeddings.  ``batch`` has bucket, weight and
+    text of each subword, and the texts' labels."""
+    b, w, t, labels = batch
+    n = len(labels)
+    hidden = np.stack([np.bincount(t, w * emb[b, d], n) for d in range(emb.shape[1])], 1)
+    logits = hidden @ out + bias
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(n), labels] -= 1
+    p /= n
+    down = p @ out.T
+    return [np.stack([np.bincount(b, w * down[t, d], len(emb)) for d in range(emb.shape[1])], 1) + DECAY * emb, hidden.T @ p, p.sum(0)]
+
+
 def train(texts: list[str], labels: list[int], seed: int = 9) -> tuple[np.ndarray, float]:
     """Subword scores (embedding times output weights) and the bias of the difference of classes.
 
@@ -103,18 +118,9 @@ def train(texts: list[str], labels: list[int], seed: int = 9) -> tuple[np.ndarra
     step = 0
     for epoch in range(EPOCHS):
         rate = RATE * (1 - 0.8 * epoch / EPOCHS)
-        for b, w, t, labels_of in (parts[i] for i in rng.permutation(len(parts))):
-            n = len(labels_of)
-            hidden = np.stack([np.bincount(t, w * emb[b, d], n) for d in range(DIM)], 1)
-            logits = hidden @ out + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(n), labels_of] -= 1
-            p /= n
-            down = p @ out.T
-            grads = [np.stack([np.bincount(b, w * down[t, d], BUCKETS) for d in range(DIM)], 1) + DECAY * emb, hidden.T @ p, p.sum(0)]
+        for i in rng.permutation(len(parts)):
             step += 1
-            for x, g, m, v in zip(params, grads, first, second, strict=True):
+            for x, g, m, v in zip(params, gradients(emb, out, bias, parts[i]), first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -126,14 +132,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, float]:
-    """Fit on at most ``sample_docs`` labelled documents, first by a hash of their id.
+    """Fit on at most ``sample_docs`` rows of labelled documents, first by a hash of their id; rows that
+    repeat id and text count once.
 
     A document with several labels counts as toxic if any says so; null ids and labels are left
     out.  Without both classes in the sample, every text gets the share of toxic labels.
     """
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & training).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").distinct()
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
@@ -144,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, sample_docs: int =
         yield pd.DataFrame({"table": [table], "bias": [bias]})
 
     # the sample is bounded, so one executor task fits it and the model alone comes to the driver
-    made = rows.repartition(1).mapInPandas(run, "table array<double>, bias double").collect()
+    made = rows.coalesce(1).mapInPandas(run, "table array<double>, bias double").collect()
     return (np.array(made[0].table), made[0].bias) if made else fit_rows([], [])
 
 
@@ -159,7 +167,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
     """``keep`` columns, ``score`` (0 to 1) and ``predicted`` for every row of ``docs``.
 
     A null text or one without letters and digits gets the score of the bias alone.  Repeated
-    rows and null ids give one output row per input row; other columns are not read.
+    rows and null ids give one output row per input row; other columns are not read.  ``keep`` may have
+    columns named like the results: they are replaced.  A text longer than ``CHUNK`` characters is a
+    batch of its own, with memory in proportion to its length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -179,6 +189,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
             rows["score"] = 1 / (1 + np.exp(-np.clip(logits + bias, -60, 60)))
             yield rows
 
+    keep = tuple(c for c in keep if c not in ("score", "predicted"))
     rows = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + ["score double"])
     return rows.mapInPandas(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

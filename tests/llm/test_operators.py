@@ -340,6 +340,31 @@ def test_op9_subword_weights_sum_to_one():
     assert np.bincount(t, w, 4) == pytest.approx([1, 0, 0, 1])
 
 
+def test_op9_gradients_are_those_of_the_loss():
+    """Every parameter moved a little by hand, the loss in plain loops."""
+    rng = np.random.default_rng(2)
+    emb, out, bias = rng.normal(size=(6, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    b, t, w, y = np.array([0, 1, 1, 4, 5, 2]), np.array([0, 0, 1, 1, 2, 2]), rng.random(6), np.array([1, 0, 1])
+
+    def loss():
+        total = 0.0
+        for i, label in enumerate(y):
+            hidden = sum((w[j] * emb[b[j]] for j in range(6) if t[j] == i), np.zeros(3))
+            e = np.exp(hidden @ out + bias)
+            total -= np.log(e[label] / e.sum()) / len(y)
+        return total + toxicity.DECAY * (emb**2).sum() / 2
+
+    for x, got in zip((emb, out, bias), toxicity.gradients(emb, out, bias, (b, w, t, y)), strict=True):
+        for at in np.ndindex(x.shape):
+            before = x[at]
+            x[at] = before + 1e-6
+            up = loss()
+            x[at] = before - 1e-6
+            want = (up - loss()) / 2e-6
+            x[at] = before
+            assert got[at] == pytest.approx(want, abs=1e-6)
+
+
 def test_op9_odd_rows(spark, odd, empty):
     lab = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert toxicity.rate(odd, lab).count() == odd.count()
