@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: bound of the labelled sample the model is fitted on
 SAMPLE_DOCS = 12_000
 BUCKETS, DIM, EPOCHS, BATCH = 1 << 16, 4, 10, 128
+#: a small sample is gone through more often, for so many steps at least
+STEPS = 150
 #: subwords of fewer of the sample's texts than this have no embedding of their own
 MIN_TEXTS = 2
 #: step size, decay of embeddings, and the factor that brings means of many subwords to size 1
@@ -115,9 +117,10 @@ def train(texts: list[str], labels: list[int], seed: int = 9) -> tuple[np.ndarra
     out, bias = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
     params = [emb, out, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    epochs = max(EPOCHS, -(-STEPS // len(parts)))
     step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - 0.8 * epoch / EPOCHS)
+    for epoch in range(epochs):
+        rate = RATE * (1 - 0.8 * epoch / epochs)
         for i in rng.permutation(len(parts)):
             step += 1
             for x, g, m, v in zip(params, gradients(emb, out, bias, parts[i]), first, second, strict=True):
