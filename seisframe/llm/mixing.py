@@ -32,10 +32,11 @@ def cyclic_weights(sources: DataFrame, pattern: tuple[int, ...] = (3, 1, 2)) ->
 def water_fill(sources: DataFrame, share: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """``source, source_size, weight`` -> the same and ``target`` (double).
 
-    The window runs over one row per source, never over documents.
+    The window runs over one row per source, never over documents.  A source of weight 0 gets nothing.
     """
     every = W.partitionBy()
-    first = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    per_weight = F.when(F.col("weight") > 0, F.col("cap") / F.col("weight"))
+    first = W.orderBy(per_weight.asc_nulls_last(), F.col("source").asc_nulls_last())
     before = first.rowsBetween(W.unboundedPreceding, -1)
     filled = (
         sources.withColumn("cap", F.col("source_size") * max_epochs)
@@ -48,7 +49,7 @@ def water_fill(sources: DataFrame, share: float = 1.5, max_epochs: int = 2) -> D
         .withColumn("open_budget", F.max(F.when(~F.col("capped"), F.col("budget_left"))).over(every))
     )
     level = F.col("weight") * F.col("open_budget") / F.col("open_weight")
-    return filled.select("source", "source_size", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level).alias("target"))
+    return filled.select("source", "source_size", "weight", F.when(F.col("weight") <= 0, F.lit(0.0)).when(F.col("capped"), F.col("cap").cast("double")).otherwise(level).alias("target"))
 
 
 def same(a: Column, b: Column) -> Column:
@@ -61,12 +62,13 @@ def mix(docs: DataFrame, size: Column, weights: DataFrame | None = None, share:
 
     ``size`` is a column expression over ``docs``; null counts as 0.  A null source is a source of
     its own.  Weights that are missing count as 1.  Rows with equal ``doc_id`` have the same hash
-    and are ordered by size, so reruns agree; a null id is hashed as the empty string.  An empty
+    and are ordered by size and a hash of ``keep``, so reruns agree; a null id is hashed as the empty string.  An empty
     table, or one whose sizes are all 0, takes nothing.  Only ``doc_id``, ``source``, the columns
-    of ``size`` and ``keep`` are read.
+    of ``size`` and ``keep`` are read.  ``keep`` may not have names of the results.  A very long text is one
+    row with a large size.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = saved(docs.select("doc_id", "source", F.coalesce(size, F.lit(0)).cast("long").alias("size"), digest.alias("__h"), *keep), "sizes")
+    rows = saved(docs.select("doc_id", "source", F.coalesce(size, F.lit(0)).cast("long").alias("size"), digest.alias("__h"), F.xxhash64("source", *keep).alias("__t"), *keep), "sizes")
     spread = rows.groupBy("source", F.substring("__h", 1, PREFIX).alias("__p")).agg(F.sum("size").alias("__n"))
     spread = saved(spread, "prefixes")
     sources = spread.groupBy("source").agg(F.sum("__n").alias("source_size"))
@@ -95,7 +97,7 @@ def mix(docs: DataFrame, size: Column, weights: DataFrame | None = None, share:
     at_end = F.coalesce(prefix == F.col("__end"), F.lit(False))
     whole_prefix = F.col("__end").isNull() | (prefix < F.col("__end"))
     easy = rows.where(~at_end).withColumn("__more", F.when(whole_prefix & (F.col("__aim") > 0), 1).otherwise(0))
-    inside = W.partitionBy("source").orderBy("__h", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source").orderBy("__h", "size", "__t").rowsBetween(W.unboundedPreceding, W.currentRow)
     to = F.col("__from") + F.sum("size").over(inside)
     # a document goes in if more than half of it lies before the aim
     hard = rows.where(at_end).withColumn("__more", F.when(2 * to - F.col("size") < 2 * F.col("__aim"), 1).otherwise(0))
