@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,23 +22,27 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="seisframe-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-_temporary: list[list[str]] = []
+#: paths of the tables that each open block will delete, the innermost last
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open blocks", default=())
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables saved inside, but for those with ``keep``, are deleted when the block ends."""
+    """Tables saved inside are deleted when the block ends, but those with ``keep`` belong to the block around it,
+    or stay if there is none: results are read after the operator has returned."""
     paths: list[str] = []
-    _temporary.append(paths)
+    token = _open.set((*_open.get(), paths))
     try:
         yield
     finally:
-        _temporary.remove(paths)
+        _open.reset(token)
         for text in paths:
             path = spark._jvm.org.apache.hadoop.fs.Path(text)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -47,8 +52,8 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seisframe-{uuid.uuid4().hex}/{name}"
-    if _temporary and not keep:
-        _temporary[-1].append(path)
+    if len(_open.get()) > keep:
+        _open.get()[-1 - keep].append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
