@@ -29,9 +29,10 @@ def visible_picks(picks: DataFrame, lo: float, hi: float, v_red: float = 6.0) ->
     return picks.where((red > lo) & (red < hi))
 
 
-def hidden_count(picks: DataFrame, lo: float, hi: float, v_red: float = 6.0) -> DataFrame:
+def hidden_count(picks: DataFrame, lo: float, hi: float, v_red: float = 6.0, by: list[str] | None = None) -> DataFrame:
+    """``n_hidden``: picks outside the window, of all or of each group ``by`` some columns."""
     red = F.col("tt") - F.col("offset") / v_red
-    return picks.agg(F.count_if(~((red > lo) & (red < hi))).alias("n_hidden"))
+    return picks.groupBy(*(by or [])).agg(F.count_if(~((red > lo) & (red < hi))).alias("n_hidden"))
 
 
 def inside_model(picks: DataFrame, shots_xz: DataFrame, x1: float, x2: float, z1: float, z2: float) -> tuple[DataFrame, DataFrame]:
@@ -167,11 +168,11 @@ def sta_lta_from_onset(samples: Column, nsta: int, nlta: int) -> Column:
     return per_trace(run, samples)
 
 
-def guess_picks(binned: DataFrame, lo: float, hi: float, fs: float, short_s: float = 0.002, long_s: float = 0.2, threshold: float = 4.0, v_red: float = 6.0) -> DataFrame:
-    """Automatic picks of binned sums (``offset, samples``): ``offset, tt, hit``."""
+def guess_picks(binned: DataFrame, lo: float, hi: float, fs: float, short_s: float = 0.002, long_s: float = 0.2, threshold: float = 4.0, v_red: float = 6.0, keys: list[str] | None = None) -> DataFrame:
+    """Automatic picks of binned sums (``offset, samples``): ``keys`` (or ``offset``), ``tt, hit``."""
     ratio = binned.withColumn("samples", sta_lta_from_onset(F.col("samples"), max(1, int(short_s * fs)), max(1, int(long_s * fs))))
     tt, hit = first_above_in(F.col("samples"), F.lit(fs), F.col("offset"), threshold, lo, hi, v_red)
-    return ratio.select("offset", tt.alias("tt"), hit.alias("hit"))
+    return ratio.select(*(keys or ["offset"]), tt.alias("tt"), hit.alias("hit"))
 
 
 def trace_order(picks: DataFrame) -> DataFrame:

@@ -64,8 +64,9 @@ class Tables:
 
     @property
     def calc(self) -> DataFrame:
-        """The picks' times off by a fixed amount per shot; every third shot has none."""
-        return self.picks.where(F.col("shot") % 3 != 0).withColumn("tt_calc", F.col("tt") + (F.col("shot") % 7 - 3) * F.lit(0.01)).drop("offset")
+        """The picks' times off by a fixed amount per shot; stations without an account have none."""
+        known = self.raw("supplier").where(F.col("s_acctbal") > 0).select(F.col("s_suppkey").alias("station"))
+        return self.picks.join(known, "station", "left_semi").withColumn("tt_calc", F.col("tt") + (F.col("shot") % 7 - 3) * F.lit(0.01)).drop("offset")
 
     @property
     def edits(self) -> DataFrame:
@@ -73,11 +74,11 @@ class Tables:
 
     @property
     def records(self) -> DataFrame:
-        """Recordings of two to five minutes, one per third order."""
+        """Recordings of two to five minutes, one per order."""
         k = F.col("o_orderkey")
         start = F.lit(1_704_067_200) + k % 720 * 3600 + k % 59 * 60
         ends = start + (k % 4 + 2) * 60
-        return self.raw("orders").where(k % 3 == 0).select(k.alias("record_id"), F.timestamp_seconds(start).alias("t_start"), F.timestamp_seconds(ends).alias("t_end"))
+        return self.raw("orders").select(k.alias("record_id"), F.timestamp_seconds(start).alias("t_start"), F.timestamp_seconds(ends).alias("t_end"))
 
     @property
     def events(self) -> DataFrame:
@@ -106,9 +107,9 @@ VIEWS = {
     "shots": "SELECT (o_orderkey + 990)::INT AS shotno, (o_custkey % 5 + 1)::INT AS lineno, o_orderdate AS time, o_orderkey % 131 * 0.004::DOUBLE + 56.5::DOUBLE AS lat, o_orderkey % 113 * 0.006::DOUBLE - 152.9::DOUBLE AS lon FROM orders",
     "quakes": "SELECT event_id AS quake_id, ts AS origin_time, epoch_us(ts) * 1000 AS ns, event_id % 311 * 0.01::DOUBLE + 55.0::DOUBLE AS origin_latitude, event_id % 211 * 0.01::DOUBLE - 154.0::DOUBLE AS origin_longitude, event_id % 170 + 0.6::DOUBLE AS origin_depth_km FROM events",
     "picks": "SELECT station, shot, phase, p.\"offset\" AS \"offset\", p.tt AS tt, p.error AS error FROM (SELECT l_suppkey AS station, l_orderkey AS shot, (CASE WHEN l_linenumber % 4 = 0 THEN -2 ELSE l_linenumber % 4 END)::INT AS phase, min({'tt': l_extendedprice / 1e4, 'offset': l_quantity * 5.0::DOUBLE, 'error': CASE l_returnflag WHEN 'A' THEN 0.04::DOUBLE WHEN 'N' THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END}) AS p FROM lineitem GROUP BY 1, 2, 3)",
-    "calc": "SELECT station, shot, phase, tt, error, tt + (shot % 7 - 3) * 0.01::DOUBLE AS tt_calc FROM picks WHERE shot % 3 <> 0",
+    "calc": "SELECT station, shot, phase, tt, error, tt + (shot % 7 - 3) * 0.01::DOUBLE AS tt_calc FROM picks WHERE station IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
     "edits": "SELECT user_id AS shot, (event_id % 50)::DOUBLE AS \"offset\", value AS tt, 0.1::DOUBLE AS error, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'set' END AS action, event_id AS seq FROM events",
-    "records": "SELECT o_orderkey AS record_id, TIMESTAMP '2024-01-01' + to_minutes((o_orderkey % 720 * 60 + o_orderkey % 59)::INT) AS t_start, TIMESTAMP '2024-01-01' + to_minutes((o_orderkey % 720 * 60 + o_orderkey % 59 + o_orderkey % 4 + 2)::INT) AS t_end FROM orders WHERE o_orderkey % 3 = 0",
+    "records": "SELECT o_orderkey AS record_id, TIMESTAMP '2024-01-01' + to_minutes((o_orderkey % 720 * 60 + o_orderkey % 59)::INT) AS t_start, TIMESTAMP '2024-01-01' + to_minutes((o_orderkey % 720 * 60 + o_orderkey % 59 + o_orderkey % 4 + 2)::INT) AS t_end FROM orders",
     "pts": "SELECT ray, i AS k, (i - 1) * 3.9::DOUBLE AS x, abs(embedding[i]::DOUBLE) * 30 AS z FROM (SELECT vec_id AS ray, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",
     "arrivals": "SELECT event_id, x, y, sqrt((x - (event_id % 7 + 5.3::DOUBLE)) * (x - (event_id % 7 + 5.3::DOUBLE)) + (y - (event_id % 5 + 4.7::DOUBLE)) * (y - (event_id % 5 + 4.7::DOUBLE))) / 2.0::DOUBLE + 1.0::DOUBLE AS t FROM (SELECT DISTINCT l_orderkey AS event_id, (l_suppkey % 17)::DOUBLE AS x, (l_suppkey % 13)::DOUBLE AS y FROM lineitem)",
 }

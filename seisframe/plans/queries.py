@@ -101,8 +101,7 @@ def picks_visible(t: Tables) -> DataFrame:
 
 @query('SELECT phase, count(*) FILTER (WHERE NOT (tt - "offset" / 6.0::DOUBLE > -20 AND tt - "offset" / 6.0::DOUBLE < -5)) AS n_hidden FROM picks GROUP BY phase')
 def picks_hidden(t: Tables) -> DataFrame:
-    red = F.col("tt") - F.col("offset") / 6.0
-    return t.picks.groupBy("phase").agg(F.count_if(~((red > -20) & (red < -5))).alias("n_hidden"))
+    return picks.hidden_count(t.picks, -20, -5, by=["phase"])
 
 
 @query("SELECT shotno FROM shots WHERE lon BETWEEN -152.8 AND -152.4 AND lat BETWEEN 56.6 AND 56.9")
@@ -313,13 +312,13 @@ def mean_stack(t: Tables) -> DataFrame:
     return as_rows(stack.bin_mean(binned), ["bin_id", "count"], "mean", 5)
 
 
-AXIS = """+ b AS (SELECT round_even("offset" / 2.5::DOUBLE, 0)::BIGINT AS bin_id, count(*) AS n FROM picks WHERE station % 3 = 0 GROUP BY 1)
+AXIS = """+ b AS (SELECT round_even("offset" / 2.5::DOUBLE, 0)::BIGINT AS bin_id, count(*) AS n FROM picks GROUP BY 1)
 SELECT a.bin_id, a.bin_id * 2.5::DOUBLE AS "offset", coalesce(n, 0)::BIGINT AS count FROM (SELECT unnest(range(0, 121)) AS bin_id) a LEFT JOIN b USING (bin_id)"""
 
 
 @query(AXIS)
 def bins_on_axis(t: Tables) -> DataFrame:
-    counts = t.picks.where(F.col("station") % 3 == 0).groupBy(stack.bin_id(F.col("offset"), 2.5).alias("bin_id")).agg(F.count("*").alias("count"))
+    counts = t.picks.groupBy(stack.bin_id(F.col("offset"), 2.5).alias("bin_id")).agg(F.count("*").alias("count"))
     return stack.on_axis(stack.bin_axis(t.spark, 0.0, 300.0, 2.5), counts).select("bin_id", "offset", "count")
 
 
@@ -500,12 +499,15 @@ def models_swept(t: Tables) -> DataFrame:
     return picks.model_sweep(t.spark, SWEEP).join(used, "start_sed_v", "left").select("name", F.coalesce("n", F.lit(0)).cast("long").alias("n_picks"))
 
 
-@query()
+GUESSED = f"""{ONSET.replace("SELECT trace_id, i::BIGINT AS i, round(", ", h AS (SELECT trace_id, i, (", 1).replace(", 6) + 0.0::DOUBLE AS x FROM w", ") AS x FROM w)", 1)},
+k AS (SELECT trace_id, i, (i - 1) / 16.0::DOUBLE AS tt, x > 1.5 AND (i - 1) / 16.0::DOUBLE - (shot % 20) / 6.0::DOUBLE > -2 AND (i - 1) / 16.0::DOUBLE - (shot % 20) / 6.0::DOUBLE < 4 AS ok FROM h JOIN traces USING (trace_id))
+SELECT trace_id, coalesce(min(tt) FILTER (WHERE ok), 0) AS tt, bool_or(ok) AS hit FROM k GROUP BY trace_id"""
+
+
+@query(GUESSED)
 def picks_guessed(t: Tables) -> DataFrame:
     rows = t.traces.select("trace_id", (F.col("shot") % 20).cast("double").alias("offset"), "samples")
-    ratio = rows.withColumn("samples", picks.sta_lta_from_onset(F.col("samples"), 2, 8))
-    tt, hit = picks.first_above_in(F.col("samples"), F.lit(FS), F.col("offset"), 1.5, -2.0, 4.0)
-    return ratio.select("trace_id", tt.alias("tt"), hit.alias("hit"))
+    return picks.guess_picks(rows, -2.0, 4.0, FS, 2 / FS, 8 / FS, 1.5, keys=["trace_id"])
 
 
 # --- pipelines ---------------------------------------------------------------------------------
