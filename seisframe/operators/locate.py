@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def predicted(events: DataFrame, arrivals: DataFrame, v: float) -> DataFrame:
 def locate_step(events: DataFrame, arrivals: DataFrame, v: float) -> DataFrame:
     """One least-squares step per event: sums of the normal equations, then a 3 x 3 solve in columns.
 
-    Events whose stations do not determine a position keep their guess.
+    Events whose stations do not determine a position keep their guess; other columns stay.
     """
     rows = predicted(events, arrivals, v).withColumn("gx", F.try_divide("dx", F.col("d") * v)).withColumn("gy", F.try_divide("dy", F.col("d") * v))
     terms = {"xx": "gx*gx", "xy": "gx*gy", "yy": "gy*gy", "x": "gx", "y": "gy", "rx": "gx*r", "ry": "gy*r", "r": "r"}
@@ -31,7 +33,7 @@ def locate_step(events: DataFrame, arrivals: DataFrame, v: float) -> DataFrame:
     )
     met = events.join(solved, "event_id", "left")
     move = lambda c: (F.col(c) + F.coalesce(f"s{c}", F.lit(0.0))).alias(c)
-    return met.select("event_id", move("x"), move("y"), move("t"))
+    return met.select(*[c for c in events.columns if c not in ("x", "y", "t")], move("x"), move("y"), move("t"))
 
 
 def first_guess(arrivals: DataFrame, offset: float = 0.01) -> DataFrame:
@@ -40,11 +42,15 @@ def first_guess(arrivals: DataFrame, offset: float = 0.01) -> DataFrame:
     return first.select("event_id", (F.col("f.x") + offset).alias("x"), (F.col("f.y") + offset).alias("y"), (F.col("f.t") + offset).alias("t"))
 
 
-def locate(arrivals: DataFrame, v: float, n: int, offset: float = 0.01) -> DataFrame:
-    """``event_id, step, x, y, t``: the first guess and ``n`` steps.  State is one row per event."""
-    guess = first_guess(arrivals, offset)
-    steps = guess.withColumn("step", F.lit(0))
+def locate(arrivals: DataFrame, v: float, n: int, offset: float = 0.01, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``event_id, step, x, y, t``: the first guess and ``n`` steps.
+
+    State is one row per event with all its guesses so far.  ``cut`` writes the state of a step and reads
+    it back, so that no step computes the ones before it again.
+    """
+    guess = lambda step: F.array(F.struct(F.lit(step).alias("step"), "x", "y", "t"))
+    state = first_guess(arrivals, offset).withColumn("way", guess(0))
     for i in range(1, n + 1):
-        guess = locate_step(guess, arrivals, v)
-        steps = steps.unionByName(guess.withColumn("step", F.lit(i)))
-    return steps
+        moved = locate_step(state, arrivals, v).withColumn("way", F.concat("way", guess(i)))
+        state = cut(moved) if cut is not None else moved
+    return state.select("event_id", F.explode("way").alias("g")).select("event_id", "g.step", "g.x", "g.y", "g.t")

@@ -3,6 +3,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,21 +105,25 @@ def densify_rays(points: DataFrame, ray: list[str], drs: float) -> DataFrame:
 
 def thin_rays(points: DataFrame, ray: list[str], dmin: float) -> DataFrame:
     """Keeps a point when the way since the last kept one exceeds ``dmin``; ends and fixed points stay
-    and start the way anew.  The state runs along one ray's array inside the JVM."""
+    and start the way anew.  Rays are sorted within partitions and run through once: a ray's state
+    is its way so far, so a long ray takes no more memory than a short one."""
     fixed = F.col("fixed") if "fixed" in points.columns else F.lit(False)
     w = _along(ray)
     hx, hz = F.col("x") - F.lag("x").over(w), F.col("z") - F.lag("z").over(w)
     stays = fixed | F.lag("x").over(w).isNull() | F.lead("x").over(w).isNull()
     rows = points.withColumn("__d", F.coalesce(F.sqrt(hx * hx + hz * hz), F.lit(0.0))).withColumn("__s", stays)
-    rest = [c for c in points.columns if c not in ray]
-    grouped = rows.groupBy(*ray).agg(F.sort_array(F.collect_list(F.struct("k", *[c for c in rest if c != "k"], "__d", "__s"))).alias("p"))
-    start = F.struct(F.lit(0.0).alias("way"), F.array().cast("array<int>").alias("kept"))
-
-    def step(s, q):
-        way = s["way"] + q["__d"]
-        keep = q["__s"] | (way > dmin)
-        return F.struct(F.when(keep, 0.0).otherwise(way).alias("way"), F.when(keep, F.concat(s["kept"], F.array(q["k"].cast("int")))).otherwise(s["kept"]).alias("kept"))
-
-    kept = grouped.withColumn("__kept", F.aggregate("p", start, step)["kept"])
-    out = kept.select(*ray, F.explode(F.filter("p", lambda q: F.array_contains(F.col("__kept"), q["k"].cast("int")))).alias("q"))
-    return _renumbered(out.select(*ray, *[F.col(f"q.{c}").alias(c) for c in rest]), ray).select(*points.columns)
+    names = points.columns
+    rows = rows.withColumn("__r", F.xxhash64(*ray)).repartition(*ray).sortWithinPartitions("__r", *ray, "k")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        way = 0.0
+        for part in batches:
+            keep = np.zeros(len(part), bool)
+            for i, (d, s) in enumerate(zip(part["__d"].tolist(), part["__s"].tolist(), strict=True)):
+                way += d  # a ray's first point stays, which starts the way anew
+                if s or way > dmin:
+                    keep[i], way = True, 0.0
+            yield part.loc[keep, names]
+
+    kept = rows.mapInPandas(run, points.schema)
+    return _renumbered(kept, ray).select(*names)

@@ -5,6 +5,9 @@ Keys and values come from the tables row by row, so every query's work grows wit
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +102,23 @@ class Tables:
         return at.withColumn("t", d / 2.0 + 1.0)
 
 
+def folder(t: Tables) -> str:
+    """A new folder that all executors see: in ``spark.checkpoint.dir``, or on one machine a temporary one."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if t.spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/seisframe-files-{uuid.uuid4().hex}"
+
+
+def written(t: Tables, df: DataFrame) -> DataFrame:
+    """``df`` written into the shared folder and read back."""
+    path = folder(t)
+    df.write.parquet(path)
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
 #: the same views for SQL
 VIEWS = {
     "traces": "SELECT vec_id AS trace_id, (vec_id // 500 + 1)::INT AS lineno, (vec_id // 10 + 991)::INT AS shot, (vec_id % 10 + 3020)::INT AS station, embedding::DOUBLE[] AS samples FROM embeddings",

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import locate, rays
 from ..sources import tables as files
-from .adapters import Tables
+from .adapters import Tables, folder
 from .queries import query, r6
 
 
-def folder(t: Tables) -> str:
-    """A new folder that all executors see: in ``spark.checkpoint.dir``, or on one machine a temporary one."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if t.spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/seisframe-files-{uuid.uuid4().hex}"
-
-
 @query("SELECT code::VARCHAR AS code, lat, lon, elev_m FROM nodes")
 def stations_written_and_read(t: Tables) -> DataFrame:
     path = folder(t)

@@ -13,7 +13,7 @@ from ..functions.geo import PROFILE_1, SPHERE_KM, Profile, geodesic_m, profile_a
 from ..operators import geometry, grid, intervals, locate, picks, rays, stack, traces
 from ..sources.tables import pick_lines, with_ns
 from . import pipelines
-from .adapters import FS, Tables, sql
+from .adapters import FS, Tables, sql, written
 from .geodesic_sql import geodesic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -875,6 +875,6 @@ def location_residuals(t: Tables) -> DataFrame:
 @query()
 def events_located(t: Tables) -> DataFrame:
     enough = t.arrivals.groupBy("event_id").agg(F.count("*").alias("n")).where("n >= 4").select("event_id")
-    steps = locate.locate(t.arrivals.join(enough, "event_id", "left_semi"), 2.0, 3)
+    steps = locate.locate(written(t, t.arrivals.join(enough, "event_id", "left_semi")), 2.0, 3, cut=lambda df: written(t, df))
     return steps.select("event_id", "step", *[F.round(c, 4).alias(c) for c in ("x", "y", "t")])
 
