@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -273,24 +274,34 @@ def apply_update(model: DataFrame, change: DataFrame, node: list[str], scale: fl
 
 def fill_uncovered(model: DataFrame, covered: DataFrame, asr: float) -> DataFrame:
     """Uncovered nodes of ``model(layer, ix, iz, x, z, v)`` get the velocity of the nearest covered node
-    of their layer (``dx^2 + asr^2 dz^2``, ties to the smaller ix, iz).
+    of their layer (``dx^2 + asr^2 dz^2``, ties to the smaller ix, iz).  A layer without covered nodes stays.
 
-    The nearest node of every column is found first along the column, so the search joins a node
-    with one row per column instead of one per node.
+    Nodes of one iz have one z.  A pass along each column finds every node's nearest covered node in
+    its own column; the nearest of all then is the best of what the nodes of the same row have found, so
+    a group is one row of a layer and no node meets a whole layer.
     """
     marked = model.join(covered.select("layer", "ix", "iz", F.lit(True).alias("__c")), ["layer", "ix", "iz"], "left")
-    known = marked.where("__c").select("layer", "ix", "x", "z", "iz", "v")
-    columns = known.groupBy("layer", "ix", "x").agg(F.sort_array(F.collect_list(F.struct("z", "iz", "v"))).alias("col"))
-    by_layer = columns.groupBy("layer").agg(F.collect_list(F.struct("ix", "x", "col")).alias("cols"))
-    open_ = marked.where(F.col("__c").isNull()).drop("__c").join(by_layer, "layer", "left")
-
-    def closest(c: Column) -> Column:
-        gap = lambda q: F.pow(c["x"] - F.col("x"), 2) + asr * asr * F.pow(q["z"] - F.col("z"), 2)
-        return F.array_min(F.transform(c["col"], lambda q: F.struct(gap(q).alias("d"), c["ix"].alias("ix"), q["iz"].alias("iz"), q["v"].alias("v"))))
-
-    best = F.array_min(F.transform("cols", closest))["v"]
-    filled = open_.withColumn("v", F.coalesce(best, F.col("v"))).select(*model.columns)
-    return marked.where("__c").select(*model.columns).unionByName(filled)
+    column = W.partitionBy("layer", "ix").orderBy("iz")
+    here = F.when(F.col("__c"), F.struct("iz", "z", "v"))
+    before = F.last(here, True).over(column.rowsBetween(W.unboundedPreceding, W.currentRow))
+    after = F.first(here, True).over(column.rowsBetween(W.currentRow, W.unboundedFollowing))
+    found = F.array_min(F.filter(F.array(*[F.when(q["iz"].isNotNull(), F.struct(F.abs(q["z"] - F.col("z")).alias("dz"), q["iz"].alias("iz"), q["v"].alias("v"))) for q in (before, after)]), lambda q: q.isNotNull()))
+    rows = marked.withColumn("__f", found).select(*model.columns, F.col("__c").isNotNull().alias("__c"), F.col("__f.dz").alias("__dz"), F.col("__f.iz").alias("__iz"), F.col("__f.v").alias("__v"))
+    names = model.columns
+
+    def fill(row: pd.DataFrame) -> pd.DataFrame:
+        row = row.sort_values(["ix", "__iz"])
+        known, open_ = row[row["__dz"].notna()], np.flatnonzero(~row["__c"].to_numpy())
+        v = row["v"].to_numpy(copy=True)
+        if len(known):
+            far = asr * asr * known["__dz"].to_numpy() ** 2
+            step = max(1, 1_000_000 // len(known))
+            for part in (open_[i : i + step] for i in range(0, len(open_), step)):
+                d = (row["x"].to_numpy()[part, None] - known["x"].to_numpy()[None, :]) ** 2 + far
+                v[part] = known["__v"].to_numpy()[d.argmin(1)]
+        return row.assign(v=v)[names]
+
+    return rows.groupBy("layer", "iz").applyInPandas(fill, model.schema)
 
 
 def fill_boundary(boundary: DataFrame, covered: DataFrame) -> DataFrame:

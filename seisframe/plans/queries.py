@@ -788,6 +788,22 @@ def nodes_covered(t: Tables) -> DataFrame:
     return grid.coverage(place(at), place(nodes), 10.0, 25.0, 3.0)
 
 
+FILLED = """+ hits AS (SELECT DISTINCT (ray % 3 + 1)::INT AS layer, floor(x / 10)::INT + 1 AS ix, floor(z / 2)::INT + 1 AS iz FROM pts WHERE ray % 3 < 2 AND z < 30),
+n AS (SELECT layer::INT AS layer, ix::INT AS ix, iz::INT AS iz, ix * 100 + iz + layer / 10.0::DOUBLE AS v FROM (SELECT unnest([1, 2, 3]) AS layer), (SELECT unnest(range(1, 27)) AS ix), (SELECT unnest(range(1, 32)) AS iz)),
+h AS (SELECT n.* FROM n JOIN hits USING (layer, ix, iz)),
+f AS (SELECT n.layer, n.ix, n.iz, arg_min(h.v, (power((n.ix - h.ix) * 10.0::DOUBLE, 2) + 4 * power((n.iz - h.iz) * 2.0::DOUBLE, 2), h.ix, h.iz)) AS v FROM n JOIN h ON n.layer = h.layer GROUP BY 1, 2, 3)
+SELECT n.layer, n.ix, n.iz, coalesce(f.v, n.v) AS v FROM n LEFT JOIN f USING (layer, ix, iz)"""
+
+
+@query(FILLED)
+def nodes_filled(t: Tables) -> DataFrame:
+    """Nodes that no ray point is near, filled from those of its layer; the third layer has none."""
+    at = t.ray_points.where((F.col("ray") % 3 < 2) & (F.col("z") < 30)).select((F.col("ray") % 3 + 1).cast("int").alias("layer"), (F.floor(F.col("x") / 10) + 1).cast("int").alias("ix"), (F.floor(F.col("z") / 2) + 1).cast("int").alias("iz")).distinct()
+    nodes = t.spark.range(1, 27).select(F.col("id").cast("int").alias("ix"), F.explode(F.sequence(F.lit(1), F.lit(31))).alias("iz")).withColumn("layer", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    model = nodes.select("layer", "ix", "iz", (F.col("ix") * 10.0).alias("x"), (F.col("iz") * 2.0).alias("z"), (F.col("ix") * 100 + F.col("iz") + F.col("layer") / 10.0).alias("v"))
+    return grid.fill_uncovered(model, at, 2.0).select("layer", "ix", "iz", "v")
+
+
 FLAGS = f"""{_partials_sql()}, sums AS (SELECT layer, ix, iz, sum(abs(val)) AS dws FROM part GROUP BY 1, 2, 3), cn AS (SELECT layer, ix, iz, 0.5::DOUBLE + (ix + iz) % 5 AS v FROM (SELECT unnest(range(1, 5)) AS layer), (SELECT unnest(range(1, 12)) AS ix), (SELECT unnest(range(1, 10)) AS iz))
 SELECT layer::INT AS layer, ix::INT AS ix, iz::INT AS iz, round(coalesce(dws, 0), 4) AS dws, CASE WHEN v < 1 OR coalesce(dws, 0) > 0 THEN 0.0::DOUBLE ELSE -0.5::DOUBLE END AS flag FROM cn LEFT JOIN sums USING (layer, ix, iz)"""
 
