@@ -196,7 +196,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = stats.where(F.col("term").isNotNull()).select("term", idf.alias("idf"))
     weighted = bags(queries, kind).join(known, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w")))).alias("terms"))
-    weighted = saved(weighted, "queries")
+    # two arrays of plain numbers take half the room of an array of pairs
+    weighted = saved(weighted.select("id", F.col("terms.term").alias("terms"), F.col("terms.w").alias("weights")), "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, found, lengths, index = None, [], [], [], None
@@ -214,8 +215,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         for batch in batches:
             listed = batch.column("terms")
             ends = listed.offsets.to_numpy()
-            all_terms = listed.values.field("term").to_numpy(zero_copy_only=False)
-            all_weights = listed.values.field("w").to_numpy(zero_copy_only=False)
+            all_terms = listed.values.to_numpy(zero_copy_only=False)
+            all_weights = batch.column("weights").values.to_numpy(zero_copy_only=False)
             texts, own = batch.column("text"), batch.column("id")
             id_type = own.type
             for i, (shard, is_query) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("is_query").to_pylist(), strict=True)):
@@ -240,10 +241,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if asked:
             yield from answers()
 
-    entry = weighted.schema["terms"].dataType.simpleString()
     shard = F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")
-    rows = docs.select(shard.alias("shard"), F.lit(False).alias("is_query"), "id", "text", F.lit(None).cast(entry).alias("terms"))
-    asked = weighted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "id", F.lit(None).cast("string").alias("text"), "terms")
+    rows = docs.select(shard.alias("shard"), F.lit(False).alias("is_query"), "id", "text", F.lit(None).cast("array<long>").alias("terms"), F.lit(None).cast("array<double>").alias("weights"))
+    asked = weighted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "id", F.lit(None).cast("string").alias("text"), "terms", "weights")
     # each shard is a partition of its own
     dealt = rows.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "is_query")
     best = dealt.mapInArrow(run, f"query_id {kind}, doc_id {kind}, score double")
