@@ -153,6 +153,13 @@ def test_op3_equals_brute_force(spark, seed):
 def test_op3_odd_rows(odd, empty):
     out = minhash.near_duplicates(odd)
     assert out.count() == odd.count()
+    # rows that share an id are one node with the links of all of them
+    texts = sorted({(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None and r.text is not None})
+    sets, _ = near_groups([(n, t) for n, (_, t) in enumerate(texts)])
+    links = [(texts[a][0], texts[b][0]) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root = union_find({r.doc_id for r in odd.collect() if r.doc_id is not None}, links)
+    for r in out.where("doc_id is not null").collect():
+        assert (r.component_id, r.kept) == (root[r.doc_id], root[r.doc_id] == r.doc_id)
     assert {(r.component_id, r.kept) for r in out.where("doc_id is null").collect()} == {(None, True)}
     assert minhash.near_duplicates(empty).count() == 0
 
@@ -215,6 +222,14 @@ def test_op4_simhash_by_hand(spark):
 def test_op4_odd_rows(odd, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
+    # rows repeated whole get the same result, and a line that is equal in several rows stays in one document only
+    results = {}
+    for r in out.collect():
+        results.setdefault((r.doc_id, r.k, r.n_lines, r.text is None), []).append((r.n_removed, r.text))
+    left = [x for rows in results.values() for x in {t for _, t in rows} if x]
+    seen = [line for text in left for line in text.split("\n") if line.strip()]
+    assert len(seen) == len(set(seen))
+    assert out.where("text is null and (n_lines <> 0 or n_removed <> 0)").count() == 0
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
@@ -245,7 +260,11 @@ def test_op7_equals_brute_force(spark, seed):
 
 
 def test_op7_odd_rows(odd, empty):
-    assert substring_dedup.dedup_substrings(odd).count() == odd.count()
+    """Nulls, repeated rows and shared ids by brute force."""
+    key = lambda r: tuple((x is None, x) for x in r)
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    got = [tuple(r) for r in substring_dedup.dedup_substrings(odd).collect()]
+    assert sorted(got, key=key) == sorted(repeated_words(rows), key=key)
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
