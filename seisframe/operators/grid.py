@@ -252,6 +252,21 @@ def coverage(hits: DataFrame, nodes: DataFrame, dx: float, xreg: float, zreg: fl
     return nodes.join(offered, ["layer", "ix"]).where(near).select("layer", "ix", "iz").distinct()
 
 
+def boundary_table(nodes: DataFrame, sums: DataFrame) -> DataFrame:
+    """``ir, ix, x, z, dws`` of all boundary nodes ``(ir, ix, x, z)``, with 0 where no ray has passed."""
+    return nodes.select("ir", "ix", "x", "z").join(sums, ["ir", "ix"], "left").withColumn("dws", F.coalesce("dws", F.lit(0.0)))
+
+
+def boundary_coverage(hits: DataFrame, nodes: DataFrame, dx: float, xreg: float) -> DataFrame:
+    """Boundary nodes of ``nodes(ir, ix, own)`` within ``xreg`` of a hit node ``(ir, ix)`` of their boundary.
+
+    A node that follows another boundary (``own`` is false) has no unknown of its own and stays out.
+    """
+    reach = int(np.floor(xreg / dx + 1e-9))
+    offered = hits.select("ir", F.explode(F.sequence(F.col("ix") - reach, F.col("ix") + reach)).alias("ix")).distinct()
+    return nodes.where("own").join(offered, ["ir", "ix"], "left_semi").select("ir", "ix")
+
+
 def spmv(entries: DataFrame, v: DataFrame, u: DataFrame | None = None, transposed: bool = False) -> DataFrame:
     """``A v + u`` (or with the transpose): entries ``row, col, val``, vectors ``i, x``."""
     at, to = ("row", "col") if transposed else ("col", "row")

@@ -788,6 +788,32 @@ def nodes_covered(t: Tables) -> DataFrame:
     return grid.coverage(place(at), place(nodes), 10.0, 25.0, 3.0)
 
 
+EDGES = """+ e AS (SELECT ir::INT AS ir, ix::INT AS ix, (ix - 1) * 10.0::DOUBLE AS x, (ir * 8 + (ix * 5 + ir * 3) % 13)::DOUBLE AS z, NOT (ir = 2 AND ix % 4 = 0) AS own FROM (SELECT unnest(range(1, 4)) AS ir), (SELECT unnest(range(1, 27)) AS ix)),
+hit AS (SELECT (ray % 3 + 1)::INT AS ir, floor(x / 10)::INT + 1 AS ix, z FROM pts WHERE ray % 5 = k % 5)"""
+
+
+def _edges(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Nodes of three boundaries, and the ray points that meet one."""
+    nodes = t.spark.range(1, 27).select(F.col("id").cast("int").alias("ix"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("ir"))
+    z = (F.col("ir") * 8 + (F.col("ix") * 5 + F.col("ir") * 3) % 13).cast("double")
+    nodes = nodes.select("ir", "ix", ((F.col("ix") - 1) * 10.0).alias("x"), z.alias("z"), (~((F.col("ir") == 2) & (F.col("ix") % 4 == 0))).alias("own"))
+    met = t.ray_points.where(F.col("ray") % 5 == F.col("k") % 5)
+    return nodes, met.select((F.col("ray") % 3 + 1).cast("int").alias("ir"), (F.floor(F.col("x") / 10) + 1).cast("int").alias("ix"), "z")
+
+
+@query(f"{EDGES} SELECT e.ir, e.ix, e.x, e.z, round(coalesce(s.dws, 0), 4) + 0.0::DOUBLE AS dws FROM e LEFT JOIN (SELECT ir, ix, sum(z) AS dws FROM hit GROUP BY 1, 2) s ON e.ir = s.ir AND e.ix = s.ix")
+def boundary_weights(t: Tables) -> DataFrame:
+    nodes, met = _edges(t)
+    sums = grid.dws(met.withColumnRenamed("z", "val"), ["ir", "ix"])
+    return grid.boundary_table(nodes, sums).withColumn("dws", rounded("dws", 4))
+
+
+@query(f"{EDGES} SELECT DISTINCT e.ir, e.ix FROM e JOIN hit h ON e.ir = h.ir AND abs(e.ix - h.ix) * 10 <= 25 AND h.z > 10 WHERE own")
+def boundaries_covered(t: Tables) -> DataFrame:
+    nodes, met = _edges(t)
+    return grid.boundary_coverage(met.where("z > 10").select("ir", "ix"), nodes, 10.0, 25.0)
+
+
 FILLED = """+ hits AS (SELECT DISTINCT (ray % 3 + 1)::INT AS layer, floor(x / 10)::INT + 1 AS ix, floor(z / 2)::INT + 1 AS iz FROM pts WHERE ray % 3 < 2 AND z < 30),
 n AS (SELECT layer::INT AS layer, ix::INT AS ix, iz::INT AS iz, ix * 100 + iz + layer / 10.0::DOUBLE AS v FROM (SELECT unnest([1, 2, 3]) AS layer), (SELECT unnest(range(1, 27)) AS ix), (SELECT unnest(range(1, 32)) AS iz)),
 h AS (SELECT n.* FROM n JOIN hits USING (layer, ix, iz)),
