@@ -190,6 +190,16 @@ def stations_on_profile(t: Tables) -> DataFrame:
     return geometry.project_stations(t.nodes, PROFILE_1).select("code", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z", 6).alias("z"))
 
 
+#: fixed values: the first and the last shot of a line
+FIRST_SHOT, LAST_SHOT = (57.220942, -152.08304), (56.288621, -153.34762)
+
+
+@query(f"SELECT ceil(max({_project_sql('lat', 'lon', Profile(LAST_SHOT, FIRST_SHOT, 0, 0, 0, 0))[0]}) / 50) * 50 AS length_km FROM nodes")
+def profile_length(t: Tables) -> DataFrame:
+    length, _, _ = geometry.profile_bounds(t.nodes, FIRST_SHOT, LAST_SHOT)
+    return t.spark.createDataFrame([(length,)], "length_km double")
+
+
 @query("SELECT station, shot, phase, trunc(1e6::DOUBLE + 1e3::DOUBLE * (\"offset\" + shot % 100 * 0.25::DOUBLE))::BIGINT AS code, round(0.001::DOUBLE * (trunc(1e6::DOUBLE + 1e3::DOUBLE * (\"offset\" + shot % 100 * 0.25::DOUBLE)) - 1000000), 6) AS x_km FROM picks")
 def virtual_ids(t: Tables) -> DataFrame:
     code = virtual_station_id(F.col("offset") + F.col("shot") % 100 * F.lit(0.25))
@@ -788,6 +798,34 @@ def nodes_covered(t: Tables) -> DataFrame:
     return grid.coverage(place(at), place(nodes), 10.0, 25.0, 3.0)
 
 
+SAMPLED = """+ raster AS (SELECT (o_orderkey - 1) // 150 AS r, (o_orderkey - 1) % 150 AS c, o_totalprice AS value FROM orders),
+p AS (SELECT event_id, 50 + event_id % 997 * 0.0093::DOUBLE AS lat, 10 + event_id % 1009 * 0.0137::DOUBLE AS lon FROM events),
+g AS (SELECT event_id, floor((lon - 10) / 0.1::DOUBLE)::BIGINT AS c, floor((lat - 50) / 0.1::DOUBLE)::BIGINT AS r, (lon - 10) / 0.1::DOUBLE AS ex, (lat - 50) / 0.1::DOUBLE AS ez FROM p)
+SELECT event_id, round((1 - (ex - g.c)) * ((1 - (ez - g.r)) * a.value + (ez - g.r) * b.value) + (ex - g.c) * ((1 - (ez - g.r)) * d.value + (ez - g.r) * e.value), 4) AS value FROM g
+LEFT JOIN raster a ON a.r = g.r AND a.c = g.c LEFT JOIN raster b ON b.r = g.r + 1 AND b.c = g.c LEFT JOIN raster d ON d.r = g.r AND d.c = g.c + 1 LEFT JOIN raster e ON e.r = g.r + 1 AND e.c = g.c + 1"""
+
+
+@query(SAMPLED)
+def elevations_sampled(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey") - 1
+    raster = t.raw("orders").select(F.floor(k / 150).alias("row"), (k % 150).alias("col"), F.col("o_totalprice").alias("value"))
+    e = F.col("event_id")
+    points = t.raw("events").select("event_id", (e % 997 * F.lit(0.0093) + 50).alias("lat"), (e % 1009 * F.lit(0.0137) + 10).alias("lon"))
+    return grid.sample_on_line(raster, points, 10.0, 50.0, 0.1).select("event_id", F.round("value", 4).alias("value"))
+
+
+SMOOTHED = """+ s AS (SELECT (o_orderkey % 200 + 1)::INT AS ix, avg(o_totalprice) AS z FROM orders GROUP BY 1),
+w AS (SELECT ix, z AS z0, lag(z, 2) OVER o AS a2, lag(z) OVER o AS a1, lead(z) OVER o AS b1, lead(z, 2) OVER o AS b2, lag(z, 3) OVER o AS a3, lag(z, 4) OVER o AS a4, lead(z, 3) OVER o AS b3, lead(z, 4) OVER o AS b4 FROM s WINDOW o AS (ORDER BY ix))
+SELECT ix, round(CASE ix WHEN 1 THEN 31 * z0 + 9 * b1 - 3 * b2 - 5 * b3 + 3 * b4 WHEN 2 THEN 9 * a1 + 13 * z0 + 12 * b1 + 6 * b2 - 5 * b3
+ WHEN 200 THEN 31 * z0 + 9 * a1 - 3 * a2 - 5 * a3 + 3 * a4 WHEN 199 THEN 9 * b1 + 13 * z0 + 12 * a1 + 6 * a2 - 5 * a3 ELSE -3 * a2 + 12 * a1 + 17 * z0 + 12 * b1 - 3 * b2 END / 35.0::DOUBLE, 4) AS z FROM w"""
+
+
+@query(SMOOTHED)
+def surface_smoothed(t: Tables) -> DataFrame:
+    surface = t.raw("orders").groupBy((F.col("o_orderkey") % 200 + 1).cast("int").alias("ix")).agg(F.avg("o_totalprice").alias("z"))
+    return grid.smooth_surface(surface, 5).select("ix", F.round("z", 4).alias("z"))
+
+
 EDGES = """+ e AS (SELECT ir::INT AS ir, ix::INT AS ix, (ix - 1) * 10.0::DOUBLE AS x, (ir * 8 + (ix * 5 + ir * 3) % 13)::DOUBLE AS z, NOT (ir = 2 AND ix % 4 = 0) AS own FROM (SELECT unnest(range(1, 4)) AS ir), (SELECT unnest(range(1, 27)) AS ix)),
 hit AS (SELECT (ray % 3 + 1)::INT AS ir, floor(x / 10)::INT + 1 AS ix, z FROM pts WHERE ray % 5 = k % 5)"""
 
