@@ -137,4 +137,6 @@ VIEWS = {
 
 def sql(body: str) -> str:
     """A query over the views; ``body`` may begin with further ``name AS (...),`` parts."""
-    return "WITH " + ", ".join(f"{name} AS ({text})" for name, text in VIEWS.items()) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().removeprefix("+")
+    with_ = "WITH RECURSIVE " if body.lstrip().startswith("+ RECURSIVE ") else "WITH "
+    body = body.replace("+ RECURSIVE ", "+ ", 1)
+    return with_ + ", ".join(f"{name} AS ({text})" for name, text in VIEWS.items()) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().removeprefix("+")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..functions.geo import PROFILE_1, SPHERE_KM, Profile, geodesic_m, profile_axes, project_to_profile, virtual_station_id, virtual_station_x
+from ..functions.kernels import butter_bandpass
 from ..operators import geometry, grid, intervals, locate, picks, rays, stack, traces
 from ..sources.tables import pick_lines, with_ns
 from . import pipelines
@@ -430,12 +431,35 @@ def traces_trimmed(t: Tables) -> DataFrame:
     return as_rows(t.traces.select("trace_id", traces.trim_pad(F.col("samples"), F.col("fs"), begin, 40).alias("samples")), ["trace_id"])
 
 
-@query()
+def _bandpass_sql(low: float, high: float) -> str:
+    """The filter's sections one sample after the other, forwards and then backwards."""
+    number = lambda v: f"({float(v)!r}::DOUBLE)"
+    sections = butter_bandpass(4, FS, low, high)
+
+    def run(name: str, source: str) -> str:
+        steps = f"SELECT r.trace_id, r.i + 1 AS i, q.x AS v0, {', '.join(f'r.v{k} AS p{k}, r.p{k} AS q{k}' for k in range(len(sections) + 1))} FROM {name} r JOIN {source} q ON q.trace_id = r.trace_id AND q.i = r.i + 1"
+        for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+            steps = f"SELECT *, {number(b0)} * v{k} + {number(b1)} * p{k} + {number(b2)} * q{k} - {number(a1)} * p{k + 1} - {number(a2)} * q{k + 1} AS v{k + 1} FROM ({steps})"
+        columns = ", ".join(f"v{k}, p{k}" for k in range(len(sections) + 1))
+        zeros = ", ".join(f"0.0::DOUBLE AS v{k}, 0.0::DOUBLE AS p{k}" for k in range(len(sections) + 1))
+        return f"{name} AS (SELECT DISTINCT trace_id, 0::BIGINT AS i, {zeros} FROM {source} UNION ALL SELECT trace_id, i, {columns} FROM ({steps}))"
+
+    last = f"v{len(sections)}"
+    there = run("there", "s0")
+    back = run("back", "s1")
+    return f"+ RECURSIVE s0 AS (SELECT trace_id, i::BIGINT AS i, x FROM smp), {there}, s1 AS (SELECT trace_id, 65 - i AS i, {last} AS x FROM there WHERE i > 0), {back}, passed AS (SELECT trace_id, 65 - i AS i, {last} AS x FROM back WHERE i > 0)"
+
+
+@query(f"{_bandpass_sql(1.0, 5.0)} SELECT trace_id, i, {r6('x')} AS x FROM passed")
 def traces_bandpassed(t: Tables) -> DataFrame:
     return as_rows(t.traces.select("trace_id", traces.bandpass("samples", FS, 1.0, 5.0).alias("samples")), ["trace_id"])
 
 
-@query()
+ENVELOPE = """SELECT a.trace_id, a.i::BIGINT AS i, round(sqrt(power(any_value(a.x), 2) + power(sum(CASE WHEN (a.i - b.i) % 2 <> 0 THEN b.x * 2 / 64.0::DOUBLE / tan(pi() * (a.i - b.i) / 64) ELSE 0 END), 2)), 6) + 0.0::DOUBLE AS x
+FROM smp a JOIN smp b USING (trace_id) GROUP BY a.trace_id, a.i"""
+
+
+@query(ENVELOPE)
 def trace_envelopes(t: Tables) -> DataFrame:
     return as_rows(t.traces.select("trace_id", traces.envelope("samples").alias("samples")), ["trace_id"])
 
@@ -607,7 +631,13 @@ def rays_densified(t: Tables) -> DataFrame:
     return ray_rows(rays.densify_rays(t.ray_points, ["ray"], 2.0))
 
 
-@query()
+THINNED = f"""+ RECURSIVE d AS (SELECT ray, k, x, z, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(z - lag(z) OVER w, 2)), 0) AS d, k = 1 OR lead(k) OVER w IS NULL AS stays FROM pts WINDOW w AS (PARTITION BY ray ORDER BY k)),
+r AS (SELECT ray, k, x, z, true AS kept, 0.0::DOUBLE AS way FROM d WHERE k = 1
+ UNION ALL SELECT ray, k, x, z, kept, CASE WHEN kept THEN 0 ELSE way END FROM (SELECT d.ray, d.k, d.x, d.z, d.stays OR r.way + d.d > 9.0::DOUBLE AS kept, r.way + d.d AS way FROM r JOIN d ON d.ray = r.ray AND d.k = r.k + 1))
+SELECT ray, row_number() OVER (PARTITION BY ray ORDER BY k) AS k, {r6('x')} AS x, {r6('z')} AS z FROM r WHERE kept"""
+
+
+@query(THINNED)
 def rays_thinned(t: Tables) -> DataFrame:
     return ray_rows(rays.thin_rays(t.ray_points, ["ray"], 9.0))
 
