@@ -549,7 +549,22 @@ def picks_guessed(t: Tables) -> DataFrame:
 SHORT = {"low": 1.0, "high": 5.0, "short_s": 0.2, "long_s": 1.0}
 
 
-@query()
+ENVELOPED = "enveloped AS (SELECT a.trace_id, a.i, sqrt(power(any_value(a.x), 2) + power(sum(CASE WHEN (a.i - b.i) % 2 <> 0 THEN b.x * 2 / 64.0::DOUBLE / tan(pi() * (a.i - b.i) / 64) ELSE 0 END), 2)) AS x FROM passed a JOIN passed b USING (trace_id) GROUP BY a.trace_id, a.i)"
+
+
+def _ratio_sql(source: str) -> str:
+    """STA/LTA over 3 and 16 samples with peaks of 1, without the stations that are left out."""
+    means = ", ".join(f"avg(x * x) OVER (PARTITION BY trace_id ORDER BY i ROWS {n - 1} PRECEDING) AS m{n}" for n in (3, 16))
+    return f"""ratio AS (SELECT trace_id, i, CASE WHEN i < 16 OR m16 <= 0 THEN 0 ELSE m3 / m16 END AS x FROM (SELECT trace_id, i, {means} FROM {source})),
+ready AS (SELECT r.trace_id, t.lineno, t.shot, t.station, r.i, r.x / p.p AS x FROM ratio r JOIN (SELECT trace_id, max(abs(x)) AS p FROM ratio GROUP BY 1 HAVING max(abs(x)) > 0) p USING (trace_id) JOIN traces t USING (trace_id) WHERE t.station NOT IN (3025, 4016))"""
+
+
+LINE = f"""{_bandpass_sql(1.0, 5.0)}, {ENVELOPED}, {_ratio_sql("enveloped")}, g AS ({geodesic(PAIRS, 'rlat', 'rlon', 'slat', 'slon', 'offset_m')}),
+b AS (SELECT trace_id, round_even(offset_m / 1e3 / 0.25::DOUBLE, 0)::BIGINT AS bin_id FROM g)
+SELECT lineno, bin_id, i, count(*) AS count, round(sum(x), 6) + 0.0::DOUBLE AS x FROM ready JOIN b USING (trace_id) GROUP BY 1, 2, 3"""
+
+
+@query(LINE)
 def line_binned(t: Tables) -> DataFrame:
     binned = pipelines.bin_line(t.traces, t.nodes, t.shots, FS, **SHORT)
     return as_rows(binned, ["lineno", "bin_id", "count"], "sum")
@@ -562,7 +577,23 @@ def quakes_binned(t: Tables) -> DataFrame:
     return as_rows(binned, ["ns", "bin_id", "count"], "sum")
 
 
-@query()
+@query(LINE.replace(ENVELOPED + ", ", "").replace("FROM enveloped)", "FROM passed)"))
+def line_binned_without_envelope(t: Tables) -> DataFrame:
+    binned = pipelines.bin_line(t.traces, t.nodes, t.shots, FS, "stalta", **SHORT)
+    return as_rows(binned, ["lineno", "bin_id", "count"], "sum")
+
+
+@query(LINE.replace(_ratio_sql("enveloped"), "ready AS (SELECT p.trace_id, t.lineno, p.i, p.x FROM passed p JOIN traces t USING (trace_id) WHERE t.station NOT IN (3025, 4016))").replace(ENVELOPED + ", ", ""))
+def line_binned_bandpass(t: Tables) -> DataFrame:
+    binned = pipelines.bin_line(t.traces, t.nodes, t.shots, FS, "bandpass", low=1.0, high=5.0)
+    return as_rows(binned, ["lineno", "bin_id", "count"], "sum")
+
+
+GAINED = f"""{_bandpass_sql(1.0, 5.0)} SELECT p.trace_id, t.shot, t.station, p.i, round(CASE WHEN m > 0 THEN x / m ELSE 0 END, 6) + 0.0::DOUBLE AS x
+FROM (SELECT *, max(abs(x)) OVER (PARTITION BY trace_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS m FROM passed) p JOIN traces t USING (trace_id) WHERE t.station NOT IN (3025, 4016)"""
+
+
+@query(GAINED)
 def gather_unbinned(t: Tables) -> DataFrame:
     return as_rows(pipelines.unbinned_gather(t.traces, t.nodes, t.shots, FS, "bandpass_agc", low=1.0, high=5.0, agc_s=1.0), ["trace_id", "shot", "station"])
 
