@@ -570,7 +570,13 @@ def line_binned(t: Tables) -> DataFrame:
     return as_rows(binned, ["lineno", "bin_id", "count"], "sum")
 
 
-@query()
+EVENT_PAIRS = "(SELECT t.trace_id, q.quake_id, q.origin_depth_km, n.lat, n.lon, q.origin_latitude AS qlat, q.origin_longitude AS qlon FROM traces t JOIN quakes q ON q.quake_id = t.shot - 991 JOIN nodes n ON n.code = t.station)"
+EVENT = f"""{_bandpass_sql(1.0, 5.0)}, {_ratio_sql("passed")}, g AS ({geodesic(EVENT_PAIRS, 'lat', 'lon', 'qlat', 'qlon')}),
+b AS (SELECT trace_id, quake_id AS ns, round_even(sqrt((m / 1e3) * (m / 1e3) + origin_depth_km * origin_depth_km) / 0.1::DOUBLE, 0)::BIGINT AS bin_id FROM g)
+SELECT ns, bin_id, i, count(*) AS count, round(sum(x), 6) + 0.0::DOUBLE AS x FROM ready JOIN b USING (trace_id) GROUP BY 1, 2, 3"""
+
+
+@query(EVENT)
 def quakes_binned(t: Tables) -> DataFrame:
     events = t.traces.withColumn("ns", F.col("shot").cast("long") - 991)
     binned = pipelines.bin_quake(events, t.nodes, t.quakes.withColumn("ns", F.col("quake_id")), FS, **SHORT)
