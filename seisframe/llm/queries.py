@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bm25 import every_hundredth, search
 from .chunk_bpe import encode_documents
 from .language_id import identify
+from .lexical_scan import rank_items
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix
@@ -69,6 +70,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,6 +128,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bo
   n_words < 50 OR 100 * n_repeat_words > 50.0 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50.0 * n_words) AND n_words - n_boilerplate >= 0.3::DOUBLE * n_words AS kept FROM b"""
 
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {TERMS} AS terms FROM documents),
+t AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM d) GROUP BY k, term),
+s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+df AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, s GROUP BY term, n_docs),
+m AS (SELECT k, doc_id, 25 + 75 * len(terms) * n_docs // n_terms AS m FROM d, s WHERE len(terms) > 0),
+i AS (SELECT item_id, text, term, count(*) AS times FROM (SELECT item_id, text, unnest({TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, text, term),
+x AS (SELECT item_id, i.text, k, doc_id, sum(times * w * (1000000000 * tf // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM i JOIN df USING (term) JOIN t USING (term) JOIN m USING (k) GROUP BY item_id, i.text, k, doc_id HAVING score > 0)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM x) WHERE rank <= 10"""
+
 
 def queries() -> dict:
     return {
@@ -136,8 +154,9 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
+        "op11_lexical_scan": op11_lexical_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bm25_search": OP2_SQL, "op6_mix_sources": OP6_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op2_bm25_search": OP2_SQL, "op6_mix_sources": OP6_SQL, "op10_quality_rules": OP10_SQL, "op11_lexical_scan": OP11_SQL}
