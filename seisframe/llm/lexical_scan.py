@@ -142,12 +142,13 @@ def best_of(docs: DataFrame, scanner, statistic: tuple[int, int, np.ndarray], k:
             at = np.arange(n.sum()) + np.repeat(own.first[term] - (np.cumsum(n) - n), n)
             scores = np.zeros(len(scanned) * own.n_items, np.int64)
             np.add.at(scores, np.repeat(doc, n) * own.n_items + own.item[at], np.repeat(value, n) * own.times[at])
-            ids = [None if pd.isna(x) else int(x) for x in rows["doc_id"]]
-            best.add(scores.reshape(-1, own.n_items), ids)
+            ids = [None if x is None else int(x) for x in rows["doc_id"]]
+            best.add(scores.reshape(len(scanned), own.n_items), ids)
         out = [(i, d, -s) for i, top in best.held.items() for s, _, d in top]
         yield pd.DataFrame(out, columns=["item", "doc_id", "score"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "item long, doc_id long, score long")
+    # pandas would hold a column of whole numbers and nulls in floats
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, "item long, doc_id long, score long")
 
 
 def blocks_of(items: DataFrame, block_chars: int) -> list[DataFrame]:
@@ -174,11 +175,9 @@ def rank_items(docs: DataFrame, items: DataFrame, k: int = 10, block_chars: int
     id_type = items.schema["item_id"].dataType.simpleString()
     found = []
     for block in blocks_of(items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct(), block_chars):
-        rows = block.toPandas()
-        rows = rows.sort_values(["item_id", "text"], ignore_index=True)
-        scanner = spark.sparkContext.broadcast(Scanner(rows["text"].tolist()))
-        names = [None if pd.isna(x) else x for x in rows["item_id"].tolist()]
-        names = spark.createDataFrame(list(enumerate(names)), f"item long, item_id {id_type}")
+        rows = block.orderBy("item_id", "text").collect()
+        scanner = spark.sparkContext.broadcast(Scanner([r.text for r in rows]))
+        names = spark.createDataFrame([(i, r.item_id) for i, r in enumerate(rows)], f"item long, item_id {id_type}")
         found.append(best_of(docs, scanner, statistics(docs, scanner), k).join(F.broadcast(names), "item"))
     if not found:
         return spark.createDataFrame([], f"item_id {id_type}, rank int, doc_id long, score long")
