@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bm25 import every_hundredth, search
 from .chunk_bpe import encode_documents
+from .class_lm import score_texts
 from .language_id import identify
 from .lexical_scan import rank_items
 from .line_dedup import dedup_lines
@@ -74,6 +75,10 @@ def op11_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -155,6 +160,7 @@ def queries() -> dict:
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
         "op11_lexical_scan": op11_lexical_scan,
+        "op12_class_lm": op12_class_lm,
     }
 
 
