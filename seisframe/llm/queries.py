@@ -14,6 +14,7 @@ from .lexical_scan import rank_items
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix
+from .periodic_runs import collapse_runs, digest
 from .quality_rules import apply_rules
 from .substring_dedup import dedup_substrings
 from .text import word_count
@@ -79,6 +80,11 @@ def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return digest(collapse_runs(table(spark, sf_dir, "documents"), seed))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,6 +152,25 @@ x AS (SELECT item_id, i.text, k, doc_id, sum(times * w * (1000000000 * tf // (10
       FROM i JOIN df USING (term) JOIN t USING (term) JOIN m USING (k) GROUP BY item_id, i.text, k, doc_id HAVING score > 0)
 SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM x) WHERE rank <= 10"""
 
+#: crc32 of a document's id in decimal, bit by bit
+CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {WORDS} AS w, {CRC32} AS h FROM documents),
+s AS (SELECT k, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS loops, h // 10 % greatest(len(w), 1) AS a, h // 10 % 8 AS g FROM d),
+t AS (SELECT k, n, i, w[1 + CASE WHEN loops AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g)) ELSE i END] AS w FROM (SELECT *, unnest(range(n)) AS i FROM s)),
+e AS (SELECT x.k, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.k = y.k AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+z AS (SELECT k, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM e) GROUP BY k, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT k, start, length, min(q) AS period FROM z GROUP BY k, start, length),
+m AS (SELECT k, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM r GROUP BY k),
+b AS (SELECT k, arg_min(struct_pack(start, length, period), struct_pack(f := -(length::DOUBLE / period), start, period)) AS best FROM r GROUP BY k),
+c AS (SELECT k, sha256(string_agg(w, ' ' ORDER BY i)) AS collapsed_sha256 FROM t
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = t.k AND t.i >= r.start + r.period AND t.i < r.start + r.length) GROUP BY k)
+SELECT s.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+  (1000 * best.length // best.period)::BIGINT AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM s LEFT JOIN m USING (k) LEFT JOIN b USING (k) LEFT JOIN c USING (k)"""
+
 
 def queries() -> dict:
     return {
@@ -161,8 +186,9 @@ def queries() -> dict:
         "op10_quality_rules": op10_quality_rules,
         "op11_lexical_scan": op11_lexical_scan,
         "op12_class_lm": op12_class_lm,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bm25_search": OP2_SQL, "op6_mix_sources": OP6_SQL, "op10_quality_rules": OP10_SQL, "op11_lexical_scan": OP11_SQL}
+    return {"op2_bm25_search": OP2_SQL, "op6_mix_sources": OP6_SQL, "op10_quality_rules": OP10_SQL, "op11_lexical_scan": OP11_SQL, "op13_periodic_runs": OP13_SQL}
