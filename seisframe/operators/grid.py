@@ -71,13 +71,37 @@ def velocity_at(points: DataFrame, grid: Grid, cells: DataFrame, x: str, z: str,
 
 
 def edge_table(boundary: DataFrame, grid: Grid) -> DataFrame:
-    """``jx, edges``: both ends of every boundary over a cell, in the order of boundaries."""
+    """``jx, edges``: both ends of every boundary over a cell, in the order of boundaries, and ``id``, the boundary
+    that owns the cell's first node (by the column ``id``; each its own without it)."""
     after = boundary.select("ir", (F.col("ix") - 1).alias("ix"), F.col("z").alias("zb"))
-    both = boundary.select("ir", "ix", F.col("z").alias("za")).join(after, ["ir", "ix"])
-    rows = both.groupBy(F.col("ix").alias("jx")).agg(F.sort_array(F.collect_list(F.struct("ir", "za", "zb"))).alias("edges"))
+    own = F.col("id") if "id" in boundary.columns else F.col("ir")
+    both = boundary.select("ir", "ix", F.col("z").alias("za"), own.alias("id")).join(after, ["ir", "ix"])
+    rows = both.groupBy(F.col("ix").alias("jx")).agg(F.sort_array(F.collect_list(F.struct("ir", "za", "zb", "id"))).alias("edges"))
     return rows.where(F.col("jx") < grid.nx)
 
 
+def boundary_owners(boundary: DataFrame, grid: Grid, nxc: int, first: int = 1, last: int | None = None) -> DataFrame:
+    """``ir, ix, z, own, active`` of the nodes of ``boundary(ir, ix, z, id)`` on a coarse axis of ``nxc`` columns.
+
+    Boundaries may share nodes: ``id`` names the boundary that a node belongs to.  ``own`` is that of
+    the fine node next to a coarse one.  Only boundaries ``first .. last`` are inverted for: ``active`` is the owner, or
+    null for a node that is held: one that is, or follows, a boundary outside these, and one that a deeper
+    boundary outside them follows.
+    """
+    last = grid.nr if last is None else last
+    dxc = (grid.x2 - grid.x1) / (nxc - 1)
+    after = boundary.select("ir", (F.col("ix") - 1).alias("jx"), F.col("z").alias("zb"), F.col("id").alias("idb"))
+    pairs = boundary.select("ir", F.col("ix").alias("jx"), F.col("z").alias("za"), F.col("id").alias("ida")).join(after, ["ir", "jx"])
+    nodes = boundary.sparkSession.range(1, nxc + 1).select(F.col("id").cast("int").alias("ix"), (grid.x1 + (F.col("id") - 1) * F.lit(dxc)).alias("x"))
+    nodes = nodes.withColumn("jx", grid.ix(F.col("x"))).join(pairs, "jx")
+    ex = (F.col("x") - (grid.x1 + (F.col("jx") - 1) * grid.dx)) / grid.dx
+    nodes = nodes.select("ir", "ix", ((1 - ex) * F.col("za") + ex * F.col("zb")).alias("z"), F.when(ex >= 0.5, F.col("idb")).otherwise(F.col("ida")).alias("own"))
+    inside = lambda c: F.col(c).between(first, last)
+    held = nodes.where(F.col("ir") > last).select(F.col("own").alias("ir"), "ix").distinct().withColumn("held", F.lit(True))
+    nodes = nodes.join(held, ["ir", "ix"], "left")
+    return nodes.select("ir", "ix", "z", "own", F.when(inside("ir") & inside("own") & F.col("held").isNull(), F.col("own")).alias("active"))
+
+
 def boundary_depths(points: DataFrame, grid: Grid, edges: DataFrame, x: str = "x") -> DataFrame:
     """Adds ``depths``: linear depth of each boundary below a point, shallow to deep."""
     met = points.withColumn("jx", grid.ix(F.col(x))).join(edges, "jx", "left")
@@ -148,6 +172,16 @@ def coarse_axis(grid: Grid, nzc: int, dz1: float) -> np.ndarray:
     return grid.z1 + k * dz1 + growth * k * (k - 1) / 2
 
 
+def in_interval(rows: DataFrame, edges: np.ndarray, z: str) -> DataFrame:
+    """Adds ``jz`` and ``ez``: the interval of an uneven axis that holds ``z`` (the first or last one for what lies
+    outside), numbers from 1, and the part of it that lies before ``z``."""
+    at = F.array(*[F.lit(float(e)) for e in edges])
+    jz = F.greatest(F.lit(1), F.least(F.lit(len(edges) - 1), F.size(F.filter(at, lambda e: e <= F.col(z)))))
+    rows = rows.withColumn("jz", jz)
+    low, high = F.get(at, F.col("jz") - 1), F.get(at, F.col("jz"))
+    return rows.withColumn("ez", (F.col(z) - low) / (high - low))
+
+
 def regrid_coarse(velocity: DataFrame, grid: Grid, nxc: int, nzc: int, dz1: float) -> DataFrame:
     """``ir, ix, iz, v`` on the coarse axes, bilinear from the fine grid."""
     spark = velocity.sparkSession
@@ -161,15 +195,11 @@ def regrid_coarse(velocity: DataFrame, grid: Grid, nxc: int, nzc: int, dz1: floa
 
 def regrid_fine(coarse: DataFrame, grid: Grid, nxc: int, nzc: int, dz1: float) -> DataFrame:
     """``ir, ix, iz, v`` back on the fine grid, bilinear between coarse nodes."""
-    zs = coarse_axis(grid, nzc, dz1)
     dxc = (grid.x2 - grid.x1) / (nxc - 1)
-    rows = []
-    for iz in range(1, grid.nz + 1):  # the vertical axis only: nz rows
-        z = grid.z1 + (iz - 1) * grid.dz
-        m = int(np.clip(np.searchsorted(zs, z, "right") - 1, 0, nzc - 2))
-        rows.append((iz, m + 1, float((z - zs[m]) / (zs[m + 1] - zs[m]))))
     spark = coarse.sparkSession
-    axis = F.broadcast(spark.createDataFrame(rows, "iz int, jz int, ez double"))
+    z = grid.z1 + (F.col("iz") - 1) * F.lit(grid.dz)
+    axis = spark.range(1, grid.nz + 1).select(F.col("id").cast("int").alias("iz"))
+    axis = in_interval(axis.withColumn("z", z), coarse_axis(grid, nzc, dz1), "z").select("iz", "jz", "ez")
     x = grid.x1 + (F.col("ix") - 1) * grid.dx
     jx = F.greatest(F.lit(1), F.least(F.lit(nxc - 1), ((x - grid.x1) / dxc + 1e-9).cast("int") + 1))
     across = spark.range(1, grid.nx + 1).select(F.col("id").cast("int").alias("ix"))
@@ -331,13 +361,15 @@ def fill_boundary(boundary: DataFrame, covered: DataFrame) -> DataFrame:
     return rows.withColumn("z", F.when(F.col("__c"), F.col("z")).otherwise(F.coalesce(line, "__b.z", "__a.z", "z"))).select(*boundary.columns)
 
 
-def boundary_partials(points: DataFrame, ray: list[str], grid: Grid, edges: DataFrame, cells: DataFrame, nxc: int, vmin: float, zscal: float = 1.0, first: int = 1, last: int | None = None, tiny: float = 0.003) -> DataFrame:
+def boundary_partials(points: DataFrame, ray: list[str], grid: Grid, edges: DataFrame, cells: DataFrame, nxc: int, vmin: float, zscal: float = 1.0, first: int = 1, last: int | None = None, tiny: float = 0.003, owners: DataFrame | None = None) -> DataFrame:
     """``ray, boundary, ix, val``: change of a ray's normalised time with each coarse boundary node.
 
     ``points`` has ``k, x, z, error``; ``cells`` is keyed by ``layer``.  A point on a boundary whose
     neighbours both lie above it is a reflection; a point nearest to a boundary that its neighbours
-    lie on both sides of is where the ray pierces it.  Boundaries are taken as independent of each
-    other: where two of them share nodes, rows of the dependent one are not made.
+    lie on both sides of is where the ray pierces it.  Where boundaries share nodes (``id`` in ``edges``), a
+    ray meets the owner only: the velocity above is that of the highest boundary that follows it, and a place where
+    a boundary outside ``first .. last`` follows it gives nothing.  With ``owners`` (of ``boundary_owners``) only
+    nodes that are their own and active have partials.
     """
     last = grid.nr if last is None else last
     dxc = (grid.x2 - grid.x1) / (nxc - 1)
@@ -345,17 +377,20 @@ def boundary_partials(points: DataFrame, ray: list[str], grid: Grid, edges: Data
     at = points.select(*ray, "k", "x", "z", "error", *[f(c).over(w).alias(f"{c}{n}") for f, n in ((F.lead, "b"), (F.lag, "c")) for c in ("x", "z")]).where(F.col("xb").isNotNull() & F.col("xc").isNotNull())
     for x, name in (("x", "ra"), ("xb", "rb"), ("xc", "rc")):
         at = boundary_depths(at, grid, edges, x).withColumnRenamed("depths", name)
-    near = F.transform(F.slice("ra", first, last - first + 1), lambda d: F.abs(d - F.col("z")) < tiny * grid.dz)
+    at = at.withColumn("jx", grid.ix(F.col("x"))).join(edges.select("jx", F.col("edges.id").alias("ids")), "jx", "left").drop("jx")
+    near = F.transform(F.slice("ra", first, last - first + 1), lambda d, i: (F.abs(d - F.col("z")) < tiny * grid.dz) & (F.get("ids", i + first - 1) == i + first))
     at = at.withColumn("hit", F.array_position(near, True).cast("int") + first - 1)
-    at = at.withColumn("layer", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    at = at.withColumns({n: F.get(n, F.col("layer") - 1) for n in ("ra", "rb", "rc")})
-    reflects = (F.col("layer") == F.col("hit")) & (F.col("hit") >= first) & (F.col("zb") < F.col("rb")) & (F.col("zc") < F.col("rc"))
+    at = at.withColumn("boundary", F.explode(F.sequence(F.lit(first), F.lit(last)))).where(F.get("ids", F.col("boundary") - 1) == F.col("boundary"))
+    follows = lambda i: F.get("ids", i) == F.col("boundary")
+    at = at.where(~F.exists(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: follows(i) & ~(i + 1).between(first, last)))
+    at = at.withColumn("layer", F.array_position("ids", F.col("boundary")).cast("int"))
+    at = at.withColumns({n: F.get(n, F.col("boundary") - 1) for n in ("ra", "rb", "rc")})
+    reflects = (F.col("boundary") == F.col("hit")) & (F.col("hit") >= first) & (F.col("zb") < F.col("rb")) & (F.col("zc") < F.col("rc"))
     off = {n: F.col(f"r{n}") - F.col("z" if n == "a" else f"z{n}") for n in "abc"}
     pierces = (off["b"] * off["c"] < 0) & (F.abs(off["a"]) < F.abs(off["b"])) & (F.abs(off["a"]) < F.abs(off["c"]))
     at = at.withColumn("reflects", reflects).withColumn("pierces", pierces).where("reflects or pierces")
     at = velocity_at(at, grid, cells, "x", "z", vmin, ("layer",)).withColumnRenamed("v", "v1")
-    below = at.withColumn("layer", F.col("layer") + 1)
-    at = velocity_at(below, grid, cells, "x", "z", vmin, ("layer",)).withColumnRenamed("v", "v2").withColumn("layer", F.col("layer") - 1)
+    at = velocity_at(at.withColumn("layer", F.col("boundary") + 1), grid, cells, "x", "z", vmin, ("layer",)).withColumnRenamed("v", "v2")
     bx, bz, cx, cz = (F.col(n) - F.col(n[0]) for n in ("xb", "zb", "xc", "zc"))
     half = F.try_divide(bx * cx + bz * cz, F.sqrt(bx * bx + bz * bz) * F.sqrt(cx * cx + cz * cz))
     wide, deep = F.col("xb") - F.col("xc"), F.col("zb") - F.col("zc")
@@ -371,8 +406,10 @@ def boundary_partials(points: DataFrame, ray: list[str], grid: Grid, edges: Data
     at = at.withColumn("mx", (F.floor((F.col("x") - grid.x1) / dxc) + 1).cast("int")).withColumn("ex", (F.col("x") - (grid.x1 + (F.col("mx") - 1) * dxc)) / dxc)
     scale = F.col("elm") * zscal / F.col("error")
     nodes = F.array(F.struct(F.col("mx").alias("ix"), ((1 - F.col("ex")) * scale).alias("val")), F.struct((F.col("mx") + 1).alias("ix"), (F.col("ex") * scale).alias("val")))
-    rows = at.select(*ray, F.col("layer").alias("boundary"), F.explode(nodes).alias("n"))
-    return rows.groupBy(*ray, "boundary", "n.ix").agg(F.sum("n.val").alias("val"))
+    rows = at.select(*ray, "boundary", F.explode(nodes).alias("n")).select(*ray, "boundary", "n.*")
+    if owners is not None:
+        rows = rows.join(owners.where(F.col("active") == F.col("ir")).select(F.col("ir").alias("boundary"), "ix"), ["boundary", "ix"], "left_semi")
+    return rows.groupBy(*ray, "boundary", "ix").agg(F.sum("val").alias("val"))
 
 
 def _equations(rows: DataFrame, kind: str, keys: list[str], parts: list[tuple[Column, Column]], rhs: Column, ok: Column) -> DataFrame:
@@ -411,19 +448,39 @@ def velocity_regularization(nodes: DataFrame, zs: np.ndarray, dxc: float, reg: t
 
 def boundary_regularization(nodes: DataFrame, dxc: float, reg: tuple[float, float, float], asr: float, crf: float = 1.0, zscal: float = 1.0) -> DataFrame:
     """Rows of ``nodes(ir, ix, z, covered, fixed)``; a fixed neighbour has no coefficient, and its
-    weight moves to the right-hand side."""
+    weight moves to the right-hand side.
+
+    With a column ``own`` boundaries may share nodes: depths and coefficients are those of the owner's nodes,
+    while the node itself decides whether there is a row.  ``node`` (``ir, ix``) names the coefficient.  Of
+    three neighbours the second is taken from the first one's owner and the third from the second one's.
+    """
     keys = ["ir", "ix"]
     w = W.partitionBy("ir").orderBy("ix")
-    held = lambda c, f: F.coalesce(F.col(c) | F.col(f), F.lit(False))
-    rows = nodes.withColumns({n + k: f(c).over(w) for f, k in ((F.lead, "n"), (F.lag, "p")) for c, n in (("z", "z"), ("covered", "c"), ("fixed", "f"))})
-    at = lambda i: (F.col("ix") + i).cast("int")
+    rows = nodes if "own" in nodes.columns else nodes.withColumn("own", F.col("ir"))
+    owner = nodes.select(F.col("ir").alias("__ir"), F.col("ix").alias("__ix"), F.struct("z", "covered").alias("__o"))
+
+    def of(rows: DataFrame, ir: Column, ix: Column, name: str) -> DataFrame:
+        """Adds the depth of the node of an owner, whether it is covered, and its name."""
+        met = rows.withColumns({"__k": ir, "__l": ix}).join(owner, (F.col("__k") == F.col("__ir")) & (F.col("__l") == F.col("__ix")), "left")
+        named = met.withColumns({f"z_{name}": F.col("__o.z"), f"on_{name}": F.coalesce("__o.covered", F.lit(False)), f"node_{name}": F.struct(F.col("__k").cast("int").alias("ir"), F.col("__l").cast("int").alias("ix"))})
+        return named.drop("__k", "__l", "__ir", "__ix", "__o")
+
+    seen = rows.withColumns({n + k: f(c).over(w) for f, k in ((F.lead, "n"), (F.lag, "p")) for c, n in (("covered", "c"), ("fixed", "f"), ("own", "o"))})
     r0, r1, r2 = reg
     g1, g2 = r1 * crf * asr, r2 * crf * asr * asr / dxc
-    on = lambda c, val: F.when(F.col(c), F.lit(val))
-    moved = lambda c, val: F.when(F.col(c), 0.0).otherwise(val)
-    out = _equations(rows, "damp", keys, [(at(0), F.lit(r0 * crf * dxc))], F.lit(0.0), F.col("covered"))
-    flat = g1 * (F.col("zn") - F.col("z")) / zscal + moved("covered", -g1) + moved("cn", g1)
-    out = out.unionByName(_equations(rows, "flat_x", keys, [(at(0), on("covered", g1)), (at(1), on("cn", -g1))], flat, (F.col("covered") | F.col("cn")) & held("covered", "fixed") & held("cn", "fn")))
-    bend = g2 * (F.col("zp") + F.col("zn") - 2 * F.col("z")) / zscal + moved("cp", g2) + moved("covered", -2 * g2) + moved("cn", g2)
+    held = lambda c, f: F.coalesce(F.col(c) | F.col(f), F.lit(False))
+
+    def line(rows: DataFrame, kind: str, weights: list[tuple[str, float]], scale: float, any_: Column, all_: Column) -> DataFrame:
+        """Coefficients of the covered nodes; the weights of the others are taken off the right-hand side."""
+        depth = sum(((scale * g) * F.col(f"z_{n}") for n, g in weights), F.lit(0.0)) / zscal
+        rhs = depth - sum((F.when(F.col(f"on_{n}"), 0.0).otherwise(g) for n, g in weights), F.lit(0.0))
+        parts = [(F.col(f"node_{n}"), F.when(F.col(f"on_{n}"), F.lit(g))) for n, g in weights]
+        return _equations(rows, kind, keys, parts, rhs, any_ & all_)
+
+    here = F.struct(F.col("ir").cast("int").alias("ir"), F.col("ix").cast("int").alias("ix"))
+    out = _equations(rows, "damp", keys, [(here, F.lit(r0 * crf * dxc))], F.lit(0.0), F.col("covered"))
+    flat = of(of(seen, F.col("own"), F.col("ix"), "a"), F.col("on"), F.col("ix") + 1, "b")
+    out = out.unionByName(line(flat, "flat_x", [("a", g1), ("b", -g1)], -1.0, F.col("covered") | F.col("cn"), held("covered", "fixed") & held("cn", "fn")))
+    bent = of(of(of(seen, F.col("op"), F.col("ix") - 1, "a"), F.col("op"), F.col("ix"), "b"), F.col("own"), F.col("ix") + 1, "c")
     any_ = F.col("covered") | F.col("cn") | F.col("cp")
-    return out.unionByName(_equations(rows, "smooth_x", keys, [(at(-1), on("cp", -g2)), (at(0), on("covered", 2 * g2)), (at(1), on("cn", -g2))], bend, any_ & held("covered", "fixed") & held("cn", "fn") & held("cp", "fp")))
+    return out.unionByName(line(bent, "smooth_x", [("a", -g2), ("b", 2 * g2), ("c", -g2)], -1.0, any_, held("covered", "fixed") & held("cn", "fn") & held("cp", "fp")))

@@ -995,15 +995,6 @@ def rows_regularizing(t: Tables) -> DataFrame:
     return made.select("kind", "layer", "ix", "iz", F.col("node.ix").alias("nx"), F.col("node.iz").alias("nz"), F.round("val", 6).alias("val"), rounded("rhs", 4).alias("rhs"))
 
 
-@query()
-def boundary_node_partials(t: Tables) -> DataFrame:
-    edges = grid.edge_table(grid_boundary(t.spark), GRID)
-    cells = grid.cell_table(grid_velocity(t.spark).withColumnRenamed("ir", "layer"), GRID, ("layer",))
-    points = t.ray_points.withColumn("z", F.col("z") * 6).withColumn("error", F.lit(0.1))
-    made = grid.boundary_partials(points, ["ray"], GRID, edges, cells, 11, 0.5)
-    return made.select("ray", "boundary", "ix", rounded("val", 5).alias("val"))
-
-
 # --- locating ----------------------------------------------------------------------------------
 
 STEP = """+ g AS (SELECT event_id, event_id % 7 + 4.0::DOUBLE AS x, event_id % 5 + 6.0::DOUBLE AS y, 0.8::DOUBLE AS t FROM (SELECT DISTINCT event_id FROM arrivals)),

@@ -203,7 +203,50 @@ def test_boundary_partials_by_hand(spark):
 def test_boundary_rows_move_fixed_weights(spark):
     nodes = spark.createDataFrame([(1, 1, 5.0, True, False), (1, 2, 7.0, False, True), (1, 3, 6.0, True, False)], "ir int, ix int, z double, covered boolean, fixed boolean")
     got = grid.boundary_regularization(nodes, 2.0, (0.1, 1.0, 1.0), 1.0).collect()
-    flat = sorted((r.ix, r.node, r.val, r.rhs) for r in got if r.kind == "flat_x")
+    flat = sorted((r.ix, r.node.ix, r.val, r.rhs) for r in got if r.kind == "flat_x")
     assert flat == [(1, 1, 1.0, 3.0), (2, 3, -1.0, -2.0)]
-    bend = sorted((r.node, r.val, r.rhs) for r in got if r.kind == "smooth_x")
+    bend = sorted((r.node.ix, r.val, r.rhs) for r in got if r.kind == "smooth_x")
     assert [b[:2] for b in bend] == [(1, -0.5), (3, -0.5)] and bend[0][2] == pytest.approx(0.5 * (5 + 6 - 14) - 1.0)
+
+
+def shared_boundaries(spark):
+    """Two flat boundaries over three columns; the second follows the first at the second column."""
+    rows = [(1, 1, 10.0, 1), (1, 2, 10.0, 1), (1, 3, 10.0, 1), (2, 1, 14.0, 2), (2, 2, 10.0, 1), (2, 3, 14.0, 2)]
+    return spark.createDataFrame(rows, "ir int, ix int, z double, id int")
+
+
+def test_owners_of_shared_nodes(spark):
+    g = grid.Grid(3, 11, 0.0, 20.0, 0.0, 20.0, nr=2)
+    of = lambda first, last: {(r.ir, r.ix): (r.own, r.active) for r in grid.boundary_owners(shared_boundaries(spark), g, 3, first, last).collect()}
+    assert of(1, 2) == {(1, 1): (1, 1), (1, 2): (1, 1), (1, 3): (1, 1), (2, 1): (2, 2), (2, 2): (1, 1), (2, 3): (2, 2)}
+    # a deeper boundary that is not inverted for holds the nodes that it follows
+    assert of(1, 1) == {(1, 1): (1, 1), (1, 2): (1, None), (1, 3): (1, 1), (2, 1): (2, None), (2, 2): (1, None), (2, 3): (2, None)}
+    # a node that follows one above those inverted for is held, what it follows is not moved anyway
+    assert of(2, 2)[2, 2] == (1, None) and of(2, 2)[2, 1] == (2, 2)
+
+
+def test_partials_of_shared_nodes(spark):
+    g = grid.Grid(3, 11, 0.0, 20.0, 0.0, 20.0, nr=2)
+    edges = grid.edge_table(shared_boundaries(spark), g)
+    v = spark.createDataFrame([(layer, ix, iz, 2.0 * layer) for layer in (1, 2, 3) for ix in (1, 2, 3) for iz in range(1, 12)], "layer int, ix int, iz int, v double")
+    cells = grid.cell_table(v, g, ("layer",))
+    # vertical rays through both boundaries, in the cell that each owns and in the one that begins at a shared node
+    pts = [(ray, k, x, z) for ray, x in ((1, 2.0), (2, 12.0)) for k, z in enumerate((0.0, 9.5, 12.5, 20.0), 1)]
+    df = spark.createDataFrame([(*p, 0.5) for p in pts], "ray int, k int, x double, z double, error double")
+    found = lambda first, last, own: {(r.ray, r.boundary, r.ix): r.val for r in grid.boundary_partials(df, ["ray"], g, edges, cells, 3, 0.5, first=first, last=last, owners=grid.boundary_owners(shared_boundaries(spark), g, 3, first, last) if own else None).collect()}
+    every = found(1, 2, True)
+    assert {k[:2] for k in every} == {(1, 1), (1, 2), (2, 1)}  # no pierce of the second where it follows
+    assert (1, 2, 2) not in every and (1, 2, 1) in every  # nor a node of it that is not its own
+    assert (1, 2, 2) in found(1, 2, False)
+    assert every[1, 1, 1] == pytest.approx(0.8 * (1 / 2 - 1 / 4) / 0.5)
+    assert every[2, 1, 2] == pytest.approx(0.8 * (1 / 2 - 1 / 4) / 0.5)
+    # with the second boundary not inverted for, the shared node of the first and the places along it are held
+    assert {k[:2] for k in found(1, 1, True)} == {(1, 1)} and (1, 1, 2) not in found(1, 1, True)
+
+
+def test_rows_of_shared_nodes_use_the_owner(spark):
+    rows = [(1, 1, 5.0, 1, True, False), (1, 2, 7.0, 1, True, False), (2, 1, 9.0, 2, True, False), (2, 2, 7.0, 1, False, True)]
+    nodes = spark.createDataFrame(rows, "ir int, ix int, z double, own int, covered boolean, fixed boolean")
+    got = grid.boundary_regularization(nodes, 2.0, (0.1, 1.0, 1.0), 1.0).where("kind = 'flat_x' and ir = 2").collect()
+    # the held node of the second boundary stands for the first one's, which is covered
+    assert sorted((r.node.ir, r.node.ix, r.val, r.rhs) for r in got) == [(1, 2, -1.0, -2.0), (2, 1, 1.0, -2.0)]
