@@ -203,7 +203,7 @@ bent AS (SELECT s.ir, s.ix, [{'ir': a.ir, 'ix': a.ix, 'z': a.z, 'c': a.covered,
  FROM s JOIN c a ON a.ir = s.po AND a.ix = s.ix - 1 JOIN c d ON d.ir = s.po AND d.ix = s.ix JOIN c e ON e.ir = s.own AND e.ix = s.ix + 1 WHERE (s.covered OR s.nc OR s.pc) AND (s.covered OR s.fixed) AND (s.nc OR s.nf) AND (s.pc OR s.pf)),
 rows_ AS (SELECT 'flat_x' AS kind, * FROM flat UNION ALL SELECT 'smooth_x', * FROM bent),
 r AS (SELECT kind, ir, ix, parts, list_sum(list_transform(parts, lambda p: -p.w * p.z / 2.0 - CASE WHEN p.c THEN 0 ELSE p.w END)) AS rhs FROM rows_)
-SELECT kind, ir, ix, p.ir AS nr, p.ix AS nx, round(p.w, 6) AS val, round(rhs, 4) + 0.0::DOUBLE AS rhs FROM (SELECT kind, ir, ix, rhs, unnest(parts) AS p FROM r) WHERE p.c
+SELECT kind, ir, ix, p.ir AS nr, p.ix AS nx, round(p.w, 6) AS val, round(rhs + 3e-7, 4) + 0.0::DOUBLE AS rhs FROM (SELECT kind, ir, ix, rhs, unnest(parts) AS p FROM r) WHERE p.c
 UNION ALL SELECT 'damp', ir, ix, ir, ix, 0.5::DOUBLE, 0.0::DOUBLE FROM c WHERE covered"""
 
 
@@ -216,4 +216,4 @@ def boundary_rows_regularizing(t: Tables) -> DataFrame:
     free = (F.col("own") == F.col("ir")) & ((F.col("ix") * 3 + F.col("ir")) % 4 != 0)
     nodes = nodes.withColumn("covered", free).withColumn("fixed", ~F.col("covered") & ((F.col("ix") + F.col("ir")) % 5 < 3))
     made = grid.boundary_regularization(nodes, 2.5, (0.1, 0.2, 0.15), 1.5, 2.0, 2.0)
-    return made.select("kind", "ir", "ix", F.col("node.ir").alias("nr"), F.col("node.ix").alias("nx"), F.round("val", 6).alias("val"), rounded("rhs", 4).alias("rhs"))
+    return made.select("kind", "ir", "ix", F.col("node.ir").alias("nr"), F.col("node.ix").alias("nx"), F.round("val", 6).alias("val"), rounded(F.when(F.col("kind") == "damp", 0.0).otherwise(F.col("rhs") + 3e-7), 4).alias("rhs"))
