@@ -33,16 +33,30 @@ def per_trace(kernel: Callable[[np.ndarray], np.ndarray], samples: Column) -> Co
     return run(samples)
 
 
+def moving_sum(x: np.ndarray, width: int) -> np.ndarray:
+    """Sums of each ``width`` neighbouring columns.
+
+    Sums run inside blocks of ``width`` only, from both ends, and a window is the end of one block and the
+    beginning of the next; nothing is taken off, so a burst leaves no error behind it.
+    """
+    rows, n = x.shape
+    blocks = np.zeros((rows, -(-n // width), width))
+    blocks.reshape(rows, -1)[:, :n] = x
+    upto = np.cumsum(blocks, 2).reshape(rows, -1)
+    rest = np.cumsum(blocks[:, :, ::-1], 2)[:, :, ::-1].reshape(rows, -1)
+    first = np.arange(n - width + 1)
+    return upto[:, first + width - 1] + np.where(first % width == 0, 0.0, rest[:, first])
+
+
 def sta_lta(x: np.ndarray, nsta: int, nlta: int) -> np.ndarray:
     """Mean of squares of the last ``nsta`` samples over that of the last ``nlta``; 0 until the long
     window is full, and where the long mean is 0."""
-    sums = np.concatenate([np.zeros((len(x), 1)), np.cumsum(x * x, 1)], 1)
     out = np.zeros_like(x, dtype=np.float64)
     n = x.shape[1]
-    if n >= nlta:
-        ends = np.arange(nlta, n + 1)
-        short = (sums[:, ends] - sums[:, ends - nsta]) / nsta
-        long = (sums[:, ends] - sums[:, ends - nlta]) / nlta
+    if n >= max(nlta, nsta):
+        squares = x.astype(np.float64) ** 2
+        short = moving_sum(squares, nsta)[:, max(0, nlta - nsta) :] / nsta
+        long = moving_sum(squares, nlta) / nlta
         np.divide(short, long, out=out[:, nlta - 1 :], where=long > 0)
     return out
 
@@ -101,15 +115,37 @@ def butter_bandpass(corners: int, fs: float, low: float, high: float) -> np.ndar
     return np.array(sections)
 
 
+#: samples of a block of the recursion
+BLOCK = 128
+
+
+def section_blocks(section: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A second-order section over ``n`` samples at once: what samples and state give for the output, and for
+    the state after it (two numbers)."""
+    b0, b1, b2, a1, a2 = section
+    step, feed = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(n):
+        powers.append(step @ powers[-1])
+    impulse = np.array([b0, *[(powers[k] @ feed)[0] for k in range(n - 1)]])
+    back = np.arange(n)[:, None] - np.arange(n)[None, :]
+    by_sample = np.where(back >= 0, impulse[np.maximum(back, 0)], 0.0)
+    return by_sample, np.array([powers[k][0] for k in range(n)]), np.stack([powers[n - 1 - k] @ feed for k in range(n)], 1), powers[n]
+
+
 def sos_filter(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    y = x.astype(np.float64).T.copy()  # time first: one step handles all traces
-    for b0, b1, b2, a1, a2 in sections:
-        s1, s2 = np.zeros(y.shape[1]), np.zeros(y.shape[1])
-        for t in range(len(y)):
-            v = y[t].copy()
-            y[t] = b0 * v + s1
-            s1 = b1 * v - a1 * y[t] + s2
-            s2 = b2 * v - a2 * y[t]
+    """Sections in turn, each by blocks of ``BLOCK`` samples of all traces: a block is a product of matrices, and
+    only the state of two numbers is carried from one to the next."""
+    y = x.astype(np.float64).T.copy()  # time first: one product handles all traces
+    for section in sections:
+        state = np.zeros((2, y.shape[1]))
+        for lo in range(0, len(y), BLOCK):
+            part = y[lo : lo + BLOCK]
+            if lo == 0 or len(part) != len(by_sample):
+                by_sample, by_state, gather, carry = section_blocks(section, len(part))
+            out = by_sample @ part + by_state @ state
+            state = gather @ part + carry @ state
+            y[lo : lo + BLOCK] = out
     return y.T
 
 
@@ -143,6 +179,28 @@ def shift_pad(b: np.ndarray, lag: int) -> np.ndarray:
     return out
 
 
+#: decimals of a correlation that decide between lags; with more, the order of a sum would
+SCORE_DIGITS = 9
+
+
+def lag_scores(a: np.ndarray, b: np.ndarray, lags: np.ndarray, sign: int) -> np.ndarray:
+    """``sum a[l] b[l + sign * lag]`` of consecutive lags, samples outside of ``b`` being 0.
+
+    Only the band of ``b`` that the lags reach is laid out, and all of them are one correlation of it
+    with ``a``; lags that share no sample with it are 0.
+    """
+    n, shift = len(a), sign * lags
+    near = np.abs(shift) < n
+    scores = np.zeros(len(lags))
+    if near.any():
+        first, last = int(shift[near].min()), int(shift[near].max())
+        band = np.zeros(n + last - first)
+        lo, hi = max(first, 0), min(last + n, n)
+        band[lo - first : hi - first] = b[lo:hi]
+        scores[near] = np.correlate(band, a, "valid")[shift[near] - first]
+    return scores
+
+
 def best_lag(a: np.ndarray, b: np.ndarray, diff_m: float, vmin: float, vmax: float, fs: float, align: str = "reference") -> int:
     """Allowed lag with the largest correlation, the first of equals.
 
@@ -150,9 +208,8 @@ def best_lag(a: np.ndarray, b: np.ndarray, diff_m: float, vmin: float, vmax: flo
     is the sign that ``shift_pad`` undoes.
     """
     lags = lag_window(diff_m, vmin, vmax, fs)
-    sign = {"reference": -1, "corrected": 1}[align]
-    scores = [float(a @ shift_pad(b, sign * int(lag))) for lag in lags]
-    return int(lags[int(np.argmax(scores))])
+    scores = lag_scores(a, b, lags, {"reference": -1, "corrected": 1}[align])
+    return int(lags[int(np.argmax(np.round(scores, SCORE_DIGITS)))])
 
 
 def savgol(z: np.ndarray, width: int, order: int = 2) -> np.ndarray:

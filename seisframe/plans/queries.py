@@ -595,33 +595,63 @@ def line_binned_bandpass(t: Tables) -> DataFrame:
     return as_rows(binned, ["lineno", "bin_id", "count"], "sum")
 
 
-GAINED = f"""{_bandpass_sql(1.0, 5.0)} SELECT p.trace_id, t.shot, t.station, p.i, round(CASE WHEN m > 0 THEN x / m ELSE 0 END, 6) + 0.0::DOUBLE AS x
-FROM (SELECT *, max(abs(x)) OVER (PARTITION BY trace_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS m FROM passed) p JOIN traces t USING (trace_id) WHERE t.station NOT IN (3025, 4016)"""
+GAINED = f"""{_bandpass_sql(1.0, 5.0)}, g AS ({geodesic(PAIRS, 'rlat', 'rlon', 'slat', 'slon', 'offset_m')}) SELECT p.trace_id, t.shot, t.station, p.i, round(offset_m / 1e3, 5) AS "offset", round(CASE WHEN m > 0 THEN x / m ELSE 0 END, 6) + 0.0::DOUBLE AS x
+FROM (SELECT *, max(abs(x)) OVER (PARTITION BY trace_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS m FROM passed) p JOIN traces t USING (trace_id) LEFT JOIN g USING (trace_id) WHERE t.station NOT IN (3025, 4016)"""
 
 
 @query(GAINED)
 def gather_unbinned(t: Tables) -> DataFrame:
-    return as_rows(pipelines.unbinned_gather(t.traces, t.nodes, t.shots, FS, "bandpass_agc", low=1.0, high=5.0, agc_s=1.0), ["trace_id", "shot", "station"])
+    made = pipelines.unbinned_gather(t.traces, t.nodes, t.shots, FS, "bandpass_agc", low=1.0, high=5.0, agc_s=1.0)
+    return as_rows(made.withColumn("offset", F.round("offset", 5)), ["trace_id", "shot", "station", "offset"])
 
 
-@query()
+def _stacked_sql(average: str, sign: int, fast_from: int | None = None) -> str:
+    """Stacks of the five traces of a station around each shot.
+
+    Every allowed lag of every neighbour has a score, the first of the best is taken, and samples move by it.
+    """
+    slow, fast = pipelines.SLOW, pipelines.FAST
+    window = "5000.0::DOUBLE AS v0, 7000.0::DOUBLE AS v1" if fast_from is None else f"CASE WHEN centre >= {fast_from} THEN {fast[0]} ELSE {slow[0]} END::DOUBLE AS v0, CASE WHEN centre >= {fast_from} THEN {fast[1]} ELSE {slow[1]} END::DOUBLE AS v1"
+    s = "(-lag)" if sign < 0 else "lag"
+    return f"""{_bandpass_sql(1.0, 5.0)}, {_ratio_sql("passed")}, g AS ({geodesic(PAIRS, 'rlat', 'rlon', 'slat', 'slon', 'offset_m')}),
+xs AS (SELECT r.trace_id, r.shot, r.station, any_value(g.offset_m) AS offset_m, list(r.x ORDER BY r.i) AS xs FROM ready r JOIN g USING (trace_id) GROUP BY 1, 2, 3),
+near AS (SELECT c.trace_id AS own, n.trace_id AS other, c.shot AS centre, c.station, c.offset_m, n.offset_m - c.offset_m AS diff, c.xs AS a, n.xs AS b, count(*) OVER (PARTITION BY c.trace_id) AS n FROM xs c JOIN xs n ON n.station = c.station AND n.shot BETWEEN c.shot - 2 AND c.shot + 2),
+ends AS (SELECT *, least(diff / v1 * {FS}, diff / v0 * {FS}) AS lo, greatest(diff / v1 * {FS}, diff / v0 * {FS}) AS hi FROM (SELECT *, {window} FROM near WHERE n = 5)),
+lags AS (SELECT own, other, a, b, unnest(CASE WHEN floor(hi) >= ceil(lo) THEN range(ceil(lo)::BIGINT, floor(hi)::BIGINT + 1) ELSE [round_even((lo + hi) / 2, 0)::BIGINT] END) AS lag FROM ends),
+scores AS (SELECT own, other, lag, CASE WHEN abs(lag) < 64 THEN round(list_dot_product(a[greatest(1, 1 - {s}):least(64, 64 - {s})], b[greatest(1, 1 + {s}):least(64, 64 + {s})]), 9) ELSE 0 END AS score FROM lags),
+best AS (SELECT own, other, arg_min(lag, (-score, lag)) AS lag FROM scores GROUP BY 1, 2),
+moved AS (SELECT centre, station, offset_m, i, coalesce(CASE WHEN i + lag BETWEEN 1 AND 64 THEN b[i + lag] END, 0) AS x FROM (SELECT e.*, best.lag, unnest(range(1, 65)) AS i FROM ends e JOIN best USING (own, other))),
+stacks AS (SELECT centre, station, offset_m, i::BIGINT AS i, {average}(x) AS x FROM moved GROUP BY 1, 2, 3, 4)"""
+
+
+BINNED = "SELECT centre, round_even(offset_m / 1e3 / 0.25::DOUBLE, 0)::BIGINT AS bin_id, i, count(*) AS count, round(sum(x), 6) + 0.0::DOUBLE AS x FROM stacks GROUP BY 1, 2, 3"
+
+
+@query(f"{_stacked_sql('avg', -1)} {BINNED}")
 def shots_stacked(t: Tables) -> DataFrame:
     binned = pipelines.megashot(t.traces, t.nodes, t.shots, FS, 2, 5000.0, 7000.0, **SHORT)
     return as_rows(binned, ["centre", "bin_id", "count"], "sum")
 
 
-@query()
+@query(f"{_stacked_sql('median', 1)} {BINNED}")
 def shots_stacked_median(t: Tables) -> DataFrame:
     binned = pipelines.megashot(t.traces, t.nodes, t.shots, FS, 2, 5000.0, 7000.0, "median", "corrected", **SHORT)
     return as_rows(binned, ["centre", "bin_id", "count"], "sum")
 
 
-@query()
+@query(f"{_stacked_sql('avg', -1, 1010)} {BINNED}")
 def shots_swept(t: Tables) -> DataFrame:
     binned = pipelines.megashot_sweep(t.traces, t.nodes, t.shots, FS, 2, fast_from=1010, **SHORT)
     return as_rows(binned, ["centre", "bin_id", "count"], "sum")
 
 
+@query(f"{_stacked_sql('avg', -1)} SELECT centre, station, i, round(offset_m, 3) AS offset_m, {r6('x')} AS x FROM stacks WHERE centre = 1000 AND station = 3023")
+def station_stacked(t: Tables) -> DataFrame:
+    """One station's stack around one shot."""
+    made = pipelines.megashot_single(t.traces, t.nodes, t.shots, FS, 2, 1000, 3023, 5000.0, 7000.0, **SHORT)
+    return as_rows(made.withColumn("offset_m", F.round("offset_m", 3)), ["centre", "station", "offset_m"])
+
+
 # --- rays --------------------------------------------------------------------------------------
 
 

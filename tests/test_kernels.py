@@ -83,3 +83,44 @@ def test_savgol_keeps_parabolas():
     x = np.arange(60.0)
     z = 0.3 * x * x - 2 * x + 5
     np.testing.assert_allclose(kernels.savgol(z, 20), z, atol=1e-8)
+
+
+def test_lag_scores_equal_sums():
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 30))
+    for lags in (np.arange(-4, 9), np.arange(20, 50), np.arange(-70, -20), np.arange(40, 60), np.array([3])):
+        for sign in (-1, 1):
+            expected = [sum(a[i] * b[i + sign * lag] for i in range(30) if 0 <= i + sign * lag < 30) for lag in lags]
+            np.testing.assert_allclose(kernels.lag_scores(a, b, lags, sign), expected, atol=1e-12)
+
+
+def test_first_of_equal_lags():
+    a = np.zeros(40)
+    a[[10, 13, 20, 23]] = 1.0
+    assert kernels.best_lag(a, a, 1000.0, 100.0, 1000.0, 1.0, "corrected") == 3  # of lags 1 to 10, 3 and 10 match two peaks
+    assert kernels.best_lag(np.zeros(40), a, 1000.0, 100.0, 1000.0, 1.0) == 1
+
+
+def test_filter_blocks_equal_single_steps():
+    rng = np.random.default_rng(4)
+    sections = kernels.butter_bandpass(4, 16.0, 1.0, 5.0)
+    for n in (1, 2, kernels.BLOCK, kernels.BLOCK + 1, 5 * kernels.BLOCK - 3):
+        x = rng.normal(size=(3, n))
+        y = x.copy()
+        for b0, b1, b2, a1, a2 in sections:
+            s1, s2 = np.zeros(3), np.zeros(3)
+            for t in range(n):
+                v = y[:, t].copy()
+                y[:, t] = b0 * v + s1
+                s1, s2 = b1 * v - a1 * y[:, t] + s2, b2 * v - a2 * y[:, t]
+        np.testing.assert_allclose(kernels.sos_filter(sections, x), y, atol=1e-10)
+
+
+def test_ratio_after_a_strong_burst():
+    x = np.full((1, 4000), 1e-6)
+    x[0, 100:110] = 1e8
+    ratio = kernels.sta_lta(x, 5, 50)[0]
+    np.testing.assert_allclose(ratio[200:], 1.0, rtol=1e-12)
+    plain = [np.mean(x[0, i - 4 : i + 1] ** 2) / np.mean(x[0, i - 49 : i + 1] ** 2) for i in range(49, 4000)]
+    np.testing.assert_allclose(ratio[49:], plain, rtol=1e-12)
+    assert (ratio[:49] == 0).all() and kernels.sta_lta(x[:, :49], 5, 50).max() == 0
