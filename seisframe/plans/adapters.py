@@ -112,13 +112,6 @@ def folder(t: Tables) -> str:
     return f"{base.rstrip('/')}/seisframe-files-{uuid.uuid4().hex}"
 
 
-def written(t: Tables, df: DataFrame) -> DataFrame:
-    """``df`` written into the shared folder and read back."""
-    path = folder(t)
-    df.write.parquet(path)
-    return t.spark.read.schema(df.schema).parquet(path)
-
-
 #: the same views for SQL
 VIEWS = {
     "traces": "SELECT vec_id AS trace_id, (vec_id // 500 + 1)::INT AS lineno, (vec_id // 10 + 991)::INT AS shot, (vec_id % 10 + 3020)::INT AS station, embedding::DOUBLE[] AS samples FROM embeddings",

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..operators import locate, rays
+from ..operators import rays
 from ..sources import tables as files
 from .adapters import Tables, folder
-from .queries import query, r6
+from .queries import query
 
 
 @query("SELECT code::VARCHAR AS code, lat, lon, elev_m FROM nodes")
@@ -109,25 +109,3 @@ def calculated_times(t: Tables) -> DataFrame:
     made = t.picks.groupBy(F.col("station").alias("inr"), (F.col("shot") % 16).alias("part")).agg(F.collect_list(F.struct("shot", "phase", "tt", "error")).alias("p"))
     chunks = made.select("inr", *[F.col(f"p.{c}").alias(n) for n, c in names.items()], F.transform("p", lambda p: p["tt"] + 0.25).alias("tca"))
     return rays.calculated_tts(chunks)
-
-
-STEP = f"""+ g AS (SELECT event_id, arg_min(x, (t, x, y)) + 0.01::DOUBLE AS ex, arg_min(y, (t, x, y)) + 0.01::DOUBLE AS ey, min(t) + 0.01::DOUBLE AS et FROM arrivals GROUP BY event_id HAVING count(*) >= 4),
-d AS (SELECT *, sqrt((ex - x) * (ex - x) + (ey - y) * (ey - y)) AS d FROM arrivals JOIN g USING (event_id)),
-q AS (SELECT *, (ex - x) / (d * 2) AS gx, (ey - y) / (d * 2) AS gy, t - (d / 2 + et) AS r FROM d),
-s AS (SELECT event_id, ex, ey, et, count(*) AS n, sum(gx * gx) AS xx, sum(gx * gy) AS xy, sum(gy * gy) AS yy, sum(gx) AS x, sum(gy) AS y, sum(gx * r) AS rx, sum(gy * r) AS ry, sum(r) AS r FROM q GROUP BY event_id, ex, ey, et),
-v AS (SELECT *, xx * (yy * n - y * y) - xy * (xy * n - y * x) + x * (xy * y - yy * x) AS det FROM s)
-SELECT event_id, {r6('ex + (rx * (yy * n - y * y) - xy * (ry * n - y * r) + x * (ry * y - yy * r)) / det', 4)} AS x, {r6('ey + (xx * (ry * n - r * y) - rx * (xy * n - y * x) + x * (xy * r - ry * x)) / det', 4)} AS y,
- {r6('et + (xx * (yy * r - y * ry) - xy * (xy * r - ry * x) + rx * (xy * y - yy * x)) / det', 4)} AS t FROM v WHERE abs(det) > 1e-4"""
-
-
-@query(STEP)
-def events_moved(t: Tables) -> DataFrame:
-    """The first step of every event whose normal equations are not near singular."""
-    enough = t.arrivals.groupBy("event_id").agg(F.count("*").alias("n")).where("n >= 4").select("event_id")
-    arrivals = t.arrivals.join(enough, "event_id", "left_semi")
-    guess = locate.first_guess(arrivals)
-    rows = locate.predicted(guess, arrivals, 2.0).withColumn("gx", F.col("dx") / (F.col("d") * 2)).withColumn("gy", F.col("dy") / (F.col("d") * 2))
-    sums = rows.groupBy("event_id").agg(*[F.sum(F.expr(e)).alias(n) for n, e in {"n": "1", "xx": "gx*gx", "xy": "gx*gy", "yy": "gy*gy", "x": "gx", "y": "gy"}.items()])
-    good = sums.where(F.abs(F.expr("xx*(yy*n - y*y) - xy*(xy*n - y*x) + x*(xy*y - yy*x)")) > 1e-4).select("event_id")
-    moved = locate.locate_step(guess, arrivals, 2.0).join(good, "event_id", "left_semi")
-    return moved.select("event_id", *[rounded(c, 4).alias(c) for c in ("x", "y", "t")])

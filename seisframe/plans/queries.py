@@ -14,7 +14,7 @@ from ..functions.kernels import butter_bandpass
 from ..operators import geometry, grid, intervals, locate, picks, rays, stack, traces
 from ..sources.tables import pick_lines, with_ns
 from . import pipelines
-from .adapters import FS, Tables, sql, written
+from .adapters import FS, Tables, sql
 from .geodesic_sql import geodesic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1040,9 +1040,37 @@ def location_residuals(t: Tables) -> DataFrame:
     return rows.groupBy("event_id").agg(F.count("*").alias("n"), rounded(F.sum("r"), 6).alias("r"), F.round(F.sqrt(F.avg(F.col("r") * F.col("r"))), 6).alias("rms"))
 
 
-@query()
-def events_located(t: Tables) -> DataFrame:
-    enough = t.arrivals.groupBy("event_id").agg(F.count("*").alias("n")).where("n >= 4").select("event_id")
-    steps = locate.locate(written(t, t.arrivals.join(enough, "event_id", "left_semi")), 2.0, 3, cut=lambda df: written(t, df))
-    return steps.select("event_id", "step", *[F.round(c, 4).alias(c) for c in ("x", "y", "t")])
+def _steps_sql(n: int) -> str:
+    """The first guess and ``n`` steps, one after the other; a step that is not determined stays where it is."""
+    text = "+ s0 AS (SELECT event_id, 0 AS step, arg_min(x, (t, x, y)) + 0.01::DOUBLE AS x, arg_min(y, (t, x, y)) + 0.01::DOUBLE AS y, min(t) + 0.01::DOUBLE AS t, true AS determined FROM arrivals GROUP BY event_id)"
+    tops = {
+        "x": "rx * (yy * n - y * y) - xy * (ry * n - y * r) + x * (ry * y - yy * r)",
+        "y": "xx * (ry * n - r * y) - rx * (xy * n - y * x) + x * (xy * r - ry * x)",
+        "t": "xx * (yy * r - y * ry) - xy * (xy * r - ry * x) + rx * (xy * y - yy * x)",
+    }
+    for k in range(1, n + 1):
+        text += f""",
+d{k} AS (SELECT a.event_id, s.x - a.x AS dx, s.y - a.y AS dy, sqrt(power(s.x - a.x, 2) + power(s.y - a.y, 2)) AS d, a.t, s.t AS et FROM arrivals a JOIN s{k - 1} s USING (event_id)),
+q{k} AS (SELECT event_id, coalesce(dx / nullif(d * 2, 0), 0) AS gx, coalesce(dy / nullif(d * 2, 0), 0) AS gy, t - (d / 2 + et) AS r FROM d{k}),
+n{k} AS (SELECT event_id, count(*)::DOUBLE AS n, sum(gx * gx) AS xx, sum(gx * gy) AS xy, sum(gy * gy) AS yy, sum(gx) AS x, sum(gy) AS y, sum(gx * r) AS rx, sum(gy * r) AS ry, sum(r) AS r FROM q{k} GROUP BY event_id),
+v{k} AS (SELECT event_id, det, {', '.join(f'({top}) / nullif(det, 0) AS m{c}' for c, top in tops.items())} FROM (SELECT *, xx * (yy * n - y * y) - xy * (xy * n - y * x) + x * (xy * y - yy * x) AS det FROM n{k})),
+s{k} AS (SELECT event_id, {k} AS step, {', '.join(f'{c} + CASE WHEN abs(det) > 1e-4 THEN m{c} ELSE 0 END AS {c}' for c in tops)}, abs(det) > 1e-4 AS determined FROM s{k - 1} JOIN v{k} USING (event_id))"""
+    return text
+
+
+def _located(columns: str) -> str:
+    return f"SELECT event_id, {columns}, determined, {', '.join(r6(c, 4) + ' AS ' + c for c in 'xyt')}"
+
 
+@query(f"{_steps_sql(1)} {_located('n')} FROM s1 JOIN (SELECT event_id, count(*) AS n FROM arrivals GROUP BY 1) USING (event_id)")
+def events_moved(t: Tables) -> DataFrame:
+    """The first step of every event."""
+    n = t.arrivals.groupBy("event_id").agg(F.count("*").alias("n"))
+    moved = locate.locate_step(locate.first_guess(t.arrivals).join(n, "event_id"), t.arrivals, 2.0, 1e-4)
+    return moved.select("event_id", "n", "determined", *[rounded(c, 4).alias(c) for c in "xyt"])
+
+
+@query(f"{_steps_sql(3)} {_located('step::INT AS step')} FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)")
+def events_located(t: Tables) -> DataFrame:
+    steps = locate.locate(t.arrivals, 2.0, 3, least=1e-4)
+    return steps.select("event_id", "step", "determined", *[rounded(c, 4).alias(c) for c in "xyt"])

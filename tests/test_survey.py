@@ -161,7 +161,23 @@ def test_location_converges(spark):
     data = [(1, float(x), float(y), float(np.hypot(x - 4.2, y - 5.1) / 2 + 3)) for x, y in at]
     steps = locate.locate(spark.createDataFrame(data, "event_id int, x double, y double, t double"), 2.0, 6)
     last = steps.where("step = 6").first()
-    assert (last.x, last.y, last.t) == pytest.approx((4.2, 5.1, 3.0), abs=1e-5)
+    assert (last.x, last.y, last.t) == pytest.approx((4.2, 5.1, 3.0), abs=1e-5) and last.determined
+
+
+def test_location_steps_equal_single_steps(spark):
+    at = [(0, 0), (9, 1), (2, 8), (7, 7), (4, 1), (4, 1)]
+    data = [(e, float(x), float(y), float(np.hypot(x - 4.2, y - 5.1 + e) / 2 + 3)) for e in range(6) for x, y in at[: 6 - e]]
+    df = spark.createDataFrame(data, "event_id int, x double, y double, t double")
+    guess = locate.first_guess(df)
+    ways = locate.locate(df, 2.0, 3, least=1e-4)
+    assert "Exchange hashpartitioning" in ways._jdf.queryExecution().toString() and ways._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    for i in range(1, 4):
+        guess = locate.locate_step(guess, df, 2.0, 1e-4)
+        one = {r.event_id: (r.x, r.y, r.t, r.determined) for r in guess.collect()}
+        way = {r.event_id: (r.x, r.y, r.t, r.determined) for r in ways.where(F.col("step") == i).collect()}
+        assert one.keys() == way.keys() and all(one[e] == pytest.approx(way[e], abs=1e-9) for e in one)
+        # one or two stations do not tell where an event was: its guess stays, and is flagged
+        assert not way[5][3] and not way[4][3] and way[0][3]
 
 
 def test_grid_round_trip_and_fill(spark):
