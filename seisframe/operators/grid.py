@@ -141,11 +141,11 @@ def build_boundaries(columns: DataFrame, node_x1: float, node_x2: float, moho_be
     ``final_z`` at the end of the model.
     """
     elev = F.when((F.col("x") > node_x1) & (F.col("x") < node_x2), 0.0).otherwise(F.col("elev"))
-    every = W.orderBy("ix").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # one row per column of the model
     moho = F.col("slab") + moho_below
     tail = F.col("slab").isNull()
-    rows = columns.withColumn("surface", elev).withColumn("last_z", F.last(moho, ignorenulls=True).over(every))
-    rows = rows.withColumn("tail_x", F.min(F.when(tail, F.col("x"))).over(every)).withColumn("end_x", F.max("x").over(every))
+    # what the tail hangs on is one row
+    ends = columns.agg(F.max_by(moho, F.when(~tail, F.col("ix"))).alias("last_z"), F.min(F.when(tail, F.col("x"))).alias("tail_x"), F.max("x").alias("end_x"))
+    rows = columns.withColumn("surface", elev).join(F.broadcast(ends))
     line = F.col("last_z") + F.coalesce(F.try_divide(final_z - F.col("last_z"), F.col("end_x") - F.col("tail_x")), F.lit(0.0)) * (F.col("x") - F.col("tail_x"))
     made = F.array(
         F.struct(F.lit(1).alias("ir"), F.least(F.lit(0.0), F.col("surface")).alias("z")),
@@ -155,14 +155,30 @@ def build_boundaries(columns: DataFrame, node_x1: float, node_x2: float, moho_be
     return rows.select("ix", F.explode(made).alias("b")).select("b.ir", "ix", "b.z")
 
 
-def smooth_surface(surface: DataFrame, width: int) -> DataFrame:
-    """Savitzky-Golay smoothing (order 2) of ``ix, z``: one array of model width in one task."""
+#: columns of a surface that a task smooths
+TILE = 8192
 
-    def run(rows):
+
+def smooth_surface(surface: DataFrame, width: int, tile: int = TILE) -> DataFrame:
+    """Savitzky-Golay smoothing (order 2) of ``ix, z`` (``ix`` without gaps).
+
+    Tiles of columns are smoothed by themselves, each with the ``width`` columns on both sides of it, on which its own
+    depend; at the surface's ends the outer windows' fits are used.
+    """
+    tile = max(tile, width)
+    first = F.broadcast(surface.agg(F.min("ix").alias("__first")))  # one row
+    place = F.col("ix") - F.col("__first")
+    homes = F.array_distinct(F.transform(F.array(place - width, place, place + width), lambda p: F.floor(p / tile)))
+    rows = surface.select("ix", "z").join(first).select("ix", "z", F.floor(place / tile).alias("home"), F.explode(homes).alias("tile"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ix")
-        return rows.assign(z=savgol(rows["z"].to_numpy(), width))
+        own = (rows["home"] == rows["tile"]).to_numpy()
+        if not own.any():
+            return rows.iloc[:0][["ix", "z"]]
+        return rows.assign(z=savgol(rows["z"].to_numpy(), width))[own][["ix", "z"]]
 
-    return surface.select("ix", "z").groupBy(F.lit(1).alias("g")).applyInPandas(lambda rows: run(rows)[["ix", "z"]], "ix int, z double")
+    return rows.groupBy("tile").applyInPandas(run, "ix int, z double")
 
 
 def coarse_axis(grid: Grid, nzc: int, dz1: float) -> np.ndarray:

@@ -71,19 +71,32 @@ def recover_shots(picks: DataFrame, offsets: DataFrame) -> DataFrame:
     return picks.drop("shot").withColumn("__m", metres("offset")).join(last, "__m", "left").drop("__m")
 
 
-def snap_to_trace(clicks: DataFrame, traces: DataFrame, group: str = "shot") -> DataFrame:
+#: kilometres of offset that are ordered in one task
+TILE_KM = 8.0
+
+
+def snap_to_trace(clicks: DataFrame, traces: DataFrame, group: str = "shot", width: float = TILE_KM) -> DataFrame:
     """Nearest existing trace offset of each click in its group; of two equally near, the smaller.
 
-    Both sides meet in one ordering; no pairs are formed.
+    Both sides meet in one ordering; no pairs are formed.  A group is ordered in tiles of ``width``, so it is the work of
+    many tasks, and the nearest traces before and after a tile are carried into it from a table of the tiles'
+    ends.  A click without an offset snaps to nothing.
     """
-    both = clicks.select(group, "offset", "click_id").unionByName(traces.select(group, "offset", F.lit(None).cast(clicks.schema["click_id"].dataType).alias("click_id")))
-    at = F.when(F.col("click_id").isNull(), F.col("offset"))
-    order = W.partitionBy(group).orderBy("offset", F.col("click_id").asc_nulls_first())
-    before = F.last(at, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    after = F.first(at, ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
-    near = both.withColumn("__b", before).withColumn("__a", after).where(F.col("click_id").isNotNull())
-    closer = F.when(F.col("__b").isNull() | (F.col("__a") - F.col("offset") < F.col("offset") - F.col("__b")), F.col("__a")).otherwise(F.col("__b"))
-    return near.select(group, "click_id", "offset", closer.alias("snapped"))
+    id_type = clicks.schema["click_id"].dataType
+    both = clicks.select(group, "offset", "click_id", F.lit(True).alias("click")).unionByName(traces.select(group, "offset", F.lit(None).cast(id_type).alias("click_id"), F.lit(False).alias("click")))
+    both = both.where(F.col("click") | F.col("offset").isNotNull()).withColumn("__tile", F.floor(F.col("offset") / width))
+    at = F.when(~F.col("click"), F.col("offset"))
+    tiles = W.partitionBy("__g").orderBy("__t")
+    ends = both.where(F.col("offset").isNotNull()).groupBy(F.col(group).alias("__g"), F.col("__tile").alias("__t")).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    ends = ends.select("__g", "__t", F.last("hi", True).over(tiles.rowsBetween(W.unboundedPreceding, -1)).alias("__before"), F.first("lo", True).over(tiles.rowsBetween(1, W.unboundedFollowing)).alias("__after"))
+    inside = W.partitionBy(group, "__tile").orderBy("offset", "click")
+    before = F.last(at, True).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    after = F.first(at, True).over(inside.rowsBetween(W.currentRow, W.unboundedFollowing))
+    near = both.withColumn("__b", before).withColumn("__a", after).where("click")
+    near = near.join(ends, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__tile") == F.col("__t")), "left")
+    b, a = F.coalesce("__b", "__before"), F.coalesce("__a", "__after")
+    closer = F.when(b.isNull() | (a - F.col("offset") < F.col("offset") - b), a).otherwise(b)
+    return near.select(group, "click_id", "offset", F.when(F.col("offset").isNotNull(), closer).alias("snapped"))
 
 
 def same_station_shots(picks: DataFrame, shots: DataFrame) -> DataFrame:
@@ -96,11 +109,20 @@ def pick_summary(picks: DataFrame) -> DataFrame:
     return picks.groupBy("station").agg(F.count("*").alias("n_picks"), F.countDistinct("shot").alias("n_shots"), F.min("phase").alias("min_phase"), F.max("phase").alias("max_phase"))
 
 
-def misfit(rays: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Number of used picks, root mean square residual and mean squared normalised residual."""
-    r = F.col("tt") - F.col("tt_calc")
+def misfit(rays: DataFrame, by: list[str] | None = None, partials: DataFrame | None = None) -> DataFrame:
+    """Number of used picks, root mean square residual and mean squared normalised residual.
+
+    With ``partials`` (rows with ``station, shot, phase``) the picks that have at least one are used; without, all are.
+    ``n_picks`` is the number of all.
+    """
+    key = ["station", "shot", "phase"]
+    used = F.lit(True)
+    if partials is not None:
+        rays = rays.join(partials.select(*key).distinct().withColumn("__used", F.lit(True)), key, "left")
+        used = F.col("__used")
+    r = F.when(used, F.col("tt") - F.col("tt_calc"))
     grouped = rays.groupBy(*by) if by else rays
-    return grouped.agg(F.count("*").alias("n"), F.sqrt(F.avg(r * r)).alias("rms"), F.avg(F.pow(r / F.col("error"), 2)).alias("chi2"))
+    return grouped.agg(F.count("*").alias("n_picks"), F.count_if(F.coalesce(used, F.lit(False))).alias("n"), F.sqrt(F.avg(r * r)).alias("rms"), F.avg(F.pow(r / F.col("error"), 2)).alias("chi2"))
 
 
 def variance_reduction(rows: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 
-#: sums a task holds before it passes them on, and groups that share the partial sums of a bin
-HELD, SALTS = 256, 32
+#: sums a task holds before it passes them on, and samples of traces that are added up at a time
+HELD, VALUES = 256, 4_000_000
 
 
 def bin_id(offset: Column, size: float) -> Column:
@@ -35,52 +35,76 @@ def on_axis(axis: DataFrame, stacked: DataFrame) -> DataFrame:
     return axis.join(stacked, "bin_id", "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
 
 
-def _partial_sums(keys: list[str]):
+def _sums(rows: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, int, np.ndarray]]:
+    """Key, count and sum of the groups of some rows, by sorted keys on a matrix of traces."""
+    step = max(1, VALUES // max(1, max(map(len, rows["sum"]))))
+    for lo in range(0, len(rows), step):
+        part = rows.iloc[lo : lo + step]
+        code = part.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        traces = [np.asarray(s, np.float64) for s in part["sum"]]
+        if len({len(s) for s in traces}) > 1:
+            raise ValueError("traces of a bin have different lengths")
+        sums = np.add.reduceat(np.stack(traces)[order], first, axis=0)
+        counts = np.add.reduceat(part["count"].to_numpy(np.int64)[order], first) if "count" in part else np.diff(first, append=len(order))
+        names = part[keys].iloc[order[first]].itertuples(index=False, name=None)
+        yield from zip(names, counts.tolist(), sums, strict=True)
+
+
+def _partial_sums(keys: list[str], held_at_most: int):
+    """Sums of the rows of a task, passed on when more than so many groups are held."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
 
-        def flush() -> pd.DataFrame:
+        def flush(keep: tuple | None = None) -> pd.DataFrame:
+            kept = held.pop(keep, None)
             rows = [(*k, n, s) for k, (n, s) in held.items()]
             held.clear()
+            if kept is not None:
+                held[keep] = kept
             return pd.DataFrame(rows, columns=[*keys, "count", "sum"])
 
         for rows in batches:
-            counts = rows["count"] if "count" in rows else np.ones(len(rows), np.int64)
-            for key, n, values in zip(zip(*(rows[k] for k in keys), strict=True), counts, rows["sum"], strict=True):
-                values = np.asarray(values, np.float64)
+            if not len(rows):
+                continue
+            last = None
+            for key, n, values in _sums(rows, keys):
+                last = key = tuple(None if pd.isna(k) else k for k in key)
                 if key not in held:
-                    held[key] = [int(n), values.copy()]
+                    held[key] = [n, values.copy()]
                     continue
                 own = held[key]
                 if len(values) != len(own[1]):
                     raise ValueError("traces of a bin have different lengths")
-                own[0] += int(n)
+                own[0] += n
                 own[1] += values
-            if len(held) > HELD:
-                yield flush()
+            if len(held) > held_at_most:
+                yield flush(last)  # in sorted rows this group may go on
         if held:
             yield flush()
 
     return run
 
 
-def bin_stack(traces: DataFrame, keys: list[str]) -> DataFrame:
+def bin_stack(traces: DataFrame, keys: list[str], salts: int = 1) -> DataFrame:
     """Count and element-wise sum of ``samples`` per key.
 
-    Tasks add up what they read before anything is shuffled; partial sums of a hot bin meet in
-    ``SALTS`` groups first, so no task gets all of them, and arrays are never exploded.
+    Tasks add up what they read before anything is shuffled, so a bin brings one row from each task, however many
+    traces fall in it.  These rows are sorted by bin and added up as they come: one shuffle, no group is held as a
+    whole, and arrays are never exploded.  With very many tasks, ``salts`` lets the rows of a bin meet in so many
+    places first, at the price of a second shuffle.
     """
     types = {f.name: f.dataType.simpleString() for f in traces.schema}
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["count long", "sum array<double>"])
-    run = _partial_sums(keys)
-    first = traces.select(*keys, F.col("samples").alias("sum")).mapInPandas(run, schema)
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return next(run(iter([rows])))
-
-    salted = first.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    second = salted.groupBy(*keys, "__salt").applyInPandas(lambda rows: merge(rows.drop(columns="__salt")), schema)
-    return second.groupBy(*keys).applyInPandas(merge, schema)
+    named = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    schema = f"{named}, count long, sum array<double>"
+    found = traces.select(*keys, F.col("samples").alias("sum")).mapInPandas(_partial_sums(keys, HELD), schema)
+    merge = _partial_sums(keys, 1)
+    if salts > 1:
+        salt = F.pmod(F.spark_partition_id(), F.lit(salts))
+        found = found.withColumn("__salt", salt).repartition(*keys, "__salt").sortWithinPartitions(*keys).drop("__salt").mapInPandas(merge, schema)
+    return found.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merge, schema)
 
 
 def bin_mean(stacked: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..functions.geo import PROFILE_1, SPHERE_KM, Profile, geodesic_m, profile_axes, project_to_profile, virtual_station_id, virtual_station_x
 from ..functions.kernels import butter_bandpass
-from ..operators import geometry, grid, intervals, locate, picks, rays, stack, traces
+from ..operators import geometry, grid, intervals, locate, picks, rays, stack, tiles, traces
 from ..sources.tables import pick_lines, with_ns
 from . import pipelines
-from .adapters import FS, Tables, sql
+from .adapters import FS, Tables, folder, sql
 from .geodesic_sql import geodesic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -343,6 +343,19 @@ def station_misfit(t: Tables) -> DataFrame:
     return picks.misfit(t.calc, ["station"]).select("station", "n", F.round("rms", 8).alias("rms"), F.round("chi2", 8).alias("chi2"))
 
 
+USED = """+ u AS (SELECT DISTINCT l_suppkey AS station, l_orderkey AS shot, (CASE WHEN l_linenumber % 4 = 0 THEN -2 ELSE l_linenumber % 4 END)::INT AS phase, true AS used FROM lineitem WHERE l_discount > 0.05)
+SELECT station, count(*) AS n_picks, count(used) AS n, round(sqrt(avg((tt - tt_calc) * (tt - tt_calc)) FILTER (WHERE used)), 8) AS rms, round(avg(power((tt - tt_calc) / error, 2)) FILTER (WHERE used), 8) AS chi2
+FROM calc LEFT JOIN u USING (station, shot, phase) GROUP BY station"""
+
+
+@query(USED)
+def station_misfit_used(t: Tables) -> DataFrame:
+    """Of the picks with a partial, which here are those of the dearer lines."""
+    phase = F.when(F.col("l_linenumber") % 4 == 0, -2).otherwise(F.col("l_linenumber") % 4).cast("int")
+    partials = t.raw("lineitem").where(F.col("l_discount") > 0.05).select(F.col("l_suppkey").alias("station"), F.col("l_orderkey").alias("shot"), phase.alias("phase"))
+    return picks.misfit(t.calc, ["station"], partials).select("station", "n_picks", "n", F.round("rms", 8).alias("rms"), F.round("chi2", 8).alias("chi2"))
+
+
 VARIANCE = """+ r AS (SELECT CASE WHEN phase < 0 THEN 'reg' ELSE 'data' END AS kind, tt - 2 AS before, (tt - 2) * 0.5::DOUBLE AS after FROM picks)
 SELECT round((sum(before * before) FILTER (WHERE kind = 'data') - sum(after * after) FILTER (WHERE kind = 'data')) / sum(before * before) FILTER (WHERE kind = 'data'), 6) AS reduction,
  round(sum(after * after) FILTER (WHERE kind = 'data') / count(*) FILTER (WHERE kind = 'data'), 6) AS chi2, round(coalesce(sum(after * after) FILTER (WHERE kind = 'reg'), 0), 3) AS penalty FROM r"""
@@ -858,15 +871,26 @@ def product_transposed(t: Tables) -> DataFrame:
     return grid.spmv(entries, u, transposed=True).select("i", F.round("x", 4).alias("x"))
 
 
+@query(f"{SPMV.replace(' AS i, round', ' AS i, false AS transposed, round')} UNION ALL SELECT l_partkey, true, round(sum(l_quantity * (o_orderkey % 9 + 0.5::DOUBLE)), 4) FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+def product_of_tiles(t: Tables) -> DataFrame:
+    """Both products from one table of tiles."""
+    entries, v = _entries(t)
+    path = folder(t)
+    made = tiles.write_tiles(entries, f"tiles_{path[-32:]}", 512, path=path)
+    u = t.raw("orders").select(F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 9 + F.lit(0.5)).alias("x"))
+    both = [tiles.tile_product(made, x, turned, 512).withColumn("transposed", F.lit(turned)) for x, turned in ((v, False), (u, True))]
+    return both[0].unionByName(both[1]).select("i", "transposed", F.round("x", 4).alias("x"))
+
+
 @query("SELECT l_orderkey AS \"row\", l_partkey AS col, round(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 0.3::DOUBLE ELSE l_quantity END, 6) AS val FROM lineitem")
 def system_scaled(t: Tables) -> DataFrame:
     return grid.scale_system(_entries(t)[0], 0.3).select("row", "col", F.round("val", 6).alias("val"))
 
 
-@query("SELECT p_partkey AS node, round(p_retailprice + 0.5 * coalesce(q, 0), 4) AS v FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON l_partkey = p_partkey")
+@query("SELECT p_partkey AS node, round(p_retailprice + 0.5 * coalesce(q, 0), 4) AS v FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
 def model_updated(t: Tables) -> DataFrame:
     model = t.raw("part").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("v"))
-    change = t.raw("lineitem").where(F.col("l_linenumber") == 1).groupBy(F.col("l_partkey").alias("node")).agg(F.sum("l_quantity").alias("dm"))
+    change = t.raw("lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.sum("l_quantity").alias("dm"))
     return grid.apply_update(model, change, ["node"], 0.5).select("node", F.round("v", 4).alias("v"))
 
 
@@ -924,7 +948,7 @@ def surface_smoothed(t: Tables) -> DataFrame:
 
 
 EDGES = """+ e AS (SELECT ir::INT AS ir, ix::INT AS ix, (ix - 1) * 10.0::DOUBLE AS x, (ir * 8 + (ix * 5 + ir * 3) % 13)::DOUBLE AS z, NOT (ir = 2 AND ix % 4 = 0) AS own FROM (SELECT unnest(range(1, 4)) AS ir), (SELECT unnest(range(1, 27)) AS ix)),
-hit AS (SELECT (ray % 3 + 1)::INT AS ir, floor(x / 10)::INT + 1 AS ix, z FROM pts WHERE ray % 5 = k % 5)"""
+hit AS (SELECT (ray % 3 + 1)::INT AS ir, floor(x / 10)::INT + 1 AS ix, z FROM pts)"""
 
 
 def _edges(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -932,8 +956,7 @@ def _edges(t: Tables) -> tuple[DataFrame, DataFrame]:
     nodes = t.spark.range(1, 27).select(F.col("id").cast("int").alias("ix"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("ir"))
     z = (F.col("ir") * 8 + (F.col("ix") * 5 + F.col("ir") * 3) % 13).cast("double")
     nodes = nodes.select("ir", "ix", ((F.col("ix") - 1) * 10.0).alias("x"), z.alias("z"), (~((F.col("ir") == 2) & (F.col("ix") % 4 == 0))).alias("own"))
-    met = t.ray_points.where(F.col("ray") % 5 == F.col("k") % 5)
-    return nodes, met.select((F.col("ray") % 3 + 1).cast("int").alias("ir"), (F.floor(F.col("x") / 10) + 1).cast("int").alias("ix"), "z")
+    return nodes, t.ray_points.select((F.col("ray") % 3 + 1).cast("int").alias("ir"), (F.floor(F.col("x") / 10) + 1).cast("int").alias("ix"), "z")
 
 
 @query(f"{EDGES} SELECT e.ir, e.ix, e.x, e.z, round(coalesce(s.dws, 0), 4) + 0.0::DOUBLE AS dws FROM e LEFT JOIN (SELECT ir, ix, sum(z) AS dws FROM hit GROUP BY 1, 2) s ON e.ir = s.ir AND e.ix = s.ix")
@@ -943,13 +966,13 @@ def boundary_weights(t: Tables) -> DataFrame:
     return grid.boundary_table(nodes, sums).withColumn("dws", rounded("dws", 4))
 
 
-@query(f"{EDGES} SELECT DISTINCT e.ir, e.ix FROM e JOIN hit h ON e.ir = h.ir AND abs(e.ix - h.ix) * 10 <= 25 AND h.z > 10 WHERE own")
+@query(f"{EDGES} SELECT DISTINCT e.ir, e.ix FROM e JOIN hit h ON e.ir = h.ir AND abs(e.ix - h.ix) * 10 <= 25 WHERE own")
 def boundaries_covered(t: Tables) -> DataFrame:
     nodes, met = _edges(t)
-    return grid.boundary_coverage(met.where("z > 10").select("ir", "ix"), nodes, 10.0, 25.0)
+    return grid.boundary_coverage(met.select("ir", "ix").distinct(), nodes, 10.0, 25.0)
 
 
-FILLED = """+ hits AS (SELECT DISTINCT (ray % 3 + 1)::INT AS layer, floor(x / 10)::INT + 1 AS ix, floor(z / 2)::INT + 1 AS iz FROM pts WHERE ray % 3 < 2 AND z < 30),
+FILLED = """+ hits AS (SELECT DISTINCT (ray % 2 + 1)::INT AS layer, floor(x / 10)::INT + 1 AS ix, floor(z / 2)::INT + 1 AS iz FROM pts),
 n AS (SELECT layer::INT AS layer, ix::INT AS ix, iz::INT AS iz, ix * 100 + iz + layer / 10.0::DOUBLE AS v FROM (SELECT unnest([1, 2, 3]) AS layer), (SELECT unnest(range(1, 27)) AS ix), (SELECT unnest(range(1, 32)) AS iz)),
 h AS (SELECT n.* FROM n JOIN hits USING (layer, ix, iz)),
 f AS (SELECT n.layer, n.ix, n.iz, arg_min(h.v, (power((n.ix - h.ix) * 10.0::DOUBLE, 2) + 4 * power((n.iz - h.iz) * 2.0::DOUBLE, 2), h.ix, h.iz)) AS v FROM n JOIN h ON n.layer = h.layer GROUP BY 1, 2, 3)
@@ -959,7 +982,7 @@ SELECT n.layer, n.ix, n.iz, coalesce(f.v, n.v) AS v FROM n LEFT JOIN f USING (la
 @query(FILLED)
 def nodes_filled(t: Tables) -> DataFrame:
     """Nodes that no ray point is near, filled from those of its layer; the third layer has none."""
-    at = t.ray_points.where((F.col("ray") % 3 < 2) & (F.col("z") < 30)).select((F.col("ray") % 3 + 1).cast("int").alias("layer"), (F.floor(F.col("x") / 10) + 1).cast("int").alias("ix"), (F.floor(F.col("z") / 2) + 1).cast("int").alias("iz")).distinct()
+    at = t.ray_points.select((F.col("ray") % 2 + 1).cast("int").alias("layer"), (F.floor(F.col("x") / 10) + 1).cast("int").alias("ix"), (F.floor(F.col("z") / 2) + 1).cast("int").alias("iz")).distinct()
     nodes = t.spark.range(1, 27).select(F.col("id").cast("int").alias("ix"), F.explode(F.sequence(F.lit(1), F.lit(31))).alias("iz")).withColumn("layer", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     model = nodes.select("layer", "ix", "iz", (F.col("ix") * 10.0).alias("x"), (F.col("iz") * 2.0).alias("z"), (F.col("ix") * 100 + F.col("iz") + F.col("layer") / 10.0).alias("v"))
     return grid.fill_uncovered(model, at, 2.0).select("layer", "ix", "iz", "v")

@@ -1,5 +1,6 @@
 """Operators on hand-made rows, with the survey's known values."""
 
+import re
 import struct
 
 import numpy as np
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seisframe.functions.geo import PROFILE_1, geodesic_direct, geodesic_m, initial_azimuth, project_to_profile, station_kind, virtual_station_id, virtual_station_x
-from seisframe.operators import geometry, grid, intervals, locate, picks, rays, stack, traces
+from seisframe.functions.kernels import savgol
+from seisframe.operators import geometry, grid, intervals, locate, picks, rays, stack, tiles, traces
 from seisframe.sources import binary, tables
 
 PICK = "station int, shot int, phase int, offset double, tt double, error double"
@@ -266,3 +268,73 @@ def test_rows_of_shared_nodes_use_the_owner(spark):
     got = grid.boundary_regularization(nodes, 2.0, (0.1, 1.0, 1.0), 1.0).where("kind = 'flat_x' and ir = 2").collect()
     # the held node of the second boundary stands for the first one's, which is covered
     assert sorted((r.node.ir, r.node.ix, r.val, r.rhs) for r in got) == [(1, 2, -1.0, -2.0), (2, 1, 1.0, -2.0)]
+
+
+def test_clicks_of_one_group_are_many_tasks(spark):
+    rng = np.random.default_rng(6)
+    lines = sorted({float(v) for v in np.round(np.concatenate([rng.uniform(0, 40, 60), rng.uniform(200, 300, 40)]), 2)})
+    data = [(1, float(v), i) for i, v in enumerate(np.round(rng.uniform(-20, 320, 500), 2))] + [(1, lines[3], 500), (2, 5.0, 501), (None, 5.0, 502), (1, None, 503)]
+    clicks = spark.createDataFrame(data, "shot int, offset double, click_id int")
+    traces = spark.createDataFrame([(1, v) for v in lines] + [(None, 9.0), (1, None)], "shot int, offset double")
+    got = picks.snap_to_trace(clicks, traces, width=2.0)
+    expected = {i: min(lines, key=lambda v: (abs(v - o), v)) if s == 1 and o is not None else 9.0 if s is None else None for s, o, i in data}
+    assert {r.click_id: r.snapped for r in got.collect()} == expected
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(shot" in plan and "__tile" in plan.split("hashpartitioning(shot")[1][:40]
+    assert clicks.where("shot = 1").select(F.floor(F.col("offset") / 2.0)).distinct().count() > 50
+
+
+def test_surface_is_smoothed_by_tiles(spark):
+    rng = np.random.default_rng(7)
+    for n, width, tile in ((200, 5, 16), (33, 21, 21), (64, 9, 16), (65, 9, 16)):
+        z = rng.normal(size=n)
+        df = spark.createDataFrame([(i + 3, float(v)) for i, v in enumerate(z)], "ix int, z double")
+        made = grid.smooth_surface(df, width, tile)
+        np.testing.assert_allclose([r.z for r in made.orderBy("ix").collect()], savgol(z, width), atol=1e-12)
+    assert "hashpartitioning(tile" in made._jdf.queryExecution().toString()
+
+
+def test_bins_are_stacked_in_one_shuffle(spark):
+    data = [(i % 7 if i % 3 else 0, i % 2, [float(i), float(-i)]) for i in range(300)]
+    df = spark.createDataFrame(data, "bin_id int, lineno int, samples array<double>").repartition(9)
+    expected = {}
+    for b, n, s in data:
+        at = expected.setdefault((b, n), [0, 0.0, 0.0])
+        expected[b, n] = [at[0] + 1, at[1] + s[0], at[2] + s[1]]
+    for salts, shuffles in ((1, 1), (4, 2)):
+        made = stack.bin_stack(df, ["bin_id", "lineno"], salts)
+        assert {(r.bin_id, r.lineno): [r["count"], *r["sum"]] for r in made.collect()} == expected
+        plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange hashpartitioning") == shuffles and plan.count("MapInPandas") == shuffles + 1
+    with pytest.raises(Exception, match="different lengths"):
+        stack.bin_stack(df.unionByName(df.limit(1).withColumn("samples", F.array(F.lit(1.0)))).withColumn("bin_id", F.lit(1)).withColumn("lineno", F.lit(1)), ["bin_id", "lineno"]).collect()
+
+
+def test_used_picks(spark):
+    df = spark.createDataFrame([(1, 5, 1, 2.0, 1.0, 0.5), (1, 6, 1, 9.0, 1.0, 0.5), (2, 5, 1, 1.0, 1.0, 0.1)], "station int, shot int, phase int, tt double, tt_calc double, error double")
+    partials = spark.createDataFrame([(1, 5, 1), (1, 5, 1), (3, 5, 1)], "station int, shot int, phase int")
+    assert rows(picks.misfit(df, ["station"], partials), "station") == [(1, 2, 1, 1.0, 4.0), (2, 1, 0, None, None)]
+    assert rows(picks.misfit(df, ["station"]), "station")[0][:3] == (1, 2, 2)
+
+
+def test_tiles_stay_where_they_are(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    a = np.where(rng.random((37, 23)) < 0.2, rng.normal(size=(37, 23)), 0.0)
+    entries = [(int(i), int(j), float(a[i, j]) / 2) for i, j in zip(*np.nonzero(a), strict=True)] * 2
+    made = tiles.write_tiles(spark.createDataFrame(entries, "row long, col long, val double"), "tiles_of_a_test", 8, path=str(tmp_path / "tiles"))
+    v, u = rng.normal(size=23), rng.normal(size=37)
+    vector = lambda x: spark.createDataFrame([(i, float(w)) for i, w in enumerate(x)], "i long, x double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for turned, x, expected in ((False, v, a @ v), (True, u, a.T @ u)):
+            product = tiles.tile_product(made, vector(x), turned, 8)
+            got = {r.i: r.x for r in product.collect()}
+            np.testing.assert_allclose([got.get(i, 0.0) for i in range(len(expected))], expected, atol=1e-12)
+            plan = product._jdf.queryExecution().toString().split("== Physical Plan ==")[-1]
+            # over the entries, which have the values, stands no exchange
+            entries_side = plan[: next(m.start() for m in re.finditer("FileScan", plan) if "val#" in plan[m.start() : m.start() + 120])]
+            assert "Bucketed: true" in plan and "Exchange" not in entries_side[entries_side.rindex("SortMergeJoin [rb") :]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE tiles_of_a_test")
