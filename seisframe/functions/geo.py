@@ -48,22 +48,29 @@ def _step(c: Column, lam: Column) -> Column:
     return let(let(let(let(trig, angles), azimuth), middle), longitude)
 
 
-def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Length of the WGS84 geodesic (Vincenty's inverse formula).
-
-    Equal points are 0 apart; null if a coordinate is null or the steps have not settled, which
-    happens only near the antipode.
-    """
+def _ends(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Sines and cosines of both reduced latitudes, and the difference of longitudes."""
     reduced = lambda lat: F.atan((1 - WGS84_F) * F.tan(F.radians(lat)))
 
     def constants(u: Column) -> Column:
         return F.struct(F.sin(u["u1"]).alias("su1"), F.cos(u["u1"]).alias("cu1"), F.sin(u["u2"]).alias("su2"), F.cos(u["u2"]).alias("cu2"), u["dl"].alias("dl"))
 
-    def solve(c: Column) -> Column:
-        zero = F.lit(0.0)
-        start = F.struct(c["dl"].alias("lam"), (zero + 1).alias("change"), *[zero.alias(n) for n in ("ss", "cs", "sigma", "ca2", "m")])
-        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda s, _: _step(c, s["lam"]))
+    return let(F.struct(reduced(lat1).alias("u1"), reduced(lat2).alias("u2"), F.radians(lon2 - lon1).alias("dl")), constants)
+
+
+def _solved(c: Column) -> Column:
+    """The last of ``STEPS`` steps."""
+    zero = F.lit(0.0)
+    start = F.struct(c["dl"].alias("lam"), (zero + 1).alias("change"), *[zero.alias(n) for n in ("ss", "cs", "sigma", "ca2", "m")])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda s, _: _step(c, s["lam"]))
+
 
+def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Length of the WGS84 geodesic (Vincenty's inverse formula).
+
+    Equal points are 0 apart; null if a coordinate is null or the steps have not settled, which
+    happens only near the antipode.
+    """
     def length(s: Column) -> Column:
         u2 = s["ca2"] * ((WGS84_A**2 - WGS84_B**2) / WGS84_B**2)
         big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
@@ -73,10 +80,58 @@ def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
         delta = big_b * ss * (m + big_b / 4 * (cs * (2 * m * m - 1) - sharp))
         return F.when(s["change"] < 1e-9, WGS84_B * big_a * (s["sigma"] - delta))
 
-    points = F.struct(reduced(lat1).alias("u1"), reduced(lat2).alias("u2"), F.radians(lon2 - lon1).alias("dl"))
     some = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
     same = (lat1 == lat2) & (lon1 == lon2)
-    return F.when(~some, F.lit(None)).when(same, F.lit(0.0)).otherwise(let(let(let(points, constants), solve), length))
+    return F.when(~some, F.lit(None)).when(same, F.lit(0.0)).otherwise(let(let(_ends(lat1, lon1, lat2, lon2), _solved), length))
+
+
+def azimuth_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Direction at the first point of the geodesic to the second, in degrees from north."""
+
+    def direction(c: Column) -> Column:
+        at = lambda lam: F.degrees(F.atan2(c["cu2"] * F.sin(lam), c["cu1"] * c["su2"] - c["su1"] * c["cu2"] * F.cos(lam)))
+        return let(_solved(c)["lam"], at)
+
+    return let(_ends(lat1, lon1, lat2, lon2), direction)
+
+
+def along_geodesic(lat: Column, lon: Column, azimuth: Column, distance_m: Column) -> Column:
+    """``lat, lon`` of the point that lies so far in a direction (Vincenty's direct formula)."""
+
+    def circle(p: Column) -> Column:
+        sin_alpha = p["cu"] * p["sa"]
+        ca2 = 1 - sin_alpha * sin_alpha
+        u2 = ca2 * ((WGS84_A**2 - WGS84_B**2) / WGS84_B**2)
+        return F.struct(p["su"].alias("su"), p["cu"].alias("cu"), p["sa"].alias("sa"), p["ca"].alias("ca"), sin_alpha.alias("sin_alpha"), ca2.alias("ca2"), u2.alias("u2"), F.atan2(p["su"], p["cu"] * p["ca"]).alias("sigma1"))
+
+    def series(c: Column) -> Column:
+        big_a = 1 + c["u2"] / 16384 * (4096 + c["u2"] * (-768 + c["u2"] * (320 - 175 * c["u2"])))
+        big_b = c["u2"] / 1024 * (256 + c["u2"] * (-128 + c["u2"] * (74 - 47 * c["u2"])))
+        return F.struct(*[c[n].alias(n) for n in ("su", "cu", "sa", "ca", "sin_alpha", "ca2", "sigma1")], (distance_m / (WGS84_B * big_a)).alias("base"), big_b.alias("b"))
+
+    def end(c: Column) -> Column:
+        def step(sigma: Column, _: Column) -> Column:
+            def moved(m: Column) -> Column:
+                sharp = c["b"] / 6 * m * (4 * F.pow(F.sin(sigma), 2) - 3) * (4 * m * m - 3)
+                return c["base"] + c["b"] * F.sin(sigma) * (m + c["b"] / 4 * (F.cos(sigma) * (2 * m * m - 1) - sharp))
+
+            return let(F.cos(2 * c["sigma1"] + sigma), moved)
+
+        def place(t: Column) -> Column:
+            ss, cs, m = t["ss"], t["cs"], t["m"]
+            x = c["su"] * ss - c["cu"] * cs * c["ca"]
+            to = F.atan2(c["su"] * cs + c["cu"] * ss * c["ca"], (1 - WGS84_F) * F.sqrt(c["sin_alpha"] * c["sin_alpha"] + x * x))
+            lam = F.atan2(ss * c["sa"], c["cu"] * cs - c["su"] * ss * c["ca"])
+            k = WGS84_F / 16 * c["ca2"] * (4 + WGS84_F * (4 - 3 * c["ca2"]))
+            dl = lam - (1 - k) * WGS84_F * c["sin_alpha"] * (t["sigma"] + k * ss * (m + k * cs * (2 * m * m - 1)))
+            return F.struct(F.degrees(to).alias("lat"), (lon + F.degrees(dl)).alias("lon"))
+
+        sigma = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), c["base"], step)
+        return let(let(sigma, lambda s: F.struct(s.alias("sigma"), F.sin(s).alias("ss"), F.cos(s).alias("cs"), F.cos(2 * c["sigma1"] + s).alias("m"))), place)
+
+    u = F.atan((1 - WGS84_F) * F.tan(F.radians(lat)))
+    start = F.struct(F.sin(u).alias("su"), F.cos(u).alias("cu"), F.sin(F.radians(azimuth)).alias("sa"), F.cos(F.radians(azimuth)).alias("ca"))
+    return let(let(let(start, circle), series), end)
 
 
 def hypocentral_km(surface_m: Column, depth_km: Column) -> Column:
@@ -135,6 +190,28 @@ def project_to_profile(lat: Column, lon: Column, profile: Profile) -> tuple[Colu
     return F.atan2(dot(t), dot(c)) * SPHERE_KM, F.asin(dot(n)) * SPHERE_KM
 
 
+def along_line_km(lat: Column, lon: Column, start: tuple[Column, Column], end: tuple[Column, Column]) -> Column:
+    """Kilometres along the great circle from ``start`` through ``end``, all of them columns."""
+
+    def vector(la: Column, lo: Column) -> list[Column]:
+        return [F.cos(F.radians(la)) * F.cos(F.radians(lo)), F.cos(F.radians(la)) * F.sin(F.radians(lo)), F.sin(F.radians(la))]
+
+    def cross(a: list[Column], b: list[Column]) -> list[Column]:
+        return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+    parts = lambda v: F.struct(*[c.alias(n) for n, c in zip("xyz", v, strict=True)])
+    named = lambda s: [s[n] for n in "xyz"]
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    both = F.struct(parts(vector(*start)).alias("c"), parts(vector(*end)).alias("e"), parts(vector(lat, lon)).alias("p"))
+    pole = let(both, lambda b: F.struct(b["c"].alias("c"), b["p"].alias("p"), parts(cross(named(b["c"]), named(b["e"]))).alias("n")))
+
+    def along(b: Column) -> Column:
+        c, p, n = (named(b[k]) for k in "cpn")
+        return F.atan2(dot(cross(n, c), p) / F.sqrt(dot(n, n)), dot(c, p)) * SPHERE_KM
+
+    return let(pole, along)
+
+
 def geodesic_direct(lat: float, lon: float, azimuth: float, distance_m: float) -> tuple[float, float]:
     """Point at a distance and azimuth (Vincenty's direct formula), for single points."""
     s, a1 = distance_m, np.radians(azimuth)

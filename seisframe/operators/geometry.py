@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import Profile, box_distances_m, geodesic_direct, geodesic_m, hypocentral_km, initial_azimuth, project_to_profile
+from ..functions.geo import Profile, along_geodesic, along_line_km, azimuth_deg, box_distances_m, geodesic_direct, geodesic_m, hypocentral_km, initial_azimuth, project_to_profile
 
 
 def with_locations(df: DataFrame, places: DataFrame, on: str, key: str, prefix: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -83,6 +83,22 @@ def profile_bounds(stations: DataFrame, first_shot: tuple[float, float], last_sh
     return length, (round(far[0], 6), round(far[1], 6)), last_shot
 
 
+def line_bounds(stations: DataFrame, shots: DataFrame, round_km: float = 50.0) -> DataFrame:
+    """``lineno, length_km, azimuth, far_lat, far_lon, near_lat, near_lon`` of every line of ``shots``.
+
+    A line begins at its last shot (``near``), goes through its first one, and is so long, rounded up, that it covers all
+    ``stations`` of its ``lineno``; ``far`` is its other end.
+    """
+    ends = shots.groupBy("lineno").agg(F.max_by(F.struct("lat", "lon"), "shotno").alias("near"), F.min_by(F.struct("lat", "lon"), "shotno").alias("through"))
+    near, through = ((F.col(f"{c}.lat"), F.col(f"{c}.lon")) for c in ("near", "through"))
+    x = along_line_km(F.col("lat"), F.col("lon"), near, through)
+    longest = stations.select("lineno", "lat", "lon").join(ends, "lineno").groupBy("lineno").agg(F.max(x).alias("x"), F.first("near").alias("near"), F.first("through").alias("through"))
+    sized = longest.select("lineno", (F.ceil(F.col("x") / round_km) * round_km).cast("double").alias("length_km"), azimuth_deg(*near, *through).alias("azimuth"), "near")
+    far = along_geodesic(*near, F.col("azimuth"), F.col("length_km") * 1e3)
+    sized = sized.withColumn("far", far)
+    return sized.select("lineno", "length_km", "azimuth", F.col("far.lat").alias("far_lat"), F.col("far.lon").alias("far_lon"), F.col("near.lat").alias("near_lat"), F.col("near.lon").alias("near_lon"))
+
+
 def broadband_id(df: DataFrame, codes: DataFrame, code: str = "code") -> DataFrame:
     """Adds ``station``: 2,000,000 and the number that ``codes(code, number)`` has."""
     numbers = codes.select(F.col("code").alias("__c"), (F.lit(2_000_000) + F.col("number")).cast("int").alias("station"))

@@ -15,7 +15,7 @@ from ..operators import geometry, grid, intervals, locate, picks, rays, stack, t
 from ..sources.tables import pick_lines, with_ns
 from . import pipelines
 from .adapters import FS, Tables, folder, sql
-from .geodesic_sql import geodesic
+from .geodesic_sql import direct, geodesic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -201,6 +201,27 @@ def profile_length(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(length,)], "length_km double")
 
 
+def _line_bounds_sql() -> str:
+    ends = "SELECT lineno, max_by({'lat': lat, 'lon': lon}, shotno) AS near, min_by({'lat': lat, 'lon': lon}, shotno) AS through FROM (SELECT shotno - round(lat * 1000)::BIGINT * 1000000 AS shotno, lineno, lat, lon FROM shots) GROUP BY lineno"
+    vector = lambda la, lo: (f"(cos(radians({la})) * cos(radians({lo})))", f"(cos(radians({la})) * sin(radians({lo})))", f"sin(radians({la}))")
+    cross = lambda a, b: tuple(f"({a[i]} * {b[j]} - {a[j]} * {b[i]})" for i, j in ((1, 2), (2, 0), (0, 1)))
+    dot = lambda a, b: "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
+    c, p = vector("near.lat", "near.lon"), vector("n.lat", "n.lon")
+    n = cross(c, vector("through.lat", "through.lon"))
+    x = f"atan2({dot(cross(n, c), p)} / sqrt({dot(n, n)}), {dot(c, p)}) * {SPHERE_KM}::DOUBLE"
+    sized = f"SELECT lineno, near.lat AS nla, near.lon AS nlo, through.lat AS tla, through.lon AS tlo, ceil(max({x}) / 50) * 50.0::DOUBLE AS length_km FROM ends JOIN nodes n ON n.code % 5 + 1 = lineno GROUP BY ALL"
+    turned = geodesic(f"({sized})", "nla", "nlo", "tla", "tlo", "m", azimuth="azimuth")
+    return f"+ ends AS ({ends}), far AS ({direct(f'({turned})', 'nla', 'nlo', 'azimuth', 'length_km * 1e3')}) SELECT lineno, length_km, round(azimuth, 6) AS azimuth, round(to_lat, 6) AS far_lat, round(to_lon, 6) AS far_lon, nla AS near_lat, nlo AS near_lon FROM far"
+
+
+@query(_line_bounds_sql())
+def lines_bounded(t: Tables) -> DataFrame:
+    """Both ends of every line, shot from north to south, with a fifth of the stations at each."""
+    southward = t.shots.withColumn("shotno", F.col("shotno") - F.round(F.col("lat") * 1000).cast("long") * 1_000_000)
+    made = geometry.line_bounds(t.nodes.withColumn("lineno", F.col("code") % 5 + 1), southward)
+    return made.select("lineno", "length_km", *[F.round(c, 6).alias(c) for c in ("azimuth", "far_lat", "far_lon")], "near_lat", "near_lon")
+
+
 @query("SELECT station, shot, phase, trunc(1e6::DOUBLE + 1e3::DOUBLE * (\"offset\" + shot % 100 * 0.25::DOUBLE))::BIGINT AS code, round(0.001::DOUBLE * (trunc(1e6::DOUBLE + 1e3::DOUBLE * (\"offset\" + shot % 100 * 0.25::DOUBLE)) - 1000000), 6) AS x_km FROM picks")
 def virtual_ids(t: Tables) -> DataFrame:
     code = virtual_station_id(F.col("offset") + F.col("shot") % 100 * F.lit(0.25))

@@ -205,6 +205,20 @@ def test_profile_bounds(spark):
     assert length == 250.0 and near == (56.0, -151.1) and far[0] > 57.6
 
 
+def test_bounds_of_lines(spark):
+    lines = {1: [(57.2, -152.1), (56.0, -151.1)], 2: [(57.220942, -152.08304), (56.288621, -153.34762)], 3: [(10.0, 20.0), (9.0, 20.5)]}
+    places = [(1, 57.6, -152.4), (1, 57.7, -152.5), (2, 57.6, -152.4), (3, 12.0, 19.0), (9, 0.0, 0.0)]
+    stations = spark.createDataFrame(places, "lineno int, lat double, lon double")
+    shots = spark.createDataFrame([(k, 991 + i, *at) for k, ends in lines.items() for i, at in enumerate(ends)], "lineno int, shotno int, lat double, lon double")
+    got = {r.lineno: r for r in geometry.line_bounds(stations, shots).collect()}
+    assert set(got) == {1, 2, 3}
+    for k, (first, last) in lines.items():
+        length, far, near = geometry.profile_bounds(stations.where(F.col("lineno") == k), first, last)
+        assert got[k].length_km == length and (got[k].near_lat, got[k].near_lon) == near
+        assert (got[k].far_lat, got[k].far_lon) == pytest.approx(far, abs=1e-6)
+        assert got[k].azimuth == pytest.approx(initial_azimuth(*last, *first), abs=1e-9)
+
+
 def test_boundary_partials_by_hand(spark):
     g = grid.Grid(3, 11, 0.0, 20.0, 0.0, 20.0, nr=1)
     edges = grid.edge_table(spark.createDataFrame([(1, ix, 10.0) for ix in (1, 2, 3)], "ir int, ix int, z double"), g)
