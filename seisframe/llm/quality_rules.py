@@ -1,8 +1,8 @@
 """Quality rules (DataFrame functions only): base counts and cross-document line frequency.
 
 The base looks at each text alone.  The verdict counts, for every host (source), in how many
-distinct documents a normalised line stands; lines above the limit are taken out, and a document
-of which too little is left is rejected.  Lines travel as pairs of hashes, once per document and host,
+distinct documents a normalised line stands; lines above the limit, which grows with the host, are taken out, and a
+document of which too little is left is rejected.  Lines travel as pairs of hashes, once per document and host,
 and are counted with map-side combining; only lines above the limit meet the documents again.
 """
 
@@ -15,8 +15,8 @@ from .scratch import saved, temporary
 from .text import SPACE_PATTERN, let, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
-#: a line is boilerplate if it stands in more documents of one host than this ...
-MAX_DOCS = 50
+#: a line is boilerplate if it stands in more than this part of a host's documents, and in more than so many ...
+SHARE, LEAST_DOCS = 0.02, 5
 #: ... and a document is rejected if less than this part of its words is outside such lines
 MIN_LEFT = 0.3
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -69,31 +69,35 @@ def normalised(line: Column) -> Column:
 
 
 def named(*columns: str) -> Column:
-    """64-bit name of a row of values, nulls told apart from what stands beside them."""
-    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+    """128-bit name of a row of values, nulls told apart from what stands beside them."""
+    values = [*columns, *[F.col(c).isNull() for c in columns]]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
 
 
-def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """``__d`` (document and host) and ``n_boilerplate``: its words in lines that stand in more than
-    ``max_docs`` distinct documents of the host.
+def boilerplate(docs: DataFrame, share: float = SHARE, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """``__d`` (document and host) and ``n_boilerplate``: its words in lines that stand in more than ``share`` of
+    the host's distinct documents, and in more than ``least_docs`` of them.
 
     Lines are hashed once and written, one row for each document, host and line.  A row of a
-    document itself (``n`` is null) tells how often it is repeated, which its lines are too.
+    document itself (``n`` is null) tells how often it is repeated, which its lines are too, and counts for its host.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     grouped = F.transform(lines_with_words(text), normalised)
+    host = F.xxhash64("source", F.col("source").isNull())
     hashed = F.transform(grouped, lambda x: F.struct(F.xxhash64(F.col("source"), x).alias("a"), F.hash(x, F.col("source")).alias("b"), F.size(words_of(x)).alias("n")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).alias("b"), F.lit(None).cast("int").alias("n")))
-    lines = docs.select(named("doc_id", "text", "source").alias("__d"), F.explode(F.concat(hashed, whole)).alias("x"))
-    lines = saved(lines.groupBy("__d", "x.a", "x.b", "x.n").agg(F.count("*").alias("times")), "lines")
-    found = lines.where(F.col("n").isNotNull())
-    often = found.groupBy("a", "b").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("a", "b")
+    lines = docs.select(named("doc_id", "text", "source").alias("__d"), host.alias("host"), F.explode(F.concat(hashed, whole)).alias("x"))
+    lines = saved(lines.groupBy("__d", "host", "x.a", "x.b", "x.n").agg(F.count("*").alias("times")), "lines")
+    found, documents = lines.where(F.col("n").isNotNull()), lines.where(F.col("n").isNull())
+    hosts = documents.groupBy("host").agg(F.count("*").alias("of"))
+    often = found.groupBy("a", "b").agg(F.count("*").alias("docs"), F.first("host").alias("host")).where(F.col("docs") > least_docs)
+    often = often.join(hosts, "host").where(F.col("docs") > share * F.col("of")).select("a", "b")
     lost = found.join(often, ["a", "b"], "left_semi").groupBy("__d").agg(F.sum(F.col("n") * F.col("times")).alias("lost"))
-    repeats = lines.where(F.col("n").isNull() & (F.col("times") > 1)).select("__d", F.col("times").alias("rows"))
+    repeats = documents.where(F.col("times") > 1).select("__d", F.col("times").alias("rows"))
     return lost.join(repeats, "__d", "left").select("__d", (F.col("lost") / F.coalesce("rows", F.lit(1))).cast("long").alias("n_boilerplate"))
 
 
-def apply_rules(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, min_words: int = 50, max_repeat: float = 50.0) -> DataFrame:
+def apply_rules(docs: DataFrame, share: float = SHARE, least_docs: int = LEAST_DOCS, min_left: float = MIN_LEFT, min_words: int = 50, max_repeat: float = 50.0) -> DataFrame:
     """``doc_id``, the five base counts, ``n_boilerplate`` (words in lines above the limit),
     ``base_failed`` and ``kept`` for every row of ``docs``.
 
@@ -106,7 +110,7 @@ def apply_rules(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN
     """
     docs = docs.select("doc_id", "text", "source")
     with temporary(docs.sparkSession):
-        lost = saved(boilerplate(docs, max_docs), "boilerplate", keep=True)
+        lost = saved(boilerplate(docs, share, least_docs), "boilerplate", keep=True)
     counted = docs.select("doc_id", named("doc_id", "text", "source").alias("__d"), base_counts(F.col("text")).alias("__c"))
     counted = counted.select("doc_id", "__d", "__c.w.*", "__c.n_symbols", "__c.n_dup_lines")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))

@@ -120,7 +120,9 @@ OP10_SQL = rf"""
 WITH d AS (SELECT DISTINCT doc_id, text, source FROM documents),
 l AS (SELECT doc_id, text, source, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
       FROM (SELECT *, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-often AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT (doc_id, text)) > 50),
+hosts AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+often AS (SELECT o.source, norm FROM (SELECT source, norm, count(DISTINCT (doc_id, text)) AS docs FROM l GROUP BY source, norm) o
+          JOIN hosts h ON h.source IS NOT DISTINCT FROM o.source WHERE docs > 5 AND docs > 0.02::DOUBLE * n),
 lost AS (SELECT doc_id, text, source, sum(len(regexp_extract_all(norm, '[^\x20\x09-\x0D]+'))) AS n_boilerplate FROM l
          WHERE EXISTS (SELECT 1 FROM often o WHERE o.norm = l.norm AND o.source IS NOT DISTINCT FROM l.source) GROUP BY doc_id, text, source),
 dup AS (SELECT doc_id, text, max(n) AS n_dup_lines FROM (SELECT doc_id, text, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id, text, source) GROUP BY doc_id, text),

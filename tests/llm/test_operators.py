@@ -414,6 +414,25 @@ def test_op10_rejects_depleted_documents(spark):
     assert all(got[100 + i].kept for i in range(10)) and got[200].kept
 
 
+def test_op10_limit_grows_with_the_host(spark):
+    rng = random.Random(6)
+    from .helpers import passage
+
+    common = " ".join(passage(rng, 60))
+    tail = lambda: "\n" + " ".join(passage(rng, 10))
+    rows = [(i, (common if i < 8 else "") + tail(), None, "small", None) for i in range(20)]
+    rows += [(1000 + i, (common if i < 8 else "") + tail(), None, "large", None) for i in range(800)]
+    rows += [(2000 + i, (common if i < 5 else "") + tail(), None, "few", None) for i in range(6)]
+    lost = {r.doc_id: r.n_boilerplate for r in quality_rules.apply_rules(docs(spark, rows)).where("n_boilerplate > 0").collect()}
+    # eight of 20 documents are many, eight of 800 and five of 6 are not
+    assert lost == dict.fromkeys(range(8), 60)
+
+
+def test_op10_takes_lines_out_of_the_small_tables(spark):
+    got = quality_rules.apply_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert got.where("n_boilerplate > 0").count() > 20 and got.where("kept").count() > 0.7 * got.where("not base_failed").count()
+
+
 def test_op10_repeated_rows_and_two_hosts_equal_the_sql(spark):
     """Nulls, repeated rows, rows that share an id and one text under two hosts, by the query's own SQL."""
     import duckdb
