@@ -25,7 +25,7 @@ def odd(spark):
     rows = corpus(1)
     rows += [rows[3], rows[3], (None, "a row without an id", None, None, None), (None, None, None, None, None), (7, "tie", "en", "s0", 1), (7, "another text of the same id", "en", "s0", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for c in ("n_tokens", "n_words", "size", "target", "kept", "score", "lang_pred", "component_id", "rank", "n_removed", "k", "h"):
+    for c in ("__gone", "__id", "__h", "__th", "gone", "row", "th", "n_tokens", "n_words", "size", "target", "kept", "score", "lang_pred", "component_id", "rank", "n_removed", "k", "h"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 
