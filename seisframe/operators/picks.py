@@ -182,9 +182,10 @@ def sta_lta_from_onset(samples: Column, nsta: int, nlta: int) -> Column:
 
     def run(x: np.ndarray) -> np.ndarray:
         out = x.copy()
-        for row in out:  # onsets differ from row to row
-            i = int(np.argmax(row > 0))
-            row[i:] = sta_lta(row[None, i:], nsta, nlta)[0]
+        onset = (x > 0).argmax(1) if x.shape[1] else np.zeros(0, int)
+        for i in np.unique(onset).tolist():  # traces of one onset together
+            rows = np.flatnonzero(onset == i)
+            out[rows, i:] = sta_lta(x[rows, i:], nsta, nlta)
         return out
 
     return per_trace(run, samples)

@@ -116,13 +116,18 @@ def thin_rays(points: DataFrame, ray: list[str], dmin: float) -> DataFrame:
     rows = rows.withColumn("__r", F.xxhash64(*ray)).repartition(*ray).sortWithinPartitions("__r", *ray, "k")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        way = 0.0
+        way = 0.0  # since the last kept point, which may be in an earlier batch
         for part in batches:
-            keep = np.zeros(len(part), bool)
-            for i, (d, s) in enumerate(zip(part["__d"].tolist(), part["__s"].tolist(), strict=True)):
-                way += d  # a ray's first point stays, which starts the way anew
-                if s or way > dmin:
-                    keep[i], way = True, 0.0
+            total, stops = np.cumsum(part["__d"].to_numpy()), np.flatnonzero(part["__s"].to_numpy())
+            keep, start, i = np.zeros(len(part), bool), -way, 0
+            while i < len(part):  # from one kept point to the next; a ray's first one stays, which starts the way anew
+                far = max(i, int(np.searchsorted(total, start + dmin, "right")))
+                stop = int(np.searchsorted(stops, i))
+                i = min(far, int(stops[stop]) if stop < len(stops) else len(part))
+                if i < len(part):
+                    keep[i], start = True, total[i]
+                i += 1
+            way = float(total[-1] - start) if len(part) else way
             yield part.loc[keep, names]
 
     kept = rows.mapInPandas(run, points.schema)

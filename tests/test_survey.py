@@ -158,6 +158,30 @@ def test_rays_thinned_by_way(spark):
     assert [r.x for r in rays.thin_rays(df, ["ray"], 2.5).orderBy("k").collect()] == [1.0, 4.0, 7.0, 8.0]
 
 
+def test_long_rays_are_thinned_over_batches(spark):
+    rng = np.random.default_rng(9)
+    points, expected = [], {}
+    for ray, n in ((1, 400), (2, 1), (3, 2), (4, 90)):
+        at = np.cumsum(rng.uniform(0, 2, (n, 2)), 0)
+        fixed = rng.random(n) < 0.05
+        points += [(ray, k + 1, float(x), float(z), bool(f)) for k, ((x, z), f) in enumerate(zip(at, fixed, strict=True))]
+        kept, way = [], 0.0
+        for k in range(n):
+            way += float(np.hypot(*(at[k] - at[k - 1]))) if k else 0.0
+            if k in (0, n - 1) or fixed[k] or way > 5.0:
+                kept.append(float(at[k][0]))
+                way = 0.0
+        expected[ray] = kept
+    df = spark.createDataFrame(points, "ray int, k int, x double, z double, fixed boolean")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = rays.thin_rays(df, ["ray"], 5.0).orderBy("ray", "k").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {ray: [r.x for r in got if r.ray == ray] for ray in expected} == expected
+
+
 def test_location_converges(spark):
     at = [(0, 0), (9, 1), (2, 8), (7, 7), (4, 1)]
     data = [(1, float(x), float(y), float(np.hypot(x - 4.2, y - 5.1) / 2 + 3)) for x, y in at]
