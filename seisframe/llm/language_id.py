@@ -5,8 +5,10 @@ parsed greedily against each automaton into longest matches (a character that th
 leads the next match); the language needing the fewest
 phrases, normalised by the logarithm of its sample's length and the text's length, wins.  The
 automata are dense transition tables (states x characters) that follow all texts of a batch in
-step, one column of characters at a time; parsing starts anew every ``SEGMENT`` characters, so
-the work is spread evenly over long and short texts, and covers whole texts.
+step, one column of characters at a time.  Long texts are cut into segments of ``SEGMENT`` characters that are followed side by
+side; the phrase that a segment's end cuts is then carried into the next segment, until it comes to a state
+where the parse that began there is too, which is after a few characters.  So a text has the phrases that a parse from its
+beginning to its end gives it.
 
 Each language has an alphabet of its own.  Letters of its sample beyond the ``ALPHABET`` most frequent
 count as one; a letter that its sample lacks matches nothing.  Automata are built by Spark tasks, one
@@ -26,8 +28,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: bounds of the labelled sample: rows of a language, characters of a language and of all languages
-#: together, and languages; with them the model has at most 2 * ALL_CHARS states
-SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS, MAX_LANGS = 80, 40_000, 640_000, 64
+#: together (but one row of each at least)
+SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS = 80, 40_000, 640_000
 #: letters of a language that are told apart
 ALPHABET, SEGMENT, CHUNK = 61, 512, 2_000_000
 RARE, GAP, UNSEEN, WIDTH = 0, 1, 2, 64
@@ -142,7 +144,7 @@ class CrossParser:
         again = np.where(again >= 0, again, roots)
         again_flat, base = again.reshape(-1), (np.arange(n_langs) * WIDTH)[:, None]
         state = np.repeat(roots, len(grid), 1)
-        phrases = np.ones((n_langs, len(grid)), np.int32)
+        phrases = np.zeros((n_langs, len(grid)), np.int32)
         for j in range(SEGMENT):
             n = int(live[j])
             if not n:
@@ -152,13 +154,50 @@ class CrossParser:
             stop = to < 0
             phrases[:, :n] += stop
             state[:, :n] = np.where(stop, again_flat.take(base + c), to)
-        by_row = np.empty_like(phrases)
-        by_row[:, order] = phrases
+        by_row, last = np.empty_like(phrases), np.empty_like(state)
+        by_row[:, order], last[:, order] = phrases, state
+        by_row += self.carried(grid, np.repeat(np.arange(len(texts)), counts), last, flat, again_flat)
         total = np.zeros((len(texts), n_langs))
         np.add.at(total, np.repeat(np.arange(len(texts)), counts), by_row.T)
+        total += 1  # each phrase but the first begins where one stops
         return total * np.array([x.bits for x in self.languages])[None, :] / np.maximum(1, [len(p) for p in parts])[:, None]
 
 
+    def carried(self, grid: np.ndarray, text: np.ndarray, last: np.ndarray, flat: np.ndarray, again: np.ndarray) -> np.ndarray:
+        """What the phrases of each segment (languages x rows of ``grid``) change by if it goes on from the end of the row before.
+
+        ``last`` has the states at the ends of segments that began anew; it is corrected where a carried parse
+        has not met the one that began anew before the segment's end, and the next segment is looked at again.
+        """
+        change = np.zeros(last.shape, np.int32)
+        sizes = (grid != END).sum(1)
+        lang, row = (x.ravel() for x in np.meshgrid(np.arange(len(self.langs)), np.flatnonzero(np.diff(text, prepend=-1) == 0), indexing="ij"))
+        classes, anew = np.stack(self.classes), last.copy()
+        while len(row):
+            new, old, more = self.roots[lang], last[lang, row - 1], np.zeros(len(row), np.int32)
+            on = np.flatnonzero(new != old)
+            for j in range(SEGMENT):
+                on = on[sizes[row[on]] > j]
+                if not len(on):
+                    break
+                c = classes[lang[on], grid[row[on], j]].astype(np.int64)
+                start = again[lang[on] * WIDTH + c]
+                for state, sign in ((new, -1), (old, 1)):
+                    to = flat[state[on] * WIDTH + c]
+                    more[on] += sign * (to < 0)
+                    state[on] = np.where(to < 0, start, to)
+                on = on[new[on] != old[on]]
+            change[lang, row] = more
+            end = anew[lang, row]
+            apart = np.flatnonzero(new != old)
+            end[apart] = old[apart]
+            follows = (row + 1 < len(grid)) & (end != last[lang, row])
+            last[lang, row] = end
+            follows[follows] = text[row[follows] + 1] == text[row[follows]]
+            lang, row = lang[follows], row[follows] + 1
+        return change
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
@@ -167,14 +206,10 @@ def fit(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS, sampl
     """Fit on a sample of whole rows of each value of ``lang``: at most ``sample_docs`` of them, in the
     order of a hash of their id, as long as they have ``sample_chars`` characters together (fewer for
     each of more than 16 languages, so that all have ``ALL_CHARS`` at most).  Rows of over an eighth of that
-    come last, the shorter first, and if one is taken that is longer than all, its language's sample is
-    that row's first ``sample_chars`` characters.  More than ``MAX_LANGS`` languages raise ``ValueError``, as the
-    model, which every worker holds, would have no bound.
+    come last, the shorter first; a language of long rows only is learnt from the shortest of them.
     """
     known = docs.where(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    langs = known.select("lang").distinct().limit(MAX_LANGS + 1).count()
-    if langs > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    langs = known.select("lang").distinct().count()
     most = min(sample_chars, ALL_CHARS // max(1, langs))
     rows = known.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("chars", F.char_length("text"))
     rows = rows.where(F.regexp_like("text", F.lit(r"\p{L}")))
@@ -185,7 +220,7 @@ def fit(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS, sampl
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n")
         enough = rows["chars"].cumsum() <= most
-        texts = rows["text"][enough].tolist() or [rows["text"].iloc[0][:most]]
+        texts = rows["text"][enough].tolist() or [rows["text"].iloc[0]]
         x = Language(texts)
         values = [rows["lang"].iloc[0], x.letters.astype(np.int64), x.states, x.at, x.by, x.to, x.bits]
         return pd.DataFrame({k: [v] for k, v in zip(("lang", "letters", "states", "at", "by", "to", "bits"), values, strict=True)})
@@ -215,12 +250,13 @@ def predict(docs: DataFrame, model: CrossParser, keep: tuple[str, ...] = ("doc_i
         parser = shared.value
         for rows in batches:
             texts = rows.pop("__text").fillna("").tolist()
+            room = CHUNK * 16 // max(16, len(parser.langs))
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if parser.langs else []
             lo = 0
             while lo < len(known):
                 hi, chars = lo, 0
-                while hi < len(known) and (hi == lo or chars + len(texts[known[hi]]) <= CHUNK):
+                while hi < len(known) and (hi == lo or chars + len(texts[known[hi]]) <= room):
                     chars += len(texts[known[hi]])
                     hi += 1
                 part = known[lo:hi]
@@ -242,6 +278,7 @@ def predict(docs: DataFrame, model: CrossParser, keep: tuple[str, ...] = ("doc_i
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), folds: int = 5) -> DataFrame:
     """Fit on the rows of ``docs`` whose id is not held out and predict all of them; see ``fit`` for the
-    sample and its bounds, more than ``MAX_LANGS`` languages included, and ``predict`` for the results."""
+    sample and its bounds, and ``predict`` for the results and for nulls, empty and long texts, ties and repeated rows.
+    Columns are those of ``predict``; one named like a result is replaced."""
     model = fit(docs, ~held_out(F.col("doc_id"), folds))
     return predict(docs, model, keep).withColumn("held_out", held_out(F.col("doc_id"), folds))

@@ -280,32 +280,39 @@ def test_op8_learns_languages(spark):
 
 
 def test_op8_parse_equals_greedy():
-    samples = {"x": "abracadabra abc", "y": "zzyzx banana"}
+    """Whole texts, many segments long: a plain greedy parse, in which a character that the sample lacks ends a
+    phrase and leads the next one."""
+    samples = {"x": "abracadabra abc " * 3 + "abcabcabd", "y": "zzyzx banana " * 2 + "na" * 12}
     parser = language_id.CrossParser({k: language_id.Language([v]) for k, v in samples.items()})
 
-    def phrases(sample, s):
-        """A character the sample lacks ends a phrase and leads the next one."""
-        n = i = 0
-        while i < len(s):
-            i += s[i] not in sample
-            j = i
-            while j < len(s) and s[i : j + 1] in sample:
-                j += 1
-            i, n = j, n + 1
+    def phrases(sample, text):
+        n, phrase = 1, ""
+        for c in text:
+            if phrase + c in sample:
+                phrase += c
+            else:
+                n, phrase = n + 1, c if c in sample else ""
         return n
 
     rng = random.Random(4)
-    long = "".join(rng.choice(["abra", "banana", "zzy", "cad", " ", "q"]) for _ in range(700))
-    long = " ".join(long.split())
-    for text in ("abra banana zyx cab", long):
-        costs = parser.costs([text])[0] * len(text)
-        for cost, sample in zip(costs, samples.values(), strict=True):
-            # parsing starts anew every SEGMENT characters; one that starts with a lacking one has a phrase before it
-            want = 0
-            for i in range(0, len(text), language_id.SEGMENT):
-                part = text[i : i + language_id.SEGMENT]
-                want += phrases(sample, part) + (part[0] not in sample)
-            assert cost / np.log2(len(sample)) == pytest.approx(want)
+    texts = ["abra banana zyx cab", "abc" * 400, "na" * 3000 + "q" + "na" * 700, "q" * 1200]
+    texts += ["".join(rng.choice(["abra", "banana", "zzy", "cad", " ", "q", "abc" * 300]) for _ in range(n)) for n in (1, 5, 50, 700, 700)]
+    texts = [" ".join(t.split()) or "a" for t in texts]
+    assert max(map(len, texts)) > 20 * language_id.SEGMENT
+    for text, costs in zip(texts, parser.costs(texts), strict=True):
+        for cost, sample in zip(costs * len(text), samples.values(), strict=True):
+            sample = " ".join(sample.split()) if not sample.endswith(" ") else sample
+            assert cost / np.log2(len(sample)) == pytest.approx(phrases(sample, text))
+
+
+def test_op8_takes_any_number_of_languages(spark):
+    rng = random.Random(3)
+    say = lambda i: "".join(chr(0x4E00 + 40 * i + rng.randrange(30)) for _ in range(60))
+    rows = [(i, say(i % 100), f"l{i % 100:03}", None, None) for i in range(1000)]
+    # one long row of a language of its own is learnt from whole
+    rows += [(5000, "xyzzy " * 60_000, "long", None, None), (5001, "xyzzy xyzzy", None, None, None)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs(spark, rows)).collect()}
+    assert sum(got[i] == lang for i, _, lang, *_ in rows[:1000]) > 990 and got[5001] == "long"
 
 
 def test_op8_tells_scripts_without_shared_letters_apart(spark):
