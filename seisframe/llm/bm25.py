@@ -1,17 +1,15 @@
-"""Exact top-k search: BM25 over sharded inverted indexes with block-max WAND pruning.
+"""Exact top-k search: BM25 over sharded inverted indexes with pruning by block maxima.
 
 Documents are dealt into shards of bounded size.  A task builds the inverted index of its shard
 and streams the queries past it, so its memory is one shard and one batch of queries.  Document
 frequencies, the number of documents and their mean length are those of the whole table, so
 scores of different shards are comparable and merging the shards' top k is exact.
 
-Documents of a shard are ordered so that like ones are neighbours, and every term's list keeps the
-largest impact of each block of documents.  A query's cursors move over its lists together, block by
-block: the pivot is the next block in which the summed block maxima of the query's terms reach
-its threshold, the k-th best score so far; all blocks before it are skipped without a look at a
-document.  Documents of a pivot block are scored by all terms, and the threshold rises.  It starts
-at what the block of the largest bound gives.  Queries go through the blocks in batches: lists that
-most blocks have are kept as rows of a matrix, so the bounds and scores of a batch are products.
+Documents of a shard are ordered so that like ones are neighbours, in blocks.  Lists that most blocks have are rows of
+a matrix with the largest impact of each block; the postings of the others are added up for every query.  Both
+together bound the scores of a block, and a block whose bound is below the query's threshold, the k-th
+best score so far, is skipped.  There are no cursors and no pivot document: queries go through the blocks in batches, so that
+bounds and scores of a batch are products.  The threshold starts at what the block of the largest bound gives.
 """
 
 from __future__ import annotations

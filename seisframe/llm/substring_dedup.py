@@ -1,14 +1,10 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring deduplication by windows that share an anchor (not a relative Lempel-Ziv parse, see README).
 
 Every run of ``WINDOW`` words has an anchor, the run of ``GRAM`` words inside it whose hash is
-least, so equal windows have equal anchors.  The corpus's places are dealt into reference blocks
-by anchor; an anchor that stands once can hold no repeat and its block is never looked at.  A
-document is parsed into factors against each block it has a place in: the greedy longest factor
-around an anchor is the stretch of all windows that anchor owns, and it is a repeat as a whole if
-the block's index has the same stretch elsewhere.  Where it has not, the stretch lies on a factor
-boundary, and the windows across it are looked up one by one in the block's window index.
-Factors of ``WINDOW`` words and more become duplicate spans, so a word goes exactly if a window
-over it stands anywhere else.
+least, so equal windows have equal anchors.  An anchor that stands once can hold no repeat, and its
+windows are not looked at again.  Of the others, the stretch of all neighbouring windows that one anchor owns is a
+repeat as a whole if the same stretch stands elsewhere.  Where it has not, windows of different stretches of
+its anchor are compared one by one.  So a word goes exactly if a window over it stands anywhere else.
 
 Indexes are tables keyed by 128 bits (anchor and stretch or window hash) that Spark shuffles and
 counts with map-side combining, so a passage in a third of all documents is counted, not paired.
