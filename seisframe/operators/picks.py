@@ -80,23 +80,23 @@ def snap_to_trace(clicks: DataFrame, traces: DataFrame, group: str = "shot", wid
 
     Both sides meet in one ordering; no pairs are formed.  A group is ordered in tiles of ``width``, so it is the work of
     many tasks, and the nearest traces before and after a tile are carried into it from a table of the tiles'
-    ends.  A click without an offset snaps to nothing.
+    ends.  The work in a tile is one sort and one pass.  A click without an offset snaps to nothing.
     """
     id_type = clicks.schema["click_id"].dataType
-    both = clicks.select(group, "offset", "click_id", F.lit(True).alias("click")).unionByName(traces.select(group, "offset", F.lit(None).cast(id_type).alias("click_id"), F.lit(False).alias("click")))
-    both = both.where(F.col("click") | F.col("offset").isNotNull()).withColumn("__tile", F.floor(F.col("offset") / width))
-    at = F.when(~F.col("click"), F.col("offset"))
-    tiles = W.partitionBy("__g").orderBy("__t")
-    ends = both.where(F.col("offset").isNotNull()).groupBy(F.col(group).alias("__g"), F.col("__tile").alias("__t")).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
-    ends = ends.select("__g", "__t", F.last("hi", True).over(tiles.rowsBetween(W.unboundedPreceding, -1)).alias("__before"), F.first("lo", True).over(tiles.rowsBetween(1, W.unboundedFollowing)).alias("__after"))
-    inside = W.partitionBy(group, "__tile").orderBy("offset", "click")
-    before = F.last(at, True).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
-    after = F.first(at, True).over(inside.rowsBetween(W.currentRow, W.unboundedFollowing))
-    near = both.withColumn("__b", before).withColumn("__a", after).where("click")
-    near = near.join(ends, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__tile") == F.col("__t")), "left")
-    b, a = F.coalesce("__b", "__before"), F.coalesce("__a", "__after")
-    closer = F.when(b.isNull() | (a - F.col("offset") < F.col("offset") - b), a).otherwise(b)
-    return near.select(group, "click_id", "offset", F.when(F.col("offset").isNotNull(), closer).alias("snapped"))
+    trace = lambda df: df.select(group, "offset", F.lit(None).cast(id_type).alias("click_id"), F.lit(False).alias("click"), "__tile")
+    tile = F.floor(F.col("offset") / width)
+    traces = traces.where(F.col("offset").isNotNull()).select(group, "offset", tile.alias("__tile"))
+    both = clicks.select(group, "offset", "click_id", F.lit(True).alias("click"), tile.alias("__tile")).unionByName(trace(traces))
+    # a frame that ends with the last row is added up anew for every row, while lead goes on from where it was
+    following = lambda c, order: F.expr(f"lead({c}) IGNORE NULLS OVER (PARTITION BY `{group}`{order})")
+    ends = both.where(F.col("offset").isNotNull()).groupBy(group, "__tile").agg(F.max("click").alias("clicked"), *[f(F.when(~F.col("click"), F.col("offset"))).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"))])
+    before = F.last("hi", True).over(W.partitionBy(group).orderBy("__tile").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select(group, "__tile", "clicked", before.alias("before"), following("lo", " ORDER BY __tile").alias("after")).where("clicked")
+    carried = ends.select(group, "__tile", F.explode(F.array("before", "after")).alias("offset")).where(F.col("offset").isNotNull())
+    below = F.last(F.when(~F.col("click"), F.col("offset")), True).over(W.partitionBy(group, "__tile").orderBy("offset", "click").rowsBetween(W.unboundedPreceding, W.currentRow))
+    near = both.unionByName(trace(carried)).withColumn("__b", below).withColumn("__a", following("IF(click, NULL, offset)", ", __tile ORDER BY offset, click")).where("click")
+    closer = F.when(F.col("__b").isNull() | (F.col("__a") - F.col("offset") < F.col("offset") - F.col("__b")), F.col("__a")).otherwise(F.col("__b"))
+    return near.select(group, "click_id", "offset", closer.alias("snapped"))
 
 
 def same_station_shots(picks: DataFrame, shots: DataFrame) -> DataFrame:

@@ -322,6 +322,17 @@ def test_clicks_of_one_group_are_many_tasks(spark):
     assert clicks.where("shot = 1").select(F.floor(F.col("offset") / 2.0)).distinct().count() > 50
 
 
+def test_clicks_of_a_tile_take_one_pass(spark):
+    """No frame up to the last row of a tile, which Spark adds up anew for every row, and no join after the ordering."""
+    rng = np.random.default_rng(16)
+    lines, data = np.unique(np.round(rng.uniform(-40, 40, 50), 1)), np.round(rng.uniform(-60, 60, 3000), 1)
+    clicks = spark.createDataFrame([(i % 2, float(v), i) for i, v in enumerate(data)], "shot int, offset double, click_id int")
+    got = picks.snap_to_trace(clicks, spark.createDataFrame([(s, float(v)) for s in (0, 1) for v in lines], "shot int, offset double"), width=50.0)
+    assert {r.click_id: r.snapped for r in got.collect()} == {i: min(lines, key=lambda v: (v - o if v > o else o - v, v)) for i, o in enumerate(data)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower() and "Join" not in plan
+
+
 def test_surface_is_smoothed_by_tiles(spark):
     rng = np.random.default_rng(7)
     for n, width, tile in ((200, 5, 16), (33, 21, 21), (64, 9, 16), (65, 9, 16)):
