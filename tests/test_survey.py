@@ -387,3 +387,32 @@ def test_tiles_stay_where_they_are(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE tiles_of_a_test")
+
+
+def test_sparse_tiles_get_few_numbers(spark, tmp_path):
+    """A tile of a few entries gets the numbers it needs, not a block of the vector."""
+    rng = np.random.default_rng(18)
+    side, n = 256, 20 * 256
+    entries = [(int(r * side + rng.integers(side)), int(c * side + rng.integers(side)), float(rng.normal())) for r in range(20) for c in range(20) for _ in range(2)]
+    made = tiles.write_tiles(spark.createDataFrame(entries, "row long, col long, val double"), "sparse_tiles_of_a_test", side, path=str(tmp_path / "tiles"))
+    x = rng.normal(size=n)
+    v = spark.createDataFrame([(i, float(w)) for i, w in enumerate(x)], "i long, x double")
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for turned in (False, True):
+            expected, at = {}, written()
+            for r, c, w in entries:
+                i, j = (c, r) if turned else (r, c)
+                expected[i] = expected.get(i, 0.0) + w * x[j]
+            assert {r.i: r.x for r in tiles.tile_product(made, v, turned, side).collect()} == pytest.approx(expected)
+            # the vector twice, and a few numbers for each entry; the blocks alone had 400 * 256 * 8 bytes
+            assert written() - at < 300_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE sparse_tiles_of_a_test")
