@@ -3,7 +3,9 @@
 Documents are dealt into shards of bounded size.  A task builds the inverted index of its shard
 and streams the queries past it, so its memory is one shard and one batch of queries.  Document
 frequencies, the number of documents and their mean length are those of the whole table, so
-scores of different shards are comparable and merging the shards' top k is exact.
+scores of different shards are comparable and merging the shards' top k is exact.  Every shard
+needs every query, so shards are worked on in rounds: what is sent in one grows with the table, not
+with its square, and is gone before the next, whose thresholds start at the k-th best scores so far.
 
 Documents of a shard are ordered so that like ones are neighbours, in blocks.  Lists that most blocks have are rows of
 a matrix with the largest impact of each block; the postings of the others are added up for every query.  Both
@@ -24,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import saved, temporary
 
 K1, B = 1.2, 0.75
 #: words a shard holds on average, documents of a block, queries of a batch
 SHARD_WORDS, BLOCK, BATCH = 5_000_000, 128, 256
+#: terms of queries that are sent to shards in one round, for each word of the table; a round has no fewer shards than tasks run at once
+SENT = 1 / 32
 #: terms kept as rows of a matrix: how many at most, and the least part of a shard's documents
 ROWS, FREQUENT = 768, 1 / 32
 #: groups of like documents that a shard is ordered by
@@ -100,8 +104,8 @@ class Shard:
         hit = own[at] == terms
         return round(float((weights[hit] * self.doc_impacts[self.forward[d] : self.forward[d + 1]][at[hit]]).sum()), DIGITS)
 
-    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
-        """``(score, document)`` of the best ``k`` of each query (sorted terms, weights above 0)."""
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: list[float] | None = None) -> list[list[tuple[float, int]]]:
+        """``(score, document)`` of the best ``k`` of each query (sorted terms, weights above 0); those below a query's ``least`` score may lack."""
         if not self.n or not len(self.terms):
             return [[] for _ in queries]
         size = self.blocks * BLOCK
@@ -119,7 +123,7 @@ class Shard:
         bound = rows @ self.row_best.T + score.reshape(len(queries), self.blocks, BLOCK).max(2)
         # sums in 32 bits are off by less than this part of them; one step of rounding decides ties
         slack = 4e-6 * bound.max(1) + 10.0**-DIGITS
-        best = np.zeros((len(queries), k), np.float32)
+        best = np.repeat(np.array(least or [0.0] * len(queries), np.float32)[:, None], k, 1)
         done = np.zeros((len(queries), self.blocks), bool)
 
         def look(b: int, live: np.ndarray) -> None:
@@ -128,8 +132,8 @@ class Shard:
             best[live] = np.partition(np.concatenate([best[live], score[live, span]], 1), BLOCK, 1)[:, BLOCK:]
             done[live, b] = True
 
-        first = bound.argmax(1)
-        for b in np.unique(first):
+        first = np.where(bound.max(1) >= best.min(1) - slack, bound.argmax(1), -1)
+        for b in np.unique(first[first >= 0]):
             look(int(b), np.flatnonzero(first == b))
         for b in range(self.blocks):
             live = np.flatnonzero((bound[:, b] >= best.min(1) - slack) & (bound[:, b] > 0) & ~done[:, b])
@@ -199,23 +203,23 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, found, lengths, index = None, [], [], [], None
-        names, asked = [], []
+        names, asked, least = [], [], []
 
         def answers() -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(asked), BATCH):
-                each = index.top(asked[lo : lo + BATCH], k)
+                each = index.top(asked[lo : lo + BATCH], k, least[lo : lo + BATCH])
                 rows = [(name, index.ids[d], s) for name, best in zip(names[lo : lo + BATCH], each, strict=True) for s, d in best]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "doc_id", "score"])
-            names.clear()
-            asked.clear()
+            for x in (names, asked, least):
+                x.clear()
 
         for batch in batches:
             listed = batch.column("terms")
             ends = listed.offsets.to_numpy()
             all_terms = listed.values.to_numpy(zero_copy_only=False)
             all_weights = batch.column("weights").values.to_numpy(zero_copy_only=False)
-            texts, own = batch.column("text"), batch.column("id")
+            texts, own, lowest = batch.column("text"), batch.column("id"), batch.column("least")
             id_type = own.type
             for i, (shard, is_query) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("is_query").to_pylist(), strict=True)):
                 if shard != current:
@@ -233,20 +237,39 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     index = Shard(ids, found, np.array(lengths, np.float64), mean)
                     found = []
                 names.append(own[i].as_py())
+                least.append(lowest[i].as_py() or 0.0)
                 asked.append((all_terms[ends[i] : ends[i + 1]].copy(), all_weights[ends[i] : ends[i + 1]].copy()))
                 if len(asked) == BATCH:
                     yield from answers()
         if asked:
             yield from answers()
 
-    shard = F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")
-    rows = docs.select(shard.alias("shard"), F.lit(False).alias("is_query"), "id", "text", F.lit(None).cast("array<long>").alias("terms"), F.lit(None).cast("array<double>").alias("weights"))
-    asked = weighted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "id", F.lit(None).cast("string").alias("text"), "terms", "weights")
-    # each shard is a partition of its own
-    dealt = rows.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "is_query")
-    best = dealt.mapInArrow(run, f"query_id {kind}, doc_id {kind}, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
-    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    def best_of(rows: DataFrame, numbers: Column, n: int, least: DataFrame | None = None) -> DataFrame:
+        """Best documents of the shards of these ``numbers``, ``n`` of them; ``rows`` are those of their documents."""
+        asked = weighted.withColumn("least", F.lit(None).cast("double")) if least is None else weighted.join(least, "id", "left")
+        asked = asked.select(F.explode(numbers).alias("shard"), F.lit(True).alias("is_query"), "id", F.lit(None).cast("string").alias("text"), "terms", "weights", "least")
+        rows = rows.select("shard", F.lit(False).alias("is_query"), "id", "text", F.lit(None).cast("array<long>").alias("terms"), F.lit(None).cast("array<double>").alias("weights"), F.lit(None).cast("double").alias("least"))
+        # each shard is a partition of its own
+        dealt = rows.unionByName(asked).repartitionById(n, F.expr(f"shard div {rounds}").cast("int")).sortWithinPartitions("shard", "is_query")
+        return dealt.mapInArrow(run, f"query_id {kind}, doc_id {kind}, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
+        return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+    terms = weighted.agg(F.sum(F.size("terms"))).first()[0] or 1
+    rounds = -(-shards // max(int(n_words * SENT / terms), docs.sparkSession.sparkContext.defaultParallelism))
+    rows = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard"), "id", "text")
+    if rounds == 1:
+        return ranked(best_of(rows, F.sequence(F.lit(0), F.lit(shards - 1)), shards))
+    with temporary(docs.sparkSession):
+        rows = saved(rows.withColumn("round", F.col("shard") % rounds), "by_round", by="round")
+        best, least = None, None
+        for r in range(rounds):
+            of = best_of(rows.where(F.col("round") == r), F.sequence(F.lit(r), F.lit(shards - 1), F.lit(rounds)), len(range(r, shards, rounds)), least)
+            best = saved(ranked(of if best is None else best.drop("rank").unionByName(of)), "best", keep=r == rounds - 1)
+            least = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    return best
 
 
 def every_hundredth(column: Column) -> Column:

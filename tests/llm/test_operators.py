@@ -129,6 +129,38 @@ def test_op2_skips_blocks_and_keeps_ties_at_the_rounded_score():
         assert shard.top([query], 10) == [full]
 
 
+def test_op2_sends_queries_to_a_few_shards_at_a_time(spark, monkeypatch):
+    """With more shards the queries go out in more rounds, not all to all shards at once, and the result is the same."""
+    df = docs(spark, corpus(2))
+    queries = df.where(F.col("doc_id") % 100 == 0)
+    want = sorted(map(tuple, bm25.search(df, queries, 5).collect()))
+    sent, deal = [], type(df).repartitionById
+
+    def spied(rows, n, *columns):
+        sent.append(rows.where("is_query").count())
+        return deal(rows, n, *columns)
+
+    monkeypatch.setattr(type(df), "repartitionById", spied)
+    monkeypatch.setattr(bm25, "SHARD_WORDS", 300)
+    assert sorted(map(tuple, bm25.search(df, queries, 5).collect())) == want
+    n = queries.count()
+    assert sum(sent) >= 16 * n and max(sent) <= 4 * n
+
+
+def test_op2_starts_at_the_best_scores_so_far():
+    """A least score leaves out nothing that reaches it."""
+    rng = np.random.default_rng(5)
+    bags = [(terms, rng.integers(1, 4, len(terms))) for terms in (np.unique((rng.pareto(0.7, 40) * 3).astype(np.int64) % 5000) for _ in range(3000))]
+    shard = bm25.Shard(list(range(3000)), bags, np.array([c.sum() for _, c in bags], float), 60.0)
+    queries = [(bags[q][0], rng.random(len(bags[q][0])) * 5 + 0.01) for q in range(20)]
+    full = shard.top(queries, 10)
+    for place in (0, 4, 9):
+        least = [x[place][0] for x in full]
+        for all_, got, low in zip(full, shard.top(queries, 10, least), least, strict=True):
+            assert [x for x in got if x[0] >= low] == [x for x in all_ if x[0] >= low]
+    assert shard.top(queries, 10, [1e6] * 20) == [[]] * 20
+
+
 def test_op2_edges(odd, empty):
     out = bm25.search(odd, odd.where("doc_id is null or doc_id % 100 = 0"), 3)
     assert out.where("query_id is null or doc_id is null or rank > 3").count() == 0 and out.count() > 0
