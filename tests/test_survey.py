@@ -416,3 +416,13 @@ def test_sparse_tiles_get_few_numbers(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE sparse_tiles_of_a_test")
+
+
+def test_pairs_of_records_and_shots_come_by_time(spark):
+    """A small side is not broadcast: pairs in the order of the records, not of time, make files many times as large."""
+    records = spark.range(200).selectExpr("id AS record_id", "timestamp_seconds(id * 37 % 50 * 100) AS t_start", "timestamp_seconds(id * 37 % 50 * 100 + 250) AS t_end")
+    shots = spark.range(600).selectExpr("id AS shotno", "timestamp_seconds(id * 10) AS time")
+    made = intervals.shots_in_record(records, shots, bucket_s=300)
+    assert "SortMergeJoin" in made._jdf.queryExecution().executedPlan().toString()
+    starts = [i * 37 % 50 * 100 for i in range(200)]
+    assert sorted(map(tuple, made.collect())) == [(i, n) for i, at in enumerate(starts) for n in range(600) if at < n * 10 < at + 250]
