@@ -249,7 +249,7 @@ def predict(docs: DataFrame, model: CrossParser, keep: tuple[str, ...] = ("doc_i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = shared.value
         for rows in batches:
-            texts = rows.pop("__text").fillna("").tolist()
+            texts = (rows["text"] if "text" in keep else rows.pop("__text")).fillna("").tolist()
             room = CHUNK * 16 // max(16, len(parser.langs))
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if parser.langs else []
@@ -271,7 +271,8 @@ def predict(docs: DataFrame, model: CrossParser, keep: tuple[str, ...] = ("doc_i
             yield rows
 
     keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
-    rows = docs.select(*keep, F.col("text").alias("__text"))
+    # a text that is kept is sent once, not beside itself
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + ["lang_pred string", "score double"])
     return rows.mapInPandas(run, schema)
 
